@@ -13,6 +13,7 @@ over 64 letters are scored in parts of 64; repeated rows stay; an empty table gi
 
 from __future__ import annotations
 
+import uuid
 from functools import lru_cache
 
 import numpy as np
@@ -137,6 +138,7 @@ class Model:
 
     def __init__(self, langs: list[str], logp: np.ndarray, path: str):
         self.langs, self.logp, self.path = langs, logp, path
+        self.number = uuid.uuid4().hex
 
     def scorer(self):
         """A function from a text to (language, score), with its own word cache."""
@@ -228,6 +230,17 @@ def train(samples: DataFrame, text: str = "text", lang: str = "lang", key: str =
     return Model(langs, logp, path)
 
 
+_scorers: dict = {}
+
+
+def scorer_of(number: str, held):
+    """The scorer of a broadcast model, kept with its cache between a worker's tasks."""
+    if number not in _scorers:
+        _scorers.clear()
+        _scorers[number] = Model(*held.value).scorer()
+    return _scorers[number]
+
+
 def learnable(docs: DataFrame) -> DataFrame:
     """The rows a model may learn from: labelled, and outside the held-out fifth."""
     return docs.filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).filter("text is not null and lang is not null")
@@ -237,12 +250,13 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
     """The ``keep`` columns with lang_pred and score for each row; one pass, no shuffle."""
     small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast((model.langs, model.logp, model.path))
+    number = model.number
     fields = [f for f in docs.select(*keep).schema.fields]
     out = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["lang_pred string", "score double"])
     names = [f.name for f in fields] + ["lang_pred", "score"]
 
     def mark(batches):
-        predict = Model(*held.value).scorer()
+        predict = scorer_of(number, held)
         for b in batches:
             found = predict(strings(b.column(b.num_columns - 1)))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=names)

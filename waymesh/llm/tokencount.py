@@ -98,6 +98,12 @@ class Trie:
         return -path[-1][1]
 
 
+@lru_cache(maxsize=2)
+def memory(path: str) -> tuple[Trie, dict[str, int]]:
+    """The trie and the counts of a worker process, kept between its tasks."""
+    return Trie(scores(path)), {}
+
+
 def count_tokens(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str | None = None) -> DataFrame:
     """One row per row of ``docs``: key, n_pretokens, n_tokens, n_bytes."""
     path = path or vocabulary_path()
@@ -105,7 +111,7 @@ def count_tokens(docs: DataFrame, text: str = "text", key: str = "doc_id", path:
     schema = pa.schema([("key", pa.int64()), ("n_pretokens", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64())])
 
     def count(batches):
-        trie, counts = Trie(scores(path)), {}
+        trie, counts = memory(path)
         for b in batches:
             rows = []
             for t in strings(b.column(1)):
