@@ -27,7 +27,8 @@ import struct
 import uuid
 import zlib
 from array import array
-from itertools import islice
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,16 +47,75 @@ BLOCK = 1 << 16
 LEVEL = 3
 #: Rows of one file at most, about.
 FILE_ROWS = 1 << 16
-CACHE = 350_000
-PIECE_CHARS = 2_000_000
+#: Pre-tokens a worker remembers at most, and characters it takes at a time.
+CACHE = 1_200_000
+PIECE_CHARS = 1_500_000
 
-#: Fixed value: how the byte-level vocabulary cuts a text into pre-tokens; and the same for ASCII texts alone.
+#: Fixed value: how the byte-level vocabulary cuts a text into pre-tokens.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-WIDE = regex.compile(PATTERN)
-ASCII = re.compile(PATTERN.replace(r"\p{L}", "[A-Za-z]").replace(r"\p{N}", "[0-9]").replace("[^\\s[A-Za-z][0-9]]", "[^\\sA-Za-z0-9]"), re.A)
-#: Texts of these characters alone are cut here; other texts (of scripts whose character classes differ between Unicode versions, control characters) go whole to the library.
-SETTLED = re.compile("[\t-\r -~ -ͷΆ-ҁ‐-‧‰-⁞₠-₵ぁ-ゖァ-ヺ一-龥가-힣]*")
-PLAIN = re.compile("[\t-\r -~]*")
+#: Characters whose classes are settled between Unicode versions; a text with any other goes whole to the library.
+SETTLED = regex.compile("[\t-\r -~\u00a1-\u0377\u0386-\u0481\u2010-\u2027\u2030-\u205e\u20a0-\u20b5\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]")
+LETTER, NUMBER, WHITE, OTHER, BREAK = 1, 2, 3, 4, 5
+
+
+@lru_cache(maxsize=1)
+def classes() -> np.ndarray:
+    """Class of each character below 65,536; 0 if it isn't settled. NUL parts texts."""
+    table = np.zeros(65536, np.uint8)
+    for i in (*range(0xD800), *range(0xE000, 65535)):
+        c = chr(i)
+        if SETTLED.match(c):
+            table[i] = LETTER if regex.match(r"\p{L}", c) else NUMBER if regex.match(r"\p{N}", c) else WHITE if regex.match(r"\s", c) else OTHER
+    table[0] = BREAK
+    return table
+
+
+def pre_tokens(cp: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Where PATTERN's matches begin, for settled characters between NULs (the first and last character are NUL)."""
+    begin = np.empty(len(cp), bool)
+    begin[0] = True
+    np.not_equal(kind[1:], kind[:-1], out=begin[1:])
+    word = (kind >= LETTER) & (kind <= OTHER) & (kind != WHITE)
+    white = kind == WHITE
+    begin[:-1] |= white[:-1] & word[1:]  # the last white space before a word stands alone ...
+    begin[1:] &= ~((cp[:-1] == 32) & word[1:])  # ... or, a space, begins the word
+    a = np.flatnonzero(cp[:-3] == 39) if len(cp) > 3 else np.empty(0, np.int64)
+    a = a[(kind[a - 1] == LETTER) | (kind[a - 1] == NUMBER) | (kind[a - 1] == BREAK) | white[a - 1] & (cp[a - 1] != 32)]
+    one, two = cp[a + 1], cp[a + 2]
+    short = np.isin(one, (115, 116, 109, 100))  # s t m d
+    long = (two == 101) & ((one == 114) | (one == 118)) | (one == 108) & (two == 108)  # re ve ll
+    for at, n in ((a[short], 2), (a[long], 3)):
+        begin[at + 1] = False
+        begin[at + n] |= kind[at + n] == LETTER
+    return np.flatnonzero(begin)
+
+
+def runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ..., of size[0] places, then those of start[1], and so on."""
+    end = np.cumsum(size)
+    return np.repeat(start - end + size, size) + np.arange(end[-1] if len(end) else 0)
+
+
+class Store:
+    """Rows of different lengths in one growing array."""
+
+    def __init__(self, dtype):
+        self.data, self.used, self.at, self.size = np.empty(1 << 16, dtype), 0, np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def add(self, flat: np.ndarray, size: np.ndarray) -> None:
+        if self.used + len(flat) > len(self.data):
+            self.data = np.concatenate((self.data[: self.used], np.empty(max(len(self.data), len(flat)), self.data.dtype)))
+        self.data[self.used : self.used + len(flat)] = flat
+        self.at = np.concatenate((self.at, self.used + np.cumsum(size) - size))
+        self.size = np.concatenate((self.size, size))
+        self.used += len(flat)
+
+    def cut(self, rows: int) -> None:
+        self.at, self.size = self.at[:rows], self.size[:rows]
+        self.used = int(self.at[-1] + self.size[-1]) if rows else 0
+
+    def rows(self, which: np.ndarray) -> np.ndarray:
+        return self.data[runs(self.at[which], self.size[which])]
 
 
 def tokenizer_path() -> str:
@@ -65,7 +125,13 @@ def tokenizer_path() -> str:
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizers library, remembering those of pre-tokens (their ids don't depend on their surroundings)."""
+    """Ids of whole texts by the tokenizers library.
+
+    A byte-level vocabulary encodes each pre-token by itself, so a worker asks the library for each pre-token once and
+    remembers its ids. Pre-tokens are found, looked up by a 64-bit hash, compared with what is remembered character by
+    character, and written out in array operations. Texts with characters that aren't settled, and other kinds of
+    tokenizer, go to the library as they are.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
@@ -74,60 +140,130 @@ class Encoder:
         self.lib.encode_special_tokens = True
         p = self.lib.pre_tokenizer
         self.cuts = isinstance(p, pre_tokenizers.ByteLevel) and p.use_regex and not p.add_prefix_space and self.lib.normalizer is None
-        self.known: dict[str, bytes] = {}
-
-    def pieces(self, text: str):
-        """Lists of pre-tokens, or None if the library is to cut the text."""
-        pattern = ASCII if text.isascii() and PLAIN.fullmatch(text) else WIDE if SETTLED.fullmatch(text) else None
-        if pattern is None or not self.cuts:
-            return None
-        if len(text) <= PIECE_CHARS:
-            return [pattern.findall(text)]
-        found = (m[0] for m in pattern.finditer(text))
-        return iter(lambda: list(islice(found, 100_000)), [])
-
-    def learn(self, tokens: list[list[str]]) -> None:
-        new = {w for some in tokens for w in some if w not in self.known}
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-            new = {w for some in tokens for w in some}
-        new = list(new)
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            self.known.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, self.lib.encode_batch_fast(part, add_special_tokens=False)))
+        self.kinds = classes()
+        self.random = np.random.default_rng(1).integers(1, 2**63, 65536, np.uint64)
+        odd, inverse = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 2**64)
+        self.powers, self.inverses = (np.cumprod(np.r_[np.uint64(1), np.full(2 * PIECE_CHARS + 8, x, np.uint64)]) for x in (odd, inverse))
+        self.forget()
+
+    def forget(self) -> None:
+        self.hashes, self.entry = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.chars, self.ids = Store(np.uint16), Store(np.uint32)
+
+    def trim(self, rows: int) -> None:
+        """Forget all but the first ``rows`` pre-tokens; what came first is the most frequent."""
+        old = self.entry < rows
+        self.hashes, self.entry = self.hashes[old], self.entry[old]
+        self.chars.cut(rows)
+        self.ids.cut(rows)
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, tokens: list[str], hashes: np.ndarray) -> None:
+        """Remember distinct new pre-tokens, given with their hashes in rising order."""
+        first = len(self.chars.at)
+        for i in range(0, len(tokens), 10_000):
+            part = tokens[i : i + 10_000]
+            found = [e.ids for e in self.lib.encode_batch_fast(part, add_special_tokens=False)]
+            self.ids.add(np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(part)))
+            self.chars.add(np.frombuffer("".join(part).encode("utf-16-le"), np.uint16), np.fromiter(map(len, part), np.int64, len(part)))
+        at = np.searchsorted(self.hashes, hashes)
+        self.hashes = np.insert(self.hashes, at, hashes)
+        self.entry = np.insert(self.entry, at, np.arange(first, first + len(tokens)))
+
+    def together(self, texts: list[str]) -> list[bytes]:
+        """Texts of settled characters, of PIECE_CHARS altogether."""
+        joined = "\0" + "\0".join(texts) + "\0"
+        cp = np.frombuffer(joined.encode("utf-16-le"), np.uint16)
+        kind = self.kinds[cp]
+        at = pre_tokens(cp, kind)
+        end = np.r_[at[1:], len(cp)]
+        real = kind[at] != BREAK
+        size = (end - at)[real]
+        total = np.zeros(len(cp) + 1, np.uint64)
+        np.cumsum(self.random[cp] * self.powers[: len(cp)], out=total[1:])
+        h = (total[end[real]] - total[at[real]]) * self.inverses[at[real]]
+        h ^= h >> np.uint64(29)
+        distinct, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+        while True:
+            where = np.searchsorted(self.hashes, distinct)
+            new = where == len(self.hashes)
+            new[~new] = self.hashes[where[~new]] != distinct[~new]
+            if not new.any():
+                break
+            if len(self.entry) and len(self.entry) + int(new.sum()) > CACHE:
+                self.trim(len(self.entry) // 2)
+                continue
+            starts, sizes = at[real][first[new]], size[first[new]]
+            self.learn([joined[i : i + n] for i, n in zip(starts.tolist(), sizes.tolist())], distinct[new])
+        token = self.entry[where][inverse]
+        if not (np.array_equal(self.chars.size[token], size) and np.array_equal(self.chars.rows(token), cp[kind != BREAK])):
+            return self.whole(texts)  # two pre-tokens of one hash
+        ids, count = self.ids.rows(token), np.zeros(len(at), np.int64)
+        count[real] = self.ids.size[token]
+        upto = np.r_[0, np.cumsum(count)]
+        breaks = np.flatnonzero(cp == 0)
+        cuts = upto[np.searchsorted(at, breaks)].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         out: list = [b""] * len(texts)
-        held: list = []
+        held, size = [], 0
 
         def flush():
-            self.learn([w for _, w in held])
-            for i, w in held:
-                out[i] = b"".join(map(self.known.__getitem__, w))
+            for i, ids in zip(held, self.together([texts[i] for i in held]) if held else []):
+                out[i] = ids
             held.clear()
 
-        size = 0
         for i, t in enumerate(texts):
-            cut = self.pieces(t)
-            if cut is None:
-                out[i] = array("I", self.lib.encode(t, add_special_tokens=False).ids).tobytes()
-            elif isinstance(cut, list):
-                held.append((i, cut[0]))
-                size += len(t)
-                if size > PIECE_CHARS:
-                    flush()
-                    size = 0
-            else:
+            if not t:
+                continue
+            settled = self.cuts and self.settled(t)
+            if not settled or len(t) > PIECE_CHARS:
+                some = lambda x: self.together(x) if settled and len(x[0]) <= 2 * PIECE_CHARS else self.whole(x)
+                out[i] = b"".join(some([x])[0] for x in self.slices(t))
+                continue
+            if size + len(t) + 1 > PIECE_CHARS:
                 flush()
-                ids = []
-                for some in cut:
-                    self.learn([some])
-                    ids.append(b"".join(map(self.known.__getitem__, some)))
-                out[i] = b"".join(ids)
+                size = 0
+            held.append(i)
+            size += len(t) + 1
         flush()
         return out
 
+    def settled(self, text: str) -> bool:
+        if text.isascii():
+            return PLAIN.fullmatch(text) is not None
+        cp = np.frombuffer(text.encode("utf-16-le"), np.uint16)
+        kind = self.kinds[cp]
+        return bool(kind.all()) and not (cp == 0).any()
+
+    def slices(self, text: str):
+        """A very long text in parts that begin at pre-tokens: after a letter or mark, before a space and a letter."""
+        if not self.cuts:
+            yield text
+            return
+        at = 0
+        while len(text) - at > 2 * PIECE_CHARS:
+            m = CUT.search(text, at + PIECE_CHARS)
+            if not m or m.start() - at > 2 * PIECE_CHARS:
+                break
+            yield text[at : m.start() + 1]
+            at = m.start() + 1
+        yield text[at:]
+
+
+PLAIN = re.compile("[\t-\r -~]*")
+CUT = re.compile("[a-z.,](?= [A-Za-z])")
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One for each worker process, kept between its tasks."""
+    return Encoder(path)
+
 
 def to_planes(values: np.ndarray, mode: str = "byte") -> list[bytes]:
     width = values.dtype.itemsize
@@ -255,14 +391,14 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, mode:
     schema = pa.schema([("part", pa.int64()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
 
     def write(batches):
-        writer, encoder = None, Encoder(tokenizer)
+        writer, encode = None, encoder(tokenizer).encode
         for b in batches:
             if b.num_rows and writer is None:
                 part = TaskContext.get().partitionId()
                 name = f"part-{part:06d}-{uuid.uuid4().hex}.bpt"
                 out = filesystem(path)[0].open_output_stream(f"{folder}/{name}")
                 writer = Writer(out, mode)
-            for doc_id, ids in zip(b.column(0).to_pylist(), encoder.encode(strings(b.column(1)))):
+            for doc_id, ids in zip(b.column(0).to_pylist(), encode(strings(b.column(1)))):
                 writer.add(doc_id, ids + end)
         if writer is not None:
             writer.close()
