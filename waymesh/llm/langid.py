@@ -13,8 +13,10 @@ over 64 letters are scored in parts of 64; repeated rows stay; an empty table gi
 
 from __future__ import annotations
 
+import re
 import uuid
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,9 @@ from pyspark.sql import functions as F
 from .common import batch_of, hashed_share, small_batches, strings, written
 
 LETTERS = regex.compile(r"\p{L}+")
+PLAIN = re.compile("[a-z]+")
+GAP = re.compile("[ -@]")
+BLOCK_CHARS = 2_000_000
 PART = 64
 MARK = "▁"
 #: Log probability of a character that no piece covers, the same in each language.
@@ -63,7 +68,20 @@ def prefixes(path: str) -> dict[str, int]:
 
 
 def words_of(text: str) -> list[str]:
-    return LETTERS.findall(text.lower())
+    text = text.lower()
+    return PLAIN.findall(text) if text.isascii() else LETTERS.findall(text)
+
+
+def parts(text: str):
+    """A text, or a very long one in parts that end between words."""
+    at = 0
+    while len(text) - at > 2 * BLOCK_CHARS:
+        m = GAP.search(text, at + BLOCK_CHARS)
+        if not m:
+            break
+        yield text[at : m.end()]
+        at = m.end()
+    yield text[at:] if at else text
 
 
 def arcs(words: list[str], known: dict[str, int], unknown: int):
@@ -141,40 +159,67 @@ class Model:
         self.number = uuid.uuid4().hex
 
     def scorer(self):
-        """A function from a text to (language, score), with its own word cache."""
-        known, cache = prefixes(self.path), {}
-        rows = np.empty((0, len(self.langs)))
-
-        def learn(words):
-            nonlocal rows
-            if len(cache) + len(words) > CACHE_WORDS and cache:
-                cache.clear()
-                rows = np.empty((0, len(self.langs)))
+        """A function from texts to (language, score) pairs, with its own word cache."""
+        known, width = prefixes(self.path), len(self.langs)
+        cache: dict[str, int] = {}
+        rows = np.empty((CACHE_WORDS, width))
+
+        def learn(words: list[str]) -> None:
+            nonlocal cache, rows
+            first = len(cache)
+            if first + len(words) > len(rows):  # one block of texts has more words than the cache
+                rows = np.concatenate((rows[:first], np.empty((len(words), width))))
             for i in range(0, len(words), 8192):
                 part = words[i : i + 8192]
-                scores = np.zeros((len(part), len(self.langs)))
                 cut = [(k, MARK + x[j : j + PART] if not j else x[j : j + PART]) for k, x in enumerate(part) for j in range(0, len(x), PART)]
+                scores = np.zeros((len(part), width))
                 np.add.at(scores, [k for k, _ in cut], forward([x for _, x in cut], self.logp, known))
-                cache.update(zip(part, range(len(rows), len(rows) + len(part))))
-                rows = np.concatenate((rows, scores))
+                rows[first + i : first + i + len(part)] = scores
+            cache.update(zip(words, range(first, first + len(words))))
+
+        def totals(some: list[list[str]]) -> np.ndarray:
+            """Summed scores of each list of words."""
+            nonlocal cache, rows
+            new = set().union(*some).difference(cache)
+            if cache and len(cache) + len(new) > CACHE_WORDS:  # what came first is the most frequent
+                cache = dict(islice(cache.items(), CACHE_WORDS // 2))
+                rows = rows[:CACHE_WORDS] if len(rows) > CACHE_WORDS else rows
+                new = set().union(*some).difference(cache)
+            learn(sorted(new))
+            size = np.fromiter(map(len, some), np.int64, len(some))
+            out = np.zeros((len(some), width))
+            if size.any():
+                at = np.fromiter(map(cache.__getitem__, chain.from_iterable(some)), np.int64, int(size.sum()))
+                begin = (np.cumsum(size) - size)[size > 0]
+                out[size > 0] = np.add.reduceat(rows[at], begin)
+            return out
 
         def predict(texts: list[str]) -> list[tuple[str, float]]:
-            found = [words_of(t) for t in texts]
+            total, count = np.zeros((len(texts), width)), np.zeros(len(texts), np.int64)
+            held: list[tuple[int, list[str]]] = []
+            size = 0
+
+            def flush():
+                if held and width:
+                    np.add.at(total, [i for i, _ in held], totals([w for _, w in held]))
+                held.clear()
+
+            for i, t in enumerate(texts):
+                for part in parts(t):
+                    words = words_of(part)
+                    count[i] += len(words)
+                    held.append((i, words))
+                    size += len(part)
+                    if size > BLOCK_CHARS:
+                        flush()
+                        size = 0
+            flush()
             out = []
-            for words in found:
-                if not words or not self.langs:
+            for n, row in zip(count.tolist(), total):
+                if not n or not width:
                     out.append(("und", 0.0))
                     continue
-                total = np.zeros(len(self.langs))
-                for i in range(0, len(words), 100_000):
-                    some = words[i : i + 100_000]
-                    new = [x for x in dict.fromkeys(some) if x not in cache]
-                    if new:
-                        if len(cache) + len(new) > CACHE_WORDS:
-                            new = list(dict.fromkeys(some))
-                        learn(new)
-                    total += rows[np.fromiter(map(cache.__getitem__, some), np.int64, len(some))].sum(0)
-                p = np.exp(total - total.max())
+                p = np.exp(row - row.max())
                 best = int(p.argmax())
                 out.append((self.langs[best], float(p[best] / p.sum())))
             return out
