@@ -33,6 +33,8 @@ KINDS = ("assign", "access", "hex", "markov")
 
 #: Tokens that the models score.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
+#: What counts as an ordinary identifier or word: runs of one kind, no single letters among them but the first.
+ORDINARY = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)(?:[+/_=-]*(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]+))*[+/_=-]*")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 START = len(ALPHABET)
 SIZE = START + 1
@@ -62,14 +64,15 @@ def transitions(token: str) -> np.ndarray:
 
 
 def sample_counts(spans_and_texts) -> dict[int, Counter]:
-    """Transition counts of labelled tokens: 1 for secrets found by the base patterns, 0 for all other candidate tokens and words."""
+    """Transition counts of labelled tokens: 1 for secrets found by the base patterns, 0 for identifiers and words elsewhere."""
     tokens = {0: Counter(), 1: Counter()}
     for text in spans_and_texts:
         spans = base_spans(text)
         taken = covered([(s, e) for s, _, e, _, _ in spans])
         for m in re.finditer(r"[A-Za-z0-9+/_=-]{4,}", text):
             if not taken(m.start(), m.end()):
-                tokens[0][m[0]] += 1
+                if ORDINARY.fullmatch(m[0]):
+                    tokens[0][m[0]] += 1
         for s, e in {(s, e) for _, _, _, s, e in spans}:
             tokens[1].update(re.findall(r"[A-Za-z0-9+/_=-]{4,}", text[s:e]))
     out = {0: Counter(), 1: Counter()}
