@@ -79,7 +79,7 @@ def pre_tokens(cp: np.ndarray, kind: np.ndarray) -> np.ndarray:
     white = kind == WHITE
     begin[:-1] |= white[:-1] & word[1:]  # the last white space before a word stands alone ...
     begin[1:] &= ~((cp[:-1] == 32) & word[1:])  # ... or, a space, begins the word
-    a = np.flatnonzero(cp[:-3] == 39) if len(cp) > 3 else np.empty(0, np.int64)
+    a = np.flatnonzero(cp[:-2] == 39) if len(cp) > 2 else np.empty(0, np.int64)
     a = a[(kind[a - 1] == LETTER) | (kind[a - 1] == NUMBER) | (kind[a - 1] == BREAK) | white[a - 1] & (cp[a - 1] != 32)]
     one, two = cp[a + 1], cp[a + 2]
     short = np.isin(one, (115, 116, 109, 100))  # s t m d
