@@ -153,10 +153,10 @@ def links(classes: DataFrame) -> DataFrame:
     fine = F.array(*(F.lit((k + 1) << 16).bitwiseOR(F.shiftleft(byte(i), 8)).bitwiseOR(byte(j)) for k, (i, j) in enumerate(BYTES)))
     if large.limit(1).count():
         dealt = dealt.join(large.withColumn("large", F.lit(True)), "block", "left").withColumn("half", half)
-        dealt = dealt.select("block", F.explode(F.when(F.col("large"), fine).otherwise(F.array(F.lit(0)))).cast("long").alias("sub"), "fp", "rep")
+        dealt = dealt.select("block", F.explode(F.when(F.col("large"), fine).otherwise(F.array(F.lit(0).cast("long")))).alias("sub"), "fp", "rep")
     else:
         dealt = dealt.withColumn("sub", F.lit(0).cast("long"))
-    dealt = dealt.repartition(F.col("block"), F.col("sub")).sortWithinPartitions("block", "sub")
+    dealt = dealt.select("block", "sub", "fp", "rep").repartition(F.col("block"), F.col("sub")).sortWithinPartitions("block", "sub")
     schema = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
 
     def join(batches):
