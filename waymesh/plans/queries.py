@@ -275,3 +275,320 @@ def val_01(spark, sf_dir):
     full = F.array().cast("array<string>")
     arrays = [full.alias(a) if a != "calls" else F.when(~F.col("bare"), full).alias(a) for a in validate.ARRAYS]
     return validate.structural(s.select("m_ord", F.col("version").alias("schemaVersion"), F.struct("id", "name", "layer").alias("service"), *arrays)).select("m_ord", "path")
+
+
+# --- diff, enrichment and planning
+
+_parts = {"before": "ts < TIMESTAMP '2024-01-16'", "after": "ts >= TIMESTAMP '2024-01-16'"}
+_facet = "SELECT DISTINCT concat('nation-', CAST(user_id % 25 AS STRING)) AS service, 'publishes' AS facet, concat('kafka:', event_type, ' (', {0}, ')') AS key FROM events WHERE {1}"
+
+
+def facet_estate(spark: SparkSession, sf_dir: str, when: str):
+    rows = est.run(spark, sf_dir, f"SELECT concat('nation-', CAST(user_id % 25 AS STRING)) AS service, concat('p', CAST(event_id AS STRING)) AS id, 'kafka' AS broker, event_type AS topic, get_json_object(props, '$.k') AS routingKey FROM events WHERE {_parts[when]}")
+    h = est.run(spark, sf_dir, f"SELECT concat('nation-', CAST(user_id % 25 AS STRING)) AS service, event_type AS id, CAST(min(event_id) AS STRING) AS hash, 0 AS i_ord FROM events WHERE {_parts[when]} AND {'user_id % 3 > 0' if when == 'before' else 'user_id % 4 > 0'} GROUP BY 1, 2")
+    from ..operators.estate import estate_of
+
+    return estate_of(spark, publishes=rows, handlers=h)
+
+
+_k = "json_extract_string(props, '$.k')"
+
+
+@query("dif_01_facet_keys", tw.duck(_facet.format(_k, _parts["after"])))
+def dif_01(spark, sf_dir):
+    return diff.facet_keys(facet_estate(spark, sf_dir, "after"))
+
+
+_b, _a = (f"({_facet.format(_k, _parts[w])})" for w in ("before", "after"))
+
+
+@query("dif_02_changes", f"SELECT *, 'added' AS change FROM ({_a} EXCEPT {_b}) x UNION ALL SELECT *, 'removed' FROM ({_b} EXCEPT {_a}) y")
+def dif_02(spark, sf_dir):
+    return diff.changes(*(diff.facet_keys(facet_estate(spark, sf_dir, w)) for w in ("before", "after")))
+
+
+_hs = lambda w: f"(SELECT concat('nation-', user_id % 25) AS service, event_type AS id, CAST(min(event_id) AS VARCHAR) AS hash FROM events WHERE {_parts[w]} AND {'user_id % 3 > 0' if w == 'before' else 'user_id % 4 > 0'} GROUP BY 1, 2)"
+_CHURN = f"SELECT coalesce(b.service, a.service) AS service, count(*) FILTER (b.id IS NULL) AS added, count(*) FILTER (a.id IS NULL) AS removed, count(*) FILTER (a.hash <> b.hash) AS changed FROM {_hs('before')} b FULL JOIN {_hs('after')} a ON a.service = b.service AND a.id = b.id GROUP BY 1"
+
+
+@query("dif_03_handler_churn", _CHURN)
+def dif_03(spark, sf_dir):
+    return diff.handler_churn(*(facet_estate(spark, sf_dir, w).handlers for w in ("before", "after")))
+
+
+@query("dif_04_flags", f"SELECT c.service, added + removed + changed > 0 OR d.service IS NOT NULL AS has_changes, coalesce(new, false) AS new_dependencies FROM ({_CHURN}) c LEFT JOIN (SELECT service, bool_or(change = 'added') AS new FROM ({ORACLE['dif_02_changes']}) z GROUP BY 1) d ON d.service = c.service")
+def dif_04(spark, sf_dir):
+    b, a = (facet_estate(spark, sf_dir, w) for w in ("before", "after"))
+    return diff.summary(diff.changes(diff.facet_keys(b), diff.facet_keys(a)), diff.handler_churn(b.handlers, a.handlers))
+
+
+@query("dif_05_markdown")
+def dif_05(spark, sf_dir):
+    b, a = (facet_estate(spark, sf_dir, w) for w in ("before", "after"))
+    services = conform(est.run(spark, sf_dir, est.SQL["services"]), "services")
+    return diff.markdown(b, a.replace(services=services))
+
+
+_ENRICH = "SELECT concat('nation-', CAST(n_nationkey AS STRING)) AS service, CASE WHEN n_nationkey % 2 = 0 THEN concat('about ', n_name) ELSE '' END AS description, n_nationkey AS k FROM nation"
+
+
+def enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = est.run(spark, sf_dir, _ENRICH)
+    note = lambda text, h: F.struct(F.concat(F.lit(text), "service").alias("summary"), h.alias("hash"))
+    h = F.create_map(F.lit("Client.0"), note("zero of ", F.concat(F.lit("h"), F.col("k").cast("string"), F.lit("Client.0"))), F.lit("Client.1"), note("stale of ", F.lit("old")), F.lit("Client.2"), note("free of ", F.lit(None).cast("string")))
+    e = F.create_map(F.lit("GET /v1/parts/brand-1/{partKey}"), F.struct(F.concat(F.lit("one of "), "service").alias("summary"), F.lit("use").alias("useCase")))
+    return d.select("service", "description", h.alias("handlers"), e.alias("endpoints"))
+
+
+@query("enr_01_descriptions", tw.over_estate("SELECT id, CASE WHEN m_ord % 2 = 0 THEN 'about ' || name END AS description FROM services"))
+def enr_01(spark, sf_dir):
+    return enrich.enrich(est.estate(spark, sf_dir), enrichment(spark, sf_dir)).services.select("id", "description")
+
+
+@query("enr_02_handler_summaries", tw.over_estate("SELECT service, id, CASE WHEN id = 'Client.0' THEN 'zero of ' || service WHEN id = 'Client.1' AND hash IS NULL THEN 'stale of ' || service WHEN id = 'Client.2' THEN 'free of ' || service END AS summary FROM handlers"))
+def enr_02(spark, sf_dir):
+    return enrich.enrich(est.estate(spark, sf_dir), enrichment(spark, sf_dir)).handlers.select("service", "id", "summary")
+
+
+@query("enr_03_endpoint_summaries", tw.over_estate("SELECT service, id, CASE WHEN id = 'GET /v1/parts/brand-1/{partKey}' THEN 'one of ' || service END AS summary FROM endpoints"))
+def enr_03(spark, sf_dir):
+    return enrich.enrich(est.estate(spark, sf_dir), enrichment(spark, sf_dir)).endpoints.select("service", "id", "summary")
+
+
+_CONV = "SELECT concat('flow-', CAST(conv_id AS STRING)) AS flow_id, CAST(turn + 1 AS INT) AS step_no, role AS service, role AS ref, CASE WHEN turn % 3 = 1 THEN 'publish' WHEN turn % 3 = 2 THEN 'consumer' ELSE 'endpoint' END AS kind, CAST(NULL AS STRING) AS `from`, substr(text, 1, 20) AS description FROM conversations"
+_CONV_SQL = tw.duck(_CONV).replace("`from`", '"from"')
+
+
+@query("enr_04_flow_texts", f"SELECT flow_id, step_no, CASE WHEN step_no = 2 THEN 'told ' || flow_id ELSE description END AS description FROM ({_CONV_SQL}) t")
+def enr_04(spark, sf_dir):
+    steps = est.run(spark, sf_dir, _CONV)
+    f = steps.select("flow_id").distinct().withColumns({c: F.lit(None).cast("string") for c in ("name", "useCase", "description")})
+    told = f.select(F.create_map("flow_id", F.struct(F.lit("n").alias("name"), F.lit("u").alias("useCase"), F.lit("").alias("description"), F.create_map(F.lit("1"), F.concat(F.lit("told "), "flow_id")).alias("steps"))).alias("flows"))
+    return enrich.enrich_flows(f, steps, told)[1].select("flow_id", "step_no", "description")
+
+
+_REACH = "WITH RECURSIVE {0}, up AS (SELECT DISTINCT service, c AS src, id AS dst FROM (SELECT service, id, unnest(calls) AS c FROM handlers) t), r(service, id) AS (SELECT DISTINCT service, fromHandler FROM calls UNION SELECT DISTINCT service, fromHandler FROM publishes UNION SELECT up.service, up.dst FROM r JOIN up ON up.service = r.service AND up.src = r.id) "
+
+
+@query("llm_01_interesting_handlers", _REACH.format(tw.ESTATE) + "SELECT service, id FROM r UNION SELECT service, handler FROM endpoints UNION SELECT service, handler FROM consumers")
+def llm_01(spark, sf_dir):
+    return enrich.interesting_handlers(est.estate(spark, sf_dir))
+
+
+_LINES = "SELECT source AS service, CAST(doc_id AS STRING) AS id, source AS file, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) * 5 AS INT) AS line, text FROM documents"
+
+
+def source_handlers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = est.run(spark, sf_dir, _LINES)
+    return d.select("service", "id", F.lit(0).alias("i_ord"), F.struct("file", "line").alias("loc"), F.lit(None).cast("string").alias("hash"), "text")
+
+
+@query("llm_02_slices", f"SELECT service, id, start_line, end_line FROM (SELECT service, id, line AS start_line, least(coalesce(lead(line) OVER (PARTITION BY file ORDER BY line), 1001) - 1, line + 119, 1000) AS end_line FROM ({_LINES}) t) u WHERE start_line <= 1000")
+def llm_02(spark, sf_dir):
+    h = source_handlers(spark, sf_dir).filter("loc.line <= 1000 + 5")
+    files = h.select("service", F.col("loc.file").alias("file")).distinct().withColumn("text", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(1000)), lambda i: i.cast("string")), "\n"))
+    return enrich.slices(h, files).filter("start_line <= 1000").select("service", "id", "start_line", "end_line")
+
+
+@query("llm_03_cache_split", "SELECT doc_id, doc_id % 3 = 0 AS cached, substr(sha256('[\"handler\",\"1\",\"m\",\"' || source || '\",\"' || doc_id || '\",\"h\"]'), 1, 24) AS key FROM documents")
+def llm_03(spark, sf_dir):
+    cut = source_handlers(spark, sf_dir).withColumn("hash", F.lit("h"))
+    keys = enrich.split_cached(cut, spark.createDataFrame([], "key string"), "1", "m")
+    out = enrich.split_cached(cut, keys.filter(F.col("id").cast("long") % 3 == 0).select("key"), "1", "m")
+    return out.select(F.col("id").cast("long").alias("doc_id"), "cached", "key")
+
+
+_PACK = "SELECT source AS service, doc_id AS ord, CAST(least(n_chars, 30000) AS BIGINT) AS chars FROM documents"
+
+
+@query("llm_04_chunks", f"WITH RECURSIVE d AS (SELECT *, row_number() OVER (PARTITION BY service ORDER BY ord) AS n FROM ({_PACK}) t), p(service, ord, n, chunk, size) AS (SELECT service, ord, n, 0, chars FROM d WHERE n = 1 UNION ALL SELECT d.service, d.ord, d.n, CASE WHEN p.size + d.chars > 60000 THEN p.chunk + 1 ELSE p.chunk END, CASE WHEN p.size + d.chars > 60000 THEN d.chars ELSE p.size + d.chars END FROM p JOIN d ON d.service = p.service AND d.n = p.n + 1) SELECT service, ord, chunk FROM p")
+def llm_04(spark, sf_dir):
+    return enrich.packed(est.run(spark, sf_dir, _PACK)).select("service", "ord", "chunk")
+
+
+@query("llm_05_prompts")
+def llm_05(spark, sf_dir):
+    e = est.estate(spark, sf_dir)
+    w = e.handlers.filter("id like 'Client.%'").select("service", "id", F.lit("f").alias("file"), F.lit(1).alias("start_line"), F.lit(2).alias("end_line"), F.lit("code").alias("text"), "i_ord")
+    return enrich.prompts(e, w.withColumn("ord", F.col("i_ord")).withColumn("chunk", F.lit(0)))
+
+
+@query("llm_06_merged_summaries", "SELECT 'nation-' || k AS service, max(CASE WHEN e = 0 THEN 'd' || first_id END) AS description FROM (SELECT user_id % 25 AS k, min(event_id) AS first_id, 0 AS e FROM events GROUP BY 1) t GROUP BY 1")
+def llm_06(spark, sf_dir):
+    rows = est.run(spark, sf_dir, "SELECT concat('nation-', CAST(user_id % 25 AS STRING)) AS service, event_id AS part, concat('d', CAST(event_id AS STRING)) AS description FROM events")
+    one = F.array(F.struct(F.lit("h").alias("id"), F.col("description").alias("summary")))
+    parts = rows.withColumn("handlers", one).withColumn("endpoints", F.array(F.struct(F.lit("e").alias("id"), F.col("description").alias("summary"), F.lit("u").alias("useCase"))))
+    return enrich.merge_summaries(parts, est.estate(spark, sf_dir).handlers)[0]
+
+
+@query("llm_07_batches", "SELECT doc_id, CAST((row_number() OVER (ORDER BY doc_id) - 1) // 25 AS INT) AS batch FROM documents")
+def llm_07(spark, sf_dir):
+    return enrich.batches(est.run(spark, sf_dir, "SELECT doc_id FROM documents"), "doc_id").select("doc_id", "batch")
+
+
+# --- exploration
+
+E_ALL = [EDGES, TOPICS, EXTERNAL]
+SVC = "svc AS (SELECT id, name, layer, owner FROM services UNION ALL SELECT id, NULL, 'external', NULL FROM outer_nodes)"
+MAPPED = "m AS MATERIALIZED (SELECT * FROM edges WHERE kind IN ('http', 'publish', 'consume', 'declared'))"
+
+
+def shown(select: str, *more: str) -> str:
+    return tw.over_resolved(select, *E_ALL, SVC, MAPPED, *more)
+
+
+def plain_edges(df: DataFrame) -> DataFrame:
+    return df.select("id", "kind", "source", "target")
+
+
+P = "id, kind, source, target"
+graph_query("qry_01_index", shown("SELECT id AS service, (SELECT count(*) FROM edges e WHERE e.source = s.id) AS n_out, (SELECT count(*) FROM edges e WHERE e.target = s.id) AS n_in, (SELECT count(*) FROM endpoints e WHERE e.service = s.id) AS n_endpoints, (SELECT count(*) FROM handlers e WHERE e.service = s.id) AS n_handlers FROM svc s"))(lambda g: explore.index(g).drop("n_issues"))
+graph_query("qry_01_owners", shown("SELECT DISTINCT owner FROM services UNION SELECT 'buyers' FROM outer_nodes WHERE id = 'external:vendor5'"))(lambda g: explore.owners(g.services))
+graph_query("qry_02_lookups", shown(f"SELECT {P} FROM edges WHERE source = 'nation-3' OR target = 'nation-3'"))(lambda g: plain_edges(g.edges.filter("source = 'nation-3' or target = 'nation-3'")))
+graph_query("qry_03_map_edges", shown(f"SELECT {P} FROM m"))(lambda g: plain_edges(explore.map_edges(g.edges)))
+graph_query("qry_05_detail_edges", shown(f"SELECT {P} FROM edges WHERE kind = 'http-detail' AND starts_with(source, 'nation-3#') AND (target = 'nation-5' OR starts_with(target, 'nation-5#'))"))(lambda g: plain_edges(explore.detail_edges(g.edges, g.handlers, "nation-3", "nation-5")))
+graph_query("qry_06_target_services", shown("SELECT id, split_part(target, '#', 1) AS target_service FROM edges"))(lambda g: explore.target_services(g.edges, g.endpoints, g.handlers))
+_ENTRY = "WITH RECURSIVE {0}, st AS (SELECT DISTINCT service || '#' || id AS src, service || '#' || c AS dst FROM (SELECT service, id, unnest(calls) AS c FROM handlers) t), rh(entry, handler) AS (SELECT DISTINCT service || '#' || handler, service || '#' || handler FROM endpoints UNION SELECT rh.entry, st.dst FROM rh JOIN st ON st.src = rh.handler)"
+graph_query("qry_08_reachable_handlers", _ENTRY.format(tw.ESTATE) + " SELECT entry, handler FROM rh")(lambda g: explore.reachable_handlers(g.edges.filter("kind = 'internal'"), g.endpoints.select(fn.handler_node("service", "handler").alias("entry")).distinct()))
+_OUT = "ob AS (SELECT rh.entry, e.* FROM rh JOIN edges e ON (e.kind IN ('http', 'publish', 'declared') AND e.fromHandler = rh.handler) OR (e.kind = 'http-detail' AND e.source = rh.handler))"
+_IMPACT = _ENTRY.format(", ".join([tw.RESOLVED, *E_ALL])) + f", {_OUT}"
+
+
+@query("qry_09_outbound", _IMPACT + f" SELECT entry, {P} FROM ob")
+def qry_09(spark, sf_dir):
+    g = est.graph(spark, sf_dir)
+    reached = explore.reachable_handlers(g.edges.filter("kind = 'internal'"), g.endpoints.select(fn.handler_node("service", "handler").alias("entry")).distinct())
+    return explore.outbound(g.edges, reached).select("entry", "id", "kind", "source", "target")
+
+
+graph_query("qry_10_endpoint_impact", _IMPACT + " SELECT p.service || '#' || p.id AS endpoint, ob.id, ob.target FROM endpoints p JOIN ob ON ob.entry = p.service || '#' || p.handler WHERE p.service IN ('nation-1', 'nation-2')")(lambda g: explore.endpoint_impact(g, g.endpoints.filter("service in ('nation-1', 'nation-2')"))[1].select("endpoint", "id", "target"))
+
+_G = f"g AS (SELECT src AS source, dst AS target, src || '>' || dst AS id FROM {STATIC} x)"
+_HOPS = f"""WITH {_G}, n0 AS (SELECT DISTINCT source AS origin, source AS node, 0 AS depth FROM g),
+o1 AS (SELECT DISTINCT n.origin, g.target AS node, 1 AS depth FROM n0 n JOIN g ON g.source = n.node WHERE g.target <> n.origin),
+v1 AS (SELECT * FROM n0 UNION ALL SELECT * FROM o1),
+o2 AS (SELECT DISTINCT n.origin, g.target AS node, 2 AS depth FROM o1 n JOIN g ON g.source = n.node WHERE (n.origin, g.target) NOT IN (SELECT origin, node FROM v1)),
+v2 AS (SELECT * FROM v1 UNION ALL SELECT * FROM o2),
+i1 AS (SELECT DISTINCT n.origin, g.source AS node, 1 AS depth FROM n0 n JOIN g ON g.target = n.node WHERE (n.origin, g.source) NOT IN (SELECT origin, node FROM v2))
+SELECT * FROM v2 UNION ALL SELECT * FROM i1"""
+
+
+@query("qry_11_neighbourhood", _HOPS)
+def qry_11(spark, sf_dir):
+    e = est.run(spark, sf_dir, est.SQL["graph"]).select(F.concat_ws(">", "src", "dst").alias("id"), F.col("src").alias("source"), F.col("dst").alias("target"))
+    return explore.neighbourhood(e, e.select(F.col("source").alias("origin")).distinct(), 1, 2)[0]
+
+
+@query("qry_11_reach", f"WITH RECURSIVE {_G}, r(seed, node) AS (SELECT DISTINCT source, source FROM g UNION SELECT r.seed, g.target FROM r JOIN g ON g.source = r.node) SELECT seed, node FROM r")
+def qry_11_reach(spark, sf_dir):
+    e = est.run(spark, sf_dir, est.SQL["graph"])
+    return reach.reach(e, e.select(F.col("src").alias("seed"), F.col("src").alias("node")).distinct()).select("seed", "node")
+
+
+graph_query("qry_12_headline", shown("SELECT (SELECT count(*) FROM svc) AS services, (SELECT count(*) FROM endpoints) AS endpoints, (SELECT count(*) FROM topics) AS topics, (SELECT count(*) FROM m) AS edges, (SELECT count(*) FROM m WHERE confidence < 0.5 OR resolution = 'unresolved') AS unresolved, 0::BIGINT AS flows"))(lambda g: explore.headline(g, g.topics.limit(0)).drop("issues"))
+_KEPT = "n AS (SELECT id FROM svc WHERE layer IN ('ui', 'domain')), w AS (SELECT * FROM m WHERE (source IN (SELECT id FROM n) OR source IN (SELECT id FROM topics)) AND (target IN (SELECT id FROM n) OR target IN (SELECT id FROM topics)))"
+graph_query("qry_13_visible_edges", shown(f"SELECT {P} FROM w", _KEPT))(lambda g: plain_edges(explore.visible(g, explore.GraphQuery(layers=frozenset({"ui", "domain"})))[1]))
+graph_query("qry_13_visible_nodes", shown("SELECT id, 'service' AS kind FROM n UNION ALL SELECT id, 'topic' FROM topics WHERE id IN (SELECT source FROM w) OR id IN (SELECT target FROM w)", _KEPT))(lambda g: explore.visible(g, explore.GraphQuery(layers=frozenset({"ui", "domain"})))[0])
+graph_query("qry_14_collapsed_topics", shown("SELECT 'via:' || p.id || '>' || c.id AS id, p.source, c.target, regexp_replace(p.target, '^[^:]*:[^:]*:', '') AS url FROM m p JOIN m c ON p.kind = 'publish' AND c.kind = 'consume' AND c.source = p.target"))(lambda g: explore.collapsed_topics(g.edges).select("id", "source", "target", "url"))
+graph_query("qry_15_focus", shown("SELECT id FROM svc WHERE id = 'nation-3' OR id IN (SELECT target FROM m WHERE source = 'nation-3') OR id IN (SELECT source FROM m WHERE target = 'nation-3') UNION SELECT t.id FROM topics t WHERE EXISTS (SELECT 1 FROM m WHERE (m.source = 'nation-3' AND m.target = t.id) OR (m.target = 'nation-3' AND m.source = t.id))"))(lambda g: explore.visible(g, explore.GraphQuery(focus="nation-3"))[0].select("id"))
+graph_query("qry_16_search", shown("SELECT id FROM svc s WHERE id LIKE '%brand-1%' OR lower(name) LIKE '%brand-1%' OR EXISTS (SELECT 1 FROM endpoints e WHERE e.service = s.id AND e.path LIKE '%brand-1%') UNION SELECT id FROM topics WHERE name LIKE '%brand-1%'"))(lambda g: explore.search_nodes(g, "BRAND-1"))
+graph_query("qry_17_dimmed", shown("SELECT id, id <> 'nation-3' AND id NOT IN (SELECT target FROM m WHERE source = 'nation-3') AS dim FROM svc"))(lambda g: explore.dimmed(g.services, near=g.edges.filter("kind in ('http', 'declared', 'publish', 'consume') and source = 'nation-3'").select(F.col("target").alias("id")).union(g.services.filter("id = 'nation-3'").select("id"))))
+graph_query("qry_18_endpoint_table", _IMPACT + " SELECT p.service || '#' || p.id AS node, s.name AS service_name, s.layer, (SELECT count(DISTINCT target) FROM ob WHERE ob.entry = p.service || '#' || p.handler AND ob.kind <> 'http') AS downstream FROM endpoints p JOIN services s ON s.id = p.service")(lambda g: explore.endpoint_table(g, no_flows(g)).select("node", "service_name", "layer", "downstream"))
+graph_query("qry_19_drill_targets", tw.over_estate("SELECT service || '#' || id AS node, 'map' AS view, service AS target FROM endpoints"))(lambda g: explore.drill_targets(g.endpoints, no_flows(g)))
+graph_query("qry_20_issues", tw.over_resolved(f"SELECT level, code, count(*) AS n FROM ({_hint} UNION ALL {_paths} UNION ALL {_unresolved}) t GROUP BY ALL"))(lambda g: explore.issue_table(g.issues, ("warn",), "", "nation").filter("code like 'call:%'").groupBy("level", "code").agg(F.count("*").alias("n")))
+graph_query("qry_23_calls_with_details", shown("SELECT e.id AS edge, e.source, e.target, (SELECT count(*) FROM edges d WHERE d.kind = 'http-detail' AND starts_with(d.source, e.source || '#') AND split_part(d.target, '#', 1) = e.target) AS n FROM edges e WHERE kind IN ('http', 'declared')"))(lambda g: explore.calls_with_details(g).select("edge", "source", "target", F.size("details").cast("long").alias("n")))
+graph_query("qry_25_topic_detail", shown("SELECT t.id AS topic, coalesce((SELECT string_agg(DISTINCT source, ',' ORDER BY source) FROM m WHERE kind = 'publish' AND target = t.id), '') AS publishers, coalesce((SELECT string_agg(DISTINCT target, ',' ORDER BY target) FROM m WHERE kind = 'consume' AND source = t.id), '') AS consumers FROM topics t"))(lambda g: explore.topic_detail(g).select("topic", F.array_join("publishers", ",").alias("publishers"), F.array_join("consumers", ",").alias("consumers")))
+graph_query("qry_26_edge_detail", shown("SELECT id, split_part(source, '#', 1) AS source_service, split_part(target, '#', 1) AS target_service FROM edges"))(explore.edge_detail)
+graph_query("qry_27_layers", shown(f"SELECT DISTINCT layer, {tw.layer_index('layer')} AS place FROM svc"))(lambda g: explore.present_layers(g.services))
+graph_query("qry_29_topic_ranks", shown(f"SELECT id, 2 * {tw.layer_index('layer')} AS rank FROM svc UNION ALL SELECT id, coalesce((SELECT max(2 * {tw.layer_index('layer')}) FROM svc JOIN m ON m.kind = 'publish' AND m.source = svc.id AND m.target = t.id) + 1, greatest(0, (SELECT min(2 * {tw.layer_index('layer')}) FROM svc JOIN m ON m.kind = 'consume' AND m.target = svc.id AND m.source = t.id) - 1), 7) FROM topics t"))(explore.topic_ranks)
+
+
+def no_flows(g) -> DataFrame:
+    return g.topics.sparkSession.createDataFrame([], "flow_id string, entry_service string, entry_ref string, rank int")
+
+
+# --- flows, over the sparse graph
+
+_FLOW_CALLS = "SELECT CAST(substr(src, 8) AS INT) AS m_ord, CAST(row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS INT) AS i_ord, src AS service, dst AS id, 'GET' AS method, concat('{base}/at/', dst) AS url, dst AS targetService, 'H' AS fromHandler FROM (" + est.SQL["graph"] + ") t"
+_flow_cache: dict = {}
+
+
+def flow_graph(spark: SparkSession, sf_dir: str, depth: int = 3):
+    """Every nation serves one endpoint, whose handler calls its two main suppliers."""
+    from ..operators.estate import estate_of
+    from .session import cut
+
+    key = (spark.sparkContext.applicationId, sf_dir, depth)
+    if key not in _flow_cache:
+        _flow_cache.clear()
+        s = est.run(spark, sf_dir, est.SQL["services"]).withColumn("layer", F.lit("domain"))
+        h = s.select("m_ord", F.lit(0).alias("i_ord"), F.col("id").alias("service"), F.lit("H").alias("id"), F.lit("H").alias("name"), F.array().cast("array<string>").alias("calls"))
+        p = s.select("m_ord", F.lit(0).alias("i_ord"), F.col("id").alias("service"), F.lit("E").alias("id"), F.lit("GET").alias("method"), F.concat(F.lit("/at/"), "id").alias("path"), F.lit("H").alias("handler"))
+        g = build.build_graph(estate_of(spark, services=s, handlers=h, endpoints=p, calls=est.run(spark, sf_dir, _FLOW_CALLS)), Config(max_depth=depth))
+        _flow_cache[key] = (g, *map(cut, flows.derive_flows(g)))
+    return _flow_cache[key]
+
+
+_FLOW_SQL = f"""WITH RECURSIVE g AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS k FROM {STATIC} x),
+roots AS (SELECT 'nation-' || n_nationkey AS root FROM nation WHERE 'nation-' || n_nationkey NOT IN (SELECT dst FROM g)),
+w(root, node, depth, path, sort) AS (SELECT root, root, 0, [root], []::BIGINT[] FROM roots UNION ALL SELECT w.root, g.dst, w.depth + 1, list_append(w.path, g.dst), list_append(w.sort, g.k) FROM w JOIN g ON g.src = w.node WHERE w.depth <= 3 AND (len(w.path) = 1 OR NOT list_contains(w.path[1:len(w.path) - 1], w.node))),
+s AS (SELECT root, node, sort FROM w)
+"""
+_STEPS = "SELECT 'flow-' || root || '-get-at-' || root AS flow_id, CAST(row_number() OVER (PARTITION BY root ORDER BY sort) AS INT) AS step_no, node AS service FROM s WHERE root IN (SELECT root FROM s GROUP BY 1 HAVING count(*) > 1)"
+
+
+def flow_query(key: str, sql: str | None = None):
+    def add(f):
+        return query(key, sql)(lambda spark, sf_dir: f(*flow_graph(spark, sf_dir)))
+
+    return add
+
+
+flow_query("flw_03_steps", _FLOW_SQL + _STEPS)(lambda g, f, s: s.select("flow_id", "step_no", "service"))
+flow_query("flw_05_roots", _FLOW_SQL + "SELECT root AS service FROM roots")(lambda g, f, s: flows.roots(g).filter("kind = 'endpoint'").select("service"))
+flow_query("flw_10_flows", _FLOW_SQL + "SELECT 'flow-' || root || '-get-at-' || root AS flow_id, 'GET /at/' || root AS name, CAST(count(*) AS INT) AS n_steps FROM s GROUP BY root HAVING count(*) > 1")(lambda g, f, s: f.select("flow_id", "name", "n_steps"))
+flow_query("flw_11_step_text", _FLOW_SQL + "SELECT flow_id, step_no, CASE WHEN step_no = 1 THEN 'GET /at/' || service ELSE 'GET {base}/at/' || service END AS description FROM (" + _STEPS + ") t")(lambda g, f, s: s.select("flow_id", "step_no", "description"))
+flow_query("qry_04_flow_by_entry", _FLOW_SQL + "SELECT root || '#E' AS node, 'flow-' || root || '-get-at-' || root AS flow_id FROM s GROUP BY root HAVING count(*) > 1")(lambda g, f, s: explore.flow_by_entry(f, g.endpoints))
+flow_query("qry_07_flows_of_services", _FLOW_SQL + "SELECT DISTINCT service, flow_id FROM (" + _STEPS + ") t")(lambda g, f, s: explore.flows_of_services(f, s))
+flow_query("qry_21_flow_search", _FLOW_SQL + "SELECT flow_id, count(DISTINCT service) AS services FROM (" + _STEPS + ") t GROUP BY 1 HAVING bool_or(contains(service, 'nation-1')) OR flow_id LIKE '%nation-1%'")(lambda g, f, s: explore.search_flows(f, s, "Nation-1"))
+flow_query("qry_22_service_detail")(lambda g, f, s: explore.service_detail(g, f, s))
+flow_query("qry_24_impact_rows")(lambda g, f, s: explore.impact_rows(explore.endpoint_impact(g)[1], explore.target_services(g.edges, g.endpoints, g.handlers)).select("endpoint", "id", "kind", "target_service"))
+flow_query("seq_01_arrows")(lambda g, f, s: sequence.arrows(f, s, g.edges, g.services, g.topics))
+flow_query("seq_04_edges", _FLOW_SQL + "SELECT flow_id, step_no FROM (" + _STEPS + ") t WHERE step_no > 1")(lambda g, f, s: sequence.arrows(f, s, g.edges, g.services, g.topics).filter("edge is not null").select("flow_id", "step_no"))
+flow_query("seq_05_lifelines")(lambda g, f, s: sequence.lifelines(sequence.arrows(f, s, g.edges, g.services, g.topics), f, g.services, g.topics))
+flow_query("seq_06_first_steps", _FLOW_SQL + "SELECT flow_id, service AS node, min(step_no) AS step_no FROM (" + _STEPS + ") t GROUP BY ALL")(lambda g, f, s: sequence.first_steps(sequence.arrows(f, s, g.edges, g.services, g.topics), f))
+flow_query("seq_06_edge_notes")(lambda g, f, s: sequence.edge_notes(sequence.arrows(f, s, g.edges, g.services, g.topics)))
+flow_query("snk_01_graph_document")(lambda g, f, s: docs.graph_document(g, f, s))
+flow_query("snk_03_index_page")(lambda g, f, s: docs.index_page(g, f, s))
+flow_query("snk_03_service_pages")(lambda g, f, s: docs.service_pages(g))
+flow_query("snk_03_flow_pages")(lambda g, f, s: docs.flow_pages(g, f, s))
+flow_query("snk_04_service_map")(lambda g, f, s: docs.service_map(g))
+flow_query("snk_05_sequences")(lambda g, f, s: docs.sequences(g, f, s))
+
+# --- as-of joins over conversations
+
+@query("seq_02_callers", f"WITH t AS ({_CONV_SQL}) SELECT a.flow_id, a.step_no, max_by(b.service, b.step_no) AS caller FROM t a JOIN t b ON b.flow_id = a.flow_id AND b.step_no < a.step_no AND b.service <> a.service AND b.kind <> 'publish' WHERE a.kind = 'endpoint' GROUP BY ALL")
+def seq_02(spark, sf_dir):
+    steps = est.run(spark, sf_dir, _CONV)
+    roles = steps.select("service").distinct()
+    e = roles.crossJoin(roles.withColumnRenamed("service", "target")).filter("service <> target").select(F.lit("http").alias("kind"), F.col("service").alias("source"), "target")
+    return sequence.inferred_callers(steps, e)
+
+
+@query("seq_03_topics", f"WITH t AS ({_CONV_SQL}) SELECT a.flow_id, a.step_no, coalesce(max_by(b.ref, b.step_no) FILTER (b.ref = 'topic-' || a.service), max_by(b.ref, b.step_no)) AS topic FROM (SELECT * FROM t WHERE kind = 'consumer') a LEFT JOIN (SELECT flow_id, step_no, 'topic-' || service AS ref FROM t WHERE kind = 'publish') b ON b.flow_id = a.flow_id AND b.step_no < a.step_no GROUP BY ALL")
+def seq_03(spark, sf_dir):
+    steps = est.run(spark, sf_dir, _CONV)
+    steps = steps.withColumn("ref", F.when(F.col("kind") == "publish", F.concat(F.lit("topic-"), "service")).otherwise(F.col("ref")))
+    heard = steps.select("service").distinct().select(F.lit("consume").alias("kind"), F.concat(F.lit("topic-"), "service").alias("source"), F.col("service").alias("target"))
+    return sequence.inferred_topics(steps, heard)
+
+
+@query("src_06_build_files", "SELECT page_id, dep AS dependency FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS dep FROM pages) t GROUP BY ALL")
+def src_06(spark, sf_dir):
+    files = est.run(spark, sf_dir, "SELECT concat(CAST(page_id AS STRING), '/pom.xml') AS file, regexp_replace(html, 'href=\"([^\"]+)\"', '<artifactId>$1</artifactId>') AS text FROM pages")
+    return src.build_dependencies(files).select(F.split("file", "/")[0].cast("long").alias("page_id"), "dependency")
+
+
+@query("snk_06_gate", tw.over_resolved("SELECT true AS failed"))
+def snk_06(spark, sf_dir):
+    return spark.createDataFrame([(docs.gate(est.graph(spark, sf_dir).issues, "warn"),)], "failed boolean")
