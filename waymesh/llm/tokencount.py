@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 from functools import lru_cache
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,8 +29,8 @@ from .langid import MARK, pieces, vocabulary_path
 
 BYTE_SCORE = -20.0
 LONG = 64
-MAX_NODES = 400_000
-MAX_WORDS = 300_000
+MAX_NODES = 700_000
+MAX_WORDS = 900_000
 
 
 @lru_cache(maxsize=4)
@@ -78,7 +79,7 @@ class Trie:
         self.clear()
 
     def clear(self):
-        self.next: dict[tuple[int, str], int] = {}
+        self.next: dict[int, int] = {}
         self.best = [(0.0, 0)]
 
     def count(self, word: str) -> int:
@@ -86,15 +87,16 @@ class Trie:
             return count_alone(word, self.known)
         if len(self.best) > self.max_nodes:
             self.clear()
-        node, path = 0, [self.best[0]]
+        best, get, node = self.best, self.next.get, 0
+        path = [best[0]]
+        add = path.append
         for d, c in enumerate(word, 1):
-            to = self.next.get((node, c))
-            if to is None:
-                to = len(self.best)
-                self.best.append(extend(word, d, path, self.known))
-                self.next[node, c] = to
-            node = to
-            path.append(self.best[node])
+            key = node << 21 | ord(c)
+            node = get(key)
+            if node is None:
+                node = self.next[key] = len(best)
+                best.append(extend(word, d, path, self.known))
+            add(best[node])
         return -path[-1][1]
 
 
@@ -104,6 +106,19 @@ def memory(path: str) -> tuple[Trie, dict[str, int]]:
     return Trie(scores(path)), {}
 
 
+def count_texts(texts: list[str], trie: Trie, counts: dict[str, int]) -> list[tuple[int, int]]:
+    """(pre-tokens, tokens) of each text. What a worker remembers is bounded by forgetting what it learned last."""
+    words = [t.split() for t in texts]
+    new = set().union(*words).difference(counts)
+    if counts and len(counts) + len(new) > MAX_WORDS:
+        for w in list(islice(counts, len(counts) // 2, None)):
+            del counts[w]
+        new = set().union(*words).difference(counts)
+    for w in sorted(new):
+        counts[w] = trie.count(MARK + w)
+    return [(len(w), sum(map(counts.__getitem__, w))) for w in words]
+
+
 def count_tokens(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str | None = None) -> DataFrame:
     """One row per row of ``docs``: key, n_pretokens, n_tokens, n_bytes."""
     path = path or vocabulary_path()
@@ -113,16 +128,8 @@ def count_tokens(docs: DataFrame, text: str = "text", key: str = "doc_id", path:
     def count(batches):
         trie, counts = memory(path)
         for b in batches:
-            rows = []
-            for t in strings(b.column(1)):
-                words = t.split()
-                new = {w for w in words if w not in counts}
-                if len(counts) + len(new) > MAX_WORDS:
-                    counts.clear()
-                    new = set(words)
-                for w in sorted(new):
-                    counts[w] = trie.count(MARK + w)
-                rows.append((len(words), sum(map(counts.__getitem__, words)), len(t.encode())))
+            texts = strings(b.column(1))
+            rows = [(n, t, len(x.encode())) for (n, t), x in zip(count_texts(texts, trie, counts), texts)]
             yield batch_of(schema, b.column(0), *(list(zip(*rows)) or [[]] * 3))
 
     return docs.select(F.col(key).cast("long").alias("key"), text).mapInArrow(count, "key long, n_pretokens long, n_tokens long, n_bytes long").withColumnRenamed("key", key)
