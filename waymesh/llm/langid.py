@@ -37,7 +37,7 @@ UNKNOWN = -16.0
 #: Parameters: about so many labelled rows are learned from at most; rounds of expectation maximisation; cached words in a worker.
 TRAIN_ROWS = 6000
 ROUNDS = 3
-CACHE_WORDS = 250_000
+CACHE_WORDS = 700_000
 SMOOTH = 1e-7
 
 
