@@ -298,3 +298,14 @@ def infer_services(f: Facts, names: DataFrame | None = None) -> DataFrame:
     n = f.files.filter("language <> ''").groupBy("service", "language").agg(F.count("*").alias("k"))
     top = n.groupBy("service").agg(F.max_by("language", F.struct("k", "language")).alias("language"))
     return top.select((F.row_number().over(Window.orderBy("service")) - 1).alias("m_ord"), fn.service_slug("service").alias("id"), c("service").alias("name"), fn.infer_layer("service").alias("layer"), "language")
+
+
+def drop_dangling(e: Estate) -> Estate:
+    """Items whose handler the service doesn't have go, each leaving a warning."""
+    known, issues, kept = e.handlers.select("service", c("id").alias("__h")).distinct(), [e.issues], {}
+    for name, column in (("endpoints", "handler"), ("consumers", "handler"), ("calls", "fromHandler"), ("publishes", "fromHandler")):
+        rows = getattr(e, name).withColumn("__h", c(column))
+        kept[name] = rows.join(known, ["service", "__h"], "left_semi").drop("__h")
+        message = F.concat(F.lit(f"{name} item "), "id", F.lit(" refers to missing handler "), F.coalesce("__h", F.lit("undefined")))
+        issues.append(rows.join(known, ["service", "__h"], "left_anti").select("m_ord", "i_ord", "service", F.lit("warn").alias("level"), F.lit("dangling-handler").alias("code"), message.alias("message"), "loc"))
+    return e.replace(**kept, issues=reduce(DataFrame.unionByName, issues))

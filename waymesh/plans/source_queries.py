@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import extract
+from ..operators import extract, flows
+from ..operators.estate import Estate
+from ..schema import MANIFEST
+from ..sources import manifests as src
+from ..sources import sinks
 from ..sources.parsing.facts import Facts, parse_sources
 from . import estate as est
-from .queries import query
+from . import twins as tw
+from .queries import fault_sql, faulty, query
 
 SOURCES = {
     "Orders$NController.cs": """using X.Y;
@@ -105,3 +110,48 @@ fact_query("plg_19_publishes", "'kafka' AS broker, 'order' || n || '.created' AS
 fact_query("cgr_02_call_graph", *(f"'Order{a}' AS caller, 'Order{b}' AS callee".replace("#", "' || n || '") for a, b in (("s#Controller.Create", "#Service.Place"), ("s#Controller.Get", "#Service.Find"), ("#Service.Place", "#Service.Tell"), ("#Service.Place", "#Service.Find"))), "'StockController.on', 'StockController.log'")(lambda f: extract.call_graph(f).filter("caller not like 'src/%'"))
 fact_query("asm_02_handlers", *(f"{i} AS id, '{k}' AS kind" for i, k in (("'Orders' || n || 'Controller.Create'", "http"), ("'Orders' || n || 'Controller.Get'", "http"), ("'Orders' || n || 'Controller.Gone'", "http"), ("'Order' || n || 'Service.Place'", "service"), ("'Order' || n || 'Service.Tell'", "service"), ("'StockController.get'", "http"), ("'StockController.on'", "message"), ("'src/load.ts:load'", "service"))))(lambda f: extract.assemble(f, extract.infer_services(f)).handlers.filter("id not like '%anon@%'").select("service", "id", "kind"))
 fact_query("asm_06_services", "'shop-' || n AS id, 'typescript' AS language, 'unknown' AS layer")(lambda f: extract.infer_services(f).select(F.col("name").alias("service"), "id", "language", "layer"))
+
+
+# --- documents and dangling items of the estate
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The estate's manifests, written as documents and parsed again."""
+    docs = sinks.manifest_documents(est.estate(spark, sf_dir))
+    parsed = docs.select(F.from_json("json", MANIFEST).alias("m")).select("m.*")
+    return parsed.withColumn("m_ord", F.substring_index("service.id", "-", -1).cast("int"))
+
+
+@query("src_01_manifests", tw.over_estate("SELECT m_ord, i_ord, service, id, method, url, targetHint, fromHandler FROM calls"))
+def src_01(spark, sf_dir):
+    return src.estate(documents(spark, sf_dir)).calls.select("m_ord", "i_ord", "service", "id", "method", "url", "targetHint", "fromHandler")
+
+
+@query("snk_02_manifest_sizes", tw.over_estate("SELECT id, (SELECT count(*) FROM handlers h WHERE h.service = s.id) AS handlers, (SELECT count(*) FROM declared d WHERE d.service = s.id) AS declared FROM services s"))
+def snk_02(spark, sf_dir):
+    return documents(spark, sf_dir).select(F.col("service.id").alias("id"), F.size("handlers").cast("long").alias("handlers"), F.size("declaredDependencies").cast("long").alias("declared"))
+
+
+_lost = " UNION ALL ".join(f"SELECT service, '{n} item ' || id || ' refers to missing handler ' || {h} AS message FROM {fault_sql(n)} x WHERE NOT EXISTS (SELECT 1 FROM {fault_sql('handlers')} y WHERE y.service = x.service AND y.id = x.{h})" for n, h in (("endpoints", "handler"), ("consumers", "handler"), ("calls", "fromHandler"), ("publishes", "fromHandler")))
+
+
+@query("asm_05_dangling", _lost)
+def asm_05(spark, sf_dir):
+    e = est.estate(spark, sf_dir)
+    broken = Estate(e.services, *(faulty(spark, sf_dir, n) for n in ("handlers", "endpoints", "consumers", "calls", "publishes")), e.declared, e.issues.limit(0))
+    return extract.drop_dangling(broken).issues.select("service", "message")
+
+
+@query("flw_06_consumer_roots", tw.over_estate("SELECT service, 'consume:' || service || ':' || id AS ref FROM consumers WHERE (broker, CASE WHEN broker = 'rabbitmq' AND exchange IS NOT NULL THEN exchange ELSE topic END) NOT IN (SELECT broker, topic FROM publishes)"))
+def flw_06(spark, sf_dir):
+    return flows.roots(est.graph(spark, sf_dir)).filter("kind = 'consumer'").select("service", "ref")
+
+
+@query("flw_07_ui_roots", tw.over_resolved("SELECT DISTINCT service, service || '#' || fromHandler AS ref FROM resolved WHERE service IN (SELECT id FROM services WHERE layer = 'ui')"))
+def flw_07(spark, sf_dir):
+    return flows.roots(est.graph(spark, sf_dir)).filter("kind = 'handler'").select("service", "ref")
+
+
+@query("flw_02_walks")
+def flw_02(spark, sf_dir):
+    e = est.estate(spark, sf_dir)
+    return flows.walks(e.handlers, e.endpoints.select("service", F.col("handler").alias("entry")))
