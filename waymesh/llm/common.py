@@ -58,6 +58,22 @@ def filesystem(uri: str):
     return (fs.LocalFileSystem(), os.path.abspath(uri)) if "://" not in uri and not uri.startswith("file:") else fs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:", "file://", 1))
 
 
+_resident: dict = {}
+
+
+def resident(key, make):
+    """What a worker process keeps between its tasks: one thing at a time, so that stages of a pipeline don't add up."""
+    if key not in _resident:
+        _resident.clear()
+        _resident[key] = make()
+    return _resident[key]
+
+
+def release() -> None:
+    """Drop what an earlier stage has left in this worker process."""
+    _resident.clear()
+
+
 def strings(column: pa.Array) -> list[str]:
     """Texts of an Arrow column; null is the empty text."""
     return ["" if x is None else x for x in column.to_pylist()]

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import batch_of, small_batches, strings, written
+from .common import batch_of, release, small_batches, strings, written
 
 #: Fixed value: a word, after A-Z are lower-cased.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -71,6 +71,7 @@ def shingle_counts(docs: DataFrame, wanted: frozenset[str], text: str = "text",
     alone = frozenset(s for s in wanted if " " not in s)
 
     def count(batches):
+        release()
         total: Counter = Counter()
         for b in batches:
             for t in strings(b.column(0)):

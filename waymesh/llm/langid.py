@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, hashed_share, small_batches, strings, written
+from .common import batch_of, hashed_share, resident, small_batches, strings, written
 
 LETTERS = regex.compile(r"\p{L}+")
 PLAIN = re.compile("[a-z]+")
@@ -37,7 +37,7 @@ UNKNOWN = -16.0
 #: Parameters: about so many labelled rows are learned from at most; rounds of expectation maximisation; cached words in a worker.
 TRAIN_ROWS = 6000
 ROUNDS = 3
-CACHE_WORDS = 700_000
+CACHE_WORDS = 500_000
 SMOOTH = 1e-7
 
 
@@ -275,17 +275,6 @@ def train(samples: DataFrame, text: str = "text", lang: str = "lang", key: str =
     return Model(langs, logp, path)
 
 
-_scorers: dict = {}
-
-
-def scorer_of(number: str, held):
-    """The scorer of a broadcast model, kept with its cache between a worker's tasks."""
-    if number not in _scorers:
-        _scorers.clear()
-        _scorers[number] = Model(*held.value).scorer()
-    return _scorers[number]
-
-
 def learnable(docs: DataFrame) -> DataFrame:
     """The rows a model may learn from: labelled, and outside the held-out fifth."""
     return docs.filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).filter("text is not null and lang is not null")
@@ -301,7 +290,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
     names = [f.name for f in fields] + ["lang_pred", "score"]
 
     def mark(batches):
-        predict = scorer_of(number, held)
+        predict = resident(number, lambda: Model(*held.value).scorer())
         for b in batches:
             found = predict(strings(b.column(b.num_columns - 1)))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=names)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, small_batches, strings, written
+from .common import batch_of, release, small_batches, written
 from .components import connected_components
 
 SHINGLE_WORDS = 3
@@ -64,6 +64,7 @@ def fingerprints(docs: DataFrame, n: int = SHINGLE_WORDS) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
     def mark(batches):
+        release()
         for b in batches:
             fps = np.array([fingerprint(t, n) for t in b.column(1).to_pylist()], np.uint64)
             yield batch_of(schema, b.column(0), pa.array(fps.view(np.int64)))

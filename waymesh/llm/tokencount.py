@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, small_batches, strings
+from .common import batch_of, resident, small_batches, strings
 from .langid import MARK, pieces, vocabulary_path
 
 BYTE_SCORE = -20.0
@@ -100,12 +100,6 @@ class Trie:
         return -path[-1][1]
 
 
-@lru_cache(maxsize=2)
-def memory(path: str) -> tuple[Trie, dict[str, int]]:
-    """The trie and the counts of a worker process, kept between its tasks."""
-    return Trie(scores(path)), {}
-
-
 def count_texts(texts: list[str], trie: Trie, counts: dict[str, int]) -> list[tuple[int, int]]:
     """(pre-tokens, tokens) of each text. What a worker remembers is bounded by forgetting what it learned last."""
     words = [t.split() for t in texts]
@@ -126,7 +120,7 @@ def count_tokens(docs: DataFrame, text: str = "text", key: str = "doc_id", path:
     schema = pa.schema([("key", pa.int64()), ("n_pretokens", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64())])
 
     def count(batches):
-        trie, counts = memory(path)
+        trie, counts = resident(("tokencount", path), lambda: (Trie(scores(path)), {}))
         for b in batches:
             texts = strings(b.column(1))
             rows = [(n, t, len(x.encode())) for (n, t), x in zip(count_texts(texts, trie, counts), texts)]

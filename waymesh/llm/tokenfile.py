@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import batch_of, filesystem, scratch, small_batches, strings, written
+from .common import batch_of, filesystem, resident, scratch, small_batches, strings, written
 
 MAGIC = b"BPT1"
 END_ID = 2
@@ -48,7 +48,7 @@ LEVEL = 3
 #: Rows of one file at most, about.
 FILE_ROWS = 1 << 16
 #: Pre-tokens a worker remembers at most, and characters it takes at a time.
-CACHE = 1_200_000
+CACHE = 1_000_000
 PIECE_CHARS = 1_500_000
 
 #: Fixed value: how the byte-level vocabulary cuts a text into pre-tokens.
@@ -259,10 +259,9 @@ PLAIN = re.compile("[\t-\r -~]*")
 CUT = re.compile("[a-z.,](?= [A-Za-z])")
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """One for each worker process, kept between its tasks."""
-    return Encoder(path)
+    return resident(("encoder", path), lambda: Encoder(path))
 
 
 def to_planes(values: np.ndarray, mode: str = "byte") -> list[bytes]:
