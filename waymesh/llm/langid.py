@@ -29,7 +29,7 @@ from .common import batch_of, hashed_share, resident, small_batches, strings, wr
 LETTERS = regex.compile(r"\p{L}+")
 PLAIN = re.compile("[a-z]+")
 GAP = re.compile("[ -@]")
-BLOCK_CHARS = 2_000_000
+BLOCK_CHARS = 800_000
 PART = 64
 MARK = "▁"
 #: Log probability of a character that no piece covers, the same in each language.
@@ -37,7 +37,7 @@ UNKNOWN = -16.0
 #: Parameters: about so many labelled rows are learned from at most; rounds of expectation maximisation; cached words in a worker.
 TRAIN_ROWS = 6000
 ROUNDS = 3
-CACHE_WORDS = 500_000
+CACHE_WORDS = 400_000
 SMOOTH = 1e-7
 
 
@@ -169,8 +169,8 @@ class Model:
             first = len(cache)
             if first + len(words) > len(rows):  # one block of texts has more words than the cache
                 rows = np.concatenate((rows[:first], np.empty((len(words), width))))
-            for i in range(0, len(words), 8192):
-                part = words[i : i + 8192]
+            for i in range(0, len(words), 4096):
+                part = words[i : i + 4096]
                 cut = [(k, MARK + x[j : j + PART] if not j else x[j : j + PART]) for k, x in enumerate(part) for j in range(0, len(x), PART)]
                 scores = np.zeros((len(part), width))
                 np.add.at(scores, [k for k, _ in cut], forward([x for _, x in cut], self.logp, known))
