@@ -129,17 +129,18 @@ class Encoder:
 
     A byte-level vocabulary encodes each pre-token by itself, so a worker asks the library for each pre-token once and
     remembers its ids. Pre-tokens are found, looked up by a 64-bit hash, compared with what is remembered character by
-    character, and written out in array operations. Texts with characters that aren't settled, and other kinds of
-    tokenizer, go to the library as they are.
+    character, and written out in array operations. Texts with characters that aren't settled or with the literal of an
+    added token (which the library cuts out before pre-tokens), and other kinds of tokenizer, go to the library as they are.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True
         p = self.lib.pre_tokenizer
         self.cuts = isinstance(p, pre_tokenizers.ByteLevel) and p.use_regex and not p.add_prefix_space and self.lib.normalizer is None
+        added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) if added else "(?!)")
         self.kinds = classes()
         self.random = np.random.default_rng(1).integers(1, 2**63, 65536, np.uint64)
         odd, inverse = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 2**64)
@@ -220,6 +221,9 @@ class Encoder:
         for i, t in enumerate(texts):
             if not t:
                 continue
+            if self.added.search(t):
+                out[i] = self.whole([t])[0]
+                continue
             settled = self.cuts and self.settled(t)
             if not settled or len(t) > PIECE_CHARS:
                 some = lambda x: self.together(x) if settled and len(x[0]) <= 2 * PIECE_CHARS else self.whole(x)
