@@ -17,15 +17,17 @@ def manifest(id, layer, name=None, handlers=(), endpoints=(), calls=(), publishe
     }
 
 
-FIVE = [
-    manifest("web-ui", "ui", "Web UI", [("OrdersPage.submit", "client")], calls=[("c1", "POST", "{import.meta.env.VITE_ORDERS_EXP_URL}/v1/orders", "VITE_ORDERS_EXP_URL", "OrdersPage.submit")]),
-    manifest("orders-experience-api", "experience", None, [("OrdersController.create", "http", "OrdersService.create"), ("OrdersService.create", "service")], [("POST", "/v1/orders", "OrdersController.create")], [("c1", "POST", "{base}/api/orders", "ORDERS_CAP_URL", "OrdersService.create")]),
-    manifest("orders-capability-api", "capability", None, [("OrdersController.Create", "http", "OrderService.Place"), ("OrderService.Place", "service")], [("POST", "/api/orders", "OrdersController.Create")], [("c1", "POST", "/inventory/reserve", "inventory", "OrderService.Place"), ("c2", "POST", "https://api.stripe.com/v1/charges", None, "OrderService.Place")], [("p1", "kafka", "order.created", "OrderService.Place")]),
-    manifest("inventory-domain-api", "domain", None, [("InventoryController.reserve", "http")], [("POST", "/inventory/reserve", "InventoryController.reserve")]),
-    manifest("notification-processor", "processor", None, [("OrderCreatedHandler.Handle", "message")], [], [("c1", "POST", "https://api.sendgrid.com/v3/mail/send", None, "OrderCreatedHandler.Handle")], (), [("k1", "kafka", "order.created", "OrderCreatedHandler.Handle")]),
+#: A tram network: a kiosk plans rides and tops up cards, cards pay through a bank, receipts follow messages, and the timetable hears of delays.
+TRAMS = [
+    manifest("kiosk", "ui", "Ticket Kiosk", [("RideScreen.plan", "client"), ("CardScreen.topUp", "client")], calls=[("k1", "GET", "{env.PLANNER}/lines/{line}/stops", "ROUTE_PLANNER", "RideScreen.plan"), ("k2", "POST", "{env.CARDS}/cards/{card}/credit", "CARDS_BASE", "CardScreen.topUp")]),
+    manifest("route-planner", "experience", "Ride Planning", [("StopBoard.list", "http", "StopIndex.near"), ("StopIndex.near", "service")], [("GET", "/lines/{line}/stops", "StopBoard.list")], [("r1", "GET", "http://timetable.trams.internal/departures/{stop}", None, "StopIndex.near")]),
+    manifest("fare-cards", "capability", None, [("CardDesk.credit", "http", "Purse.add"), ("Purse.add", "service", "Limits.check"), ("Limits.check", "other")], [("POST", "/cards/{card}/credit", "CardDesk.credit")], [("f1", "PUT", "https://giro.bank.example/transfers", None, "Purse.add"), ("f2", "GET", "/zones/{zone}/limit", None, "Limits.check")], [("f3", "kafka", "card.credited", "Purse.add")]),
+    manifest("timetable", "domain", None, [("Departures.at", "http"), ("DelayLog.apply", "message")], [("GET", "/departures/{stop}", "Departures.at")], consumers=[("t1", "rabbitmq", "delays", "DelayLog.apply")]),
+    manifest("zoning", "domain", None, [("Zones.limit", "http")], [("GET", "/api/zones/{zone}/limit", "Zones.limit")], declared=["timetable", "weather"]),
+    manifest("receipts", "processor", None, [("Printer.onCredit", "message")], (), [("p1", "POST", "https://post.letters.example/v1/letters", None, "Printer.onCredit")], (), [("p2", "kafka", "card.credited", "Printer.onCredit")]),
 ]
 
-TARGETS = {"VITE_ORDERS_EXP_URL": "orders-experience-api", "ORDERS_CAP_URL": "orders-capability-api"}
+TARGETS = {"/^cards?_/": "fare-cards", "giro.bank.example": "external:giro"}
 
 
 def write(folder, manifests):

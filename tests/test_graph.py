@@ -1,7 +1,7 @@
-"""The five-manifest estate: resolution, messaging, flows, drift, diff and reports."""
+"""The tram estate: resolution, messaging, flows, drift, diff and reports."""
 
 import pytest
-from fixtures import FIVE, TARGETS, manifest, write
+from fixtures import LOC, TARGETS, TRAMS, manifest, write
 from pyspark.sql import functions as F
 
 from waymesh.operators import diff, docs, enrich, explore, flows, sequence, traces, validate
@@ -11,60 +11,67 @@ from waymesh.sources import manifests as src
 
 
 @pytest.fixture(scope="module")
-def five(spark, tmp_path_factory):
-    return src.estate(src.read_manifests(spark, write(tmp_path_factory.mktemp("five"), FIVE)))
+def trams(spark, tmp_path_factory):
+    return src.estate(src.read_manifests(spark, write(tmp_path_factory.mktemp("trams"), TRAMS)))
 
 
 @pytest.fixture(scope="module")
-def graph(five):
-    return build_graph(five, Config(TARGETS | {"api.stripe.com": "external:stripe"}, {"stripe": {"name": "Stripe"}}))
+def graph(trams):
+    return build_graph(trams, Config(TARGETS, {"giro": {"name": "Giro Bank"}}))
 
 
 def rows(df, *columns):
     return {tuple(r) for r in df.select(*columns).collect()}
 
 
-def test_resolution(graph):
-    http = {r.source + "->" + r.target: (r.resolution, r.confidence) for r in graph.edges.filter("kind = 'http'").collect()}
+def test_each_rule_resolves(graph):
+    http = {(r.source, r.target): (r.resolution, r.confidence) for r in graph.edges.filter("kind = 'http'").collect()}
     assert http == {
-        "web-ui->orders-experience-api": ("config", 1.0), "orders-experience-api->orders-capability-api": ("config", 1.0), "orders-capability-api->inventory-domain-api": ("hint", 0.8500000000000001),
-        "orders-capability-api->external:stripe": ("config", 0.95), "notification-processor->external:api.sendgrid.com": ("literal-host", 0.9),
+        ("kiosk", "route-planner"): ("hint", 0.8500000000000001), ("kiosk", "fare-cards"): ("config", 1.0), ("route-planner", "timetable"): ("host-match", 0.75),
+        ("fare-cards", "external:giro"): ("config", 0.95), ("fare-cards", "zoning"): ("path-match", 0.7), ("receipts", "external:post.letters.example"): ("literal-host", 0.9),
     }
-    assert rows(graph.services.filter("layer = 'external'"), "id", "name") == {("external:stripe", "Stripe"), ("external:api.sendgrid.com", "api.sendgrid.com")}
-    assert ("orders-capability-api#POST /api/orders",) in rows(graph.edges.filter("kind = 'http-detail'"), "endpoint")
-    assert not graph.issues.filter("code = 'call:unresolved'").count()
+    assert rows(graph.services.filter("layer = 'external'"), "id", "name") == {("external:giro", "Giro Bank"), ("external:post.letters.example", "post.letters.example")}
+    assert ("fare-cards#Limits.check", "zoning#GET /api/zones/{zone}/limit") in rows(graph.edges.filter("kind = 'http-detail'"), "source", "endpoint")
+    assert rows(graph.edges.filter("kind = 'declared'"), "source", "target", "confidence") == {("zoning", "timetable", 1.0)}
+    assert rows(graph.issues, "code", "service") == {("topic:no-publisher", None), ("declared:unknown-service", "zoning")}
 
 
-def test_hint_then_path_without_settings(five):
-    g = build_graph(five)
-    edge = g.edges.filter("kind = 'http' and source = 'web-ui'").first()
-    assert (edge.target, edge.resolution) == ("orders-experience-api", "hint+path")
+def test_hint_tie_is_settled_by_path(spark, tmp_path):
+    """Two services share a hint's word; only one has the path. With neither, the tie is an issue and the call stays open."""
+    two = [manifest(f"ferry-{x}", "domain", None, [("H.h", "http")], [("GET", f"/{x}/berths", "H.h")]) for x in ("north", "south")]
+    caller = manifest("pier", "ui", None, [("P.p", "client")], calls=[("a", "GET", "{u}/south/berths", "FERRY_URL", "P.p"), ("b", "GET", "{u}/tides", "FERRY_URL", "P.p")])
+    g = build_graph(src.estate(src.read_manifests(spark, write(tmp_path, [caller, *two]))))
+    assert rows(g.edges.filter("kind = 'http'"), "target", "resolution") == {("ferry-south", "hint+path")}
+    assert rows(g.issues, "code") == {("call:ambiguous-hint",), ("call:unresolved",)}
 
 
 def test_messaging(graph):
-    assert rows(graph.topics, "id") == {("topic:kafka:order.created",)}
-    assert rows(graph.edges.filter("kind in ('publish', 'consume')"), "source", "target") == {("orders-capability-api", "topic:kafka:order.created"), ("topic:kafka:order.created", "notification-processor")}
+    assert rows(graph.topics, "id") == {("topic:kafka:card.credited",), ("topic:rabbitmq:delays",)}
+    assert rows(graph.edges.filter("kind in ('publish', 'consume')"), "source", "target") == {("fare-cards", "topic:kafka:card.credited"), ("topic:kafka:card.credited", "receipts"), ("topic:rabbitmq:delays", "timetable")}
 
 
-def test_flow(five):
-    g = build_graph(five, Config(TARGETS))
-    f, steps = flows.derive_flows(g)
+def test_flow(trams, graph):
+    f, steps = flows.derive_flows(graph)
     ids = [r.flow_id for r in f.orderBy("rank").collect()]
-    got = [r.service for r in steps.filter(F.col("flow_id") == ids[0]).orderBy("step_no").collect()]
-    assert got == ["web-ui", "orders-experience-api", "orders-capability-api", "inventory-domain-api", "external:api.stripe.com", "orders-capability-api", "notification-processor", "external:api.sendgrid.com"]
-    assert not [r for r in f.collect() if r.entry_ref == "orders-capability-api#POST /api/orders"]
-    f2, _ = flows.derive_flows(build_graph(five, Config(TARGETS, include_non_roots=True)))
-    assert [r for r in f2.collect() if r.entry_ref == "orders-capability-api#POST /api/orders"]
-    drawn = sequence.arrows(f, steps, g.edges, g.services, g.topics).filter(F.col("flow_id") == ids[0])
-    assert [(r["from"], r.to, r.kind) for r in drawn.orderBy("step_no").collect()][5:7] == [("orders-capability-api", "topic:kafka:order.created", "publish"), ("topic:kafka:order.created", "notification-processor", "consume")]
-    lines = [r.node for r in sequence.lifelines(drawn, f.filter(F.col("flow_id") == ids[0]), g.services, g.topics).orderBy("place").collect()]
-    assert lines.index("topic:kafka:order.created") == lines.index("orders-capability-api") + 1
-    text = docs.sequences(g, f, steps).filter(F.col("flow_id") == ids[0]).first().text
-    assert text.startswith("sequenceDiagram\n  participant n_web_ui as Web UI\n") and "Note over n_web_ui" in text
-    page = docs.index_page(g, f, steps).first().text
-    assert "| Services | 7 |" in page and "## Ui" in page
-    assert docs.service_pages(g).count() == 7 and docs.flow_pages(g, f, steps).count() == f.count()
-    assert '"edges":[{' in docs.graph_document(g, f, steps).first().json
+    assert ids == ["flow-kiosk-cardscreen-topup", "flow-kiosk-ridescreen-plan"]
+    got = [(r.service, r.kind) for r in steps.filter(F.col("flow_id") == ids[0]).orderBy("step_no").collect()]
+    assert got == [("kiosk", "handler"), ("fare-cards", "endpoint"), ("external:giro", "external"), ("fare-cards", "publish"), ("receipts", "consumer"), ("external:post.letters.example", "external"), ("zoning", "endpoint")]
+    assert not f.filter("entry_ref = 'timetable#GET /departures/{stop}'").count()
+    f2, _ = flows.derive_flows(build_graph(trams, Config(TARGETS, include_non_roots=True)))
+    assert f2.filter("entry_ref = 'fare-cards#POST /cards/{card}/credit'").first().n_steps == 6
+    assert not f2.filter("entry_ref = 'timetable#GET /departures/{stop}'").count()  # one step is no flow
+    f3, _ = flows.derive_flows(build_graph(trams, Config(TARGETS, max_depth=1)))
+    assert {r.flow_id: r.n_steps for r in f3.collect()} == {ids[0]: 6, ids[1]: 3}
+    drawn = sequence.arrows(f, steps, graph.edges, graph.services, graph.topics).filter(F.col("flow_id") == ids[0])
+    assert [(r["from"], r.to, r.kind) for r in drawn.orderBy("step_no").collect()][3:5] == [("fare-cards", "topic:kafka:card.credited", "publish"), ("topic:kafka:card.credited", "receipts", "consume")]
+    lines = [r.node for r in sequence.lifelines(drawn, f.filter(F.col("flow_id") == ids[0]), graph.services, graph.topics).orderBy("place").collect()]
+    assert lines.index("topic:kafka:card.credited") == lines.index("fare-cards") + 1
+    text = docs.sequences(graph, f, steps).filter(F.col("flow_id") == ids[0]).first().text
+    assert text.startswith("sequenceDiagram\n  participant n_kiosk as Ticket Kiosk\n") and "Note over n_kiosk" in text
+    page = docs.index_page(graph, f, steps).first().text
+    assert "| Services | 8 |" in page and "## Ui" in page
+    assert docs.service_pages(graph).count() == 8 and docs.flow_pages(graph, f, steps).count() == f.count()
+    assert '"edges":[{' in docs.graph_document(graph, f, steps).first().json
 
 
 def test_cycles_end(spark, tmp_path):
@@ -75,68 +82,75 @@ def test_cycles_end(spark, tmp_path):
 
 
 def test_drift(spark, tmp_path):
-    lonely = manifest("lonely", "domain", None, [("H", "service")], calls=[("c1", "GET", "{x}/nowhere", None, "H")])
-    g = build_graph(src.estate(src.read_manifests(spark, write(tmp_path, [*FIVE, lonely]))), Config(TARGETS))
-    assert g.issues.filter("code = 'call:unresolved' and service = 'lonely'").count() == 1
-    seen = spark.createDataFrame([(0, "orders-capability-api", "inventory-domain-api", None), (1, "lonely", "web-ui", 3), (2, "orders capability", "inventory-domain-api", None), (3, "Mystery", "web-ui", 1)], "ord int, source string, target string, count long")
+    shed = manifest("shed", "domain", None, [("Gate.open", "service")], calls=[("g", "GET", "{x}/keys", None, "Gate.open")])
+    g = build_graph(src.estate(src.read_manifests(spark, write(tmp_path, [*TRAMS, shed]))), Config(TARGETS))
+    assert g.issues.filter("code = 'call:unresolved' and service = 'shed'").count() == 1
+    seen = spark.createDataFrame([(0, "fare-cards", "zoning", None), (1, "shed", "kiosk", 3), (2, "Fare Cards", "zoning", None), (3, "Oracle", "kiosk", 1)], "ord int, source string, target string, count long")
     g = traces.merge_traces(g, seen)
     status = {(r.source, r.target): (r.status, r.confidence) for r in g.edges.filter("kind = 'http'").collect()}
-    assert status["orders-capability-api", "inventory-domain-api"] == ("both", 1.0)
-    assert status["lonely", "web-ui"] == ("observed", 0.85)
-    assert status["external:mystery", "web-ui"] == ("observed", 0.85)
+    assert status["fare-cards", "zoning"] == ("both", 1.0)
+    assert status["shed", "kiosk"] == ("observed", 0.85)
+    assert status["external:oracle", "kiosk"] == ("observed", 0.85)
+    assert status["kiosk", "fare-cards"] == ("declared", 1.0)
     codes = {r.code for r in g.issues.collect()}
     assert {"drift:observed-only", "drift:declared-only", "trace:unknown-service"} <= codes
 
 
 def test_diff(spark, tmp_path):
-    before = FIVE[2]
-    after = before | {"endpoints": [*before["endpoints"], {"id": "GET /api/orders/{p}", "method": "GET", "path": "/api/orders/{p}", "handler": "OrdersController.Create", "location": {"file": "x", "line": 1}}]}
+    before = TRAMS[2]
+    more = {"id": "DELETE /cards/{card}", "method": "DELETE", "path": "/cards/{card}", "handler": "CardDesk.credit", "location": LOC}
+    after = before | {"endpoints": [*before["endpoints"], more], "handlers": [h | {"hash": "changed"} if h["id"] == "Purse.add" else h for h in before["handlers"]]}
     (tmp_path / "b").mkdir()
     (tmp_path / "a").mkdir()
     b, a = (src.estate(src.read_manifests(spark, write(tmp_path / n, [m]))) for n, m in (("b", before), ("a", after)))
     delta = diff.changes(diff.facet_keys(b), diff.facet_keys(a))
-    assert rows(delta, "facet", "key", "change") == {("endpoints", "GET /api/orders/{p}", "added")}
-    assert rows(diff.summary(delta, diff.handler_churn(b.handlers, a.handlers)), "has_changes", "new_dependencies") == {(True, False)}
+    assert rows(delta, "facet", "key", "change") == {("endpoints", "DELETE /cards/{card}", "added")}
+    churn = diff.handler_churn(b.handlers, a.handlers)
+    assert rows(churn, "added", "removed", "changed") == {(0, 0, 1)}
+    assert rows(diff.summary(delta, churn), "has_changes", "new_dependencies") == {(True, False)}
     none = diff.facet_keys(b).limit(0)
     assert rows(diff.summary(diff.changes(none, diff.facet_keys(a)), diff.handler_churn(b.handlers.limit(0), a.handlers)), "new_dependencies") == {(True,)}
-    assert "**Endpoints**\n- ➕ `GET /api/orders/{p}`" in diff.markdown(b, a).first().text
+    assert "**Endpoints**\n- ➕ `DELETE /cards/{card}`" in diff.markdown(b, a).first().text
 
 
 def test_validation(spark, tmp_path):
-    good = manifest("orders-api", "capability", None, [("h", "http")], [("GET", "/x", "h")])
-    bad = manifest("b-api", "capability", None, [("h", "http", "gone"), ("h", "http")], [("GET", "/x", "nope")])
-    layer = manifest("c-api", "middle", None, [("h", "http")])
-    found = validate.validate(src.read_manifests(spark, write(tmp_path, [good, bad, layer])))
-    assert rows(found, "m_ord", "path") == {(1, "endpoints[0].handler"), (1, "handlers[0].calls[0]"), (1, "handlers[1].id"), (2, "service.layer")}
+    good = manifest("tide-tables", "domain", None, [("Tide.of", "http")], [("GET", "/tides/{port}", "Tide.of")])
+    bad = manifest("berths", "domain", None, [("Berth.list", "http", "Berth.gone"), ("Berth.list", "http")], [("GET", "/berths", "Pier.list"), ("FETCH", "berths", "Berth.list")])
+    layer = manifest("cranes", "heavy", None, [("Crane.lift", "http")])
+    found = validate.validate(src.read_manifests(spark, write(tmp_path, [bad, layer, good])))
+    assert rows(found, "m_ord", "path") == {(0, "endpoints[0].handler"), (0, "endpoints[1].method"), (0, "endpoints[1].path"), (0, "handlers[0].calls[0]"), (0, "handlers[1].id"), (1, "service.layer")}
 
 
 def test_impact_and_neighbourhood(graph):
     handlers, out = explore.endpoint_impact(graph)
-    assert ("orders-capability-api#OrderService.Place",) in rows(handlers.filter("endpoint = 'orders-capability-api#POST /api/orders'"), "handler")
-    assert rows(out.filter("endpoint = 'orders-capability-api#POST /api/orders'"), "target") == {("inventory-domain-api#POST /inventory/reserve",), ("external:stripe",), ("topic:kafka:order.created",)}
-    one = graph.services.filter("id = 'orders-capability-api'").select(F.col("id").alias("origin"))
+    credit = "endpoint = 'fare-cards#POST /cards/{card}/credit'"
+    assert rows(handlers.filter(credit), "handler") == {("fare-cards#CardDesk.credit",), ("fare-cards#Purse.add",), ("fare-cards#Limits.check",)}
+    assert rows(out.filter(credit), "target") == {("zoning#GET /api/zones/{zone}/limit",), ("external:giro",), ("topic:kafka:card.credited",)}
+    one = graph.services.filter("id = 'fare-cards'").select(F.col("id").alias("origin"))
     nodes, _ = explore.neighbourhood(explore.map_edges(graph.edges), one, 1, 2)
-    assert rows(nodes, "node", "depth") == {("orders-capability-api", 0), ("inventory-domain-api", 1), ("external:stripe", 1), ("topic:kafka:order.created", 1), ("notification-processor", 2), ("orders-experience-api", 1)}
+    assert rows(nodes, "node", "depth") == {("fare-cards", 0), ("kiosk", 1), ("external:giro", 1), ("zoning", 1), ("topic:kafka:card.credited", 1), ("timetable", 2), ("receipts", 2)}
     shown, edges = explore.visible(graph, explore.GraphQuery(hide_external=True, collapse_topics=True))
-    assert ("via:publish:orders-capability-api:p1>consume:notification-processor:k1",) in rows(edges, "id")
+    assert ("via:publish:fare-cards:f3>consume:receipts:p2",) in rows(edges, "id")
     q = explore.GraphQuery(layers=frozenset({"ui"}), upstream=2)
     assert explore.GraphQuery.from_hash(q.to_hash()) == q and explore.GraphQuery().to_hash() == ""
-    assert rows(explore.search_nodes(graph, "RESERVE"), "id") == {("inventory-domain-api",)}
+    assert rows(explore.search_nodes(graph, "ZONES/"), "id") == {("zoning",)}
 
 
 def test_enrichment(spark):
+    """A bakery: what an entry point reaches, or what reaches a call, is described; the shelf, which does neither, is not."""
     from waymesh.operators.estate import estate_of
 
-    h = spark.createDataFrame([(0, 0, "s", "C.create", ["S.place"], "h1", ("f", 1)), (0, 1, "s", "S.place", ["S.helper"], "h2", ("f", 5)), (0, 2, "s", "S.helper", [], "h3", ("f", 9)), (0, 3, "s", "S.unused", [], "h4", ("f", 12))], "m_ord int, i_ord int, service string, id string, calls array<string>, hash string, loc struct<file:string,line:int>")
-    c = spark.createDataFrame([(0, 0, "s", "S.helper")], "m_ord int, i_ord int, service string, fromHandler string")
-    e = estate_of(spark, handlers=h, calls=c)
+    at = [("Counter.sell", ["Till.ring"], "aa", 2), ("Till.ring", [], "bb", 6), ("Oven.tick", ["Flour.order"], "cc", 8), ("Flour.order", [], "dd", 13), ("Shelf.count", [], "ee", 17)]
+    h = spark.createDataFrame([(0, i, "bakery", n, c, x, ("shop.py", line)) for i, (n, c, x, line) in enumerate(at)], "m_ord int, i_ord int, service string, id string, calls array<string>, hash string, loc struct<file:string,line:int>")
+    e = estate_of(spark, handlers=h, calls=spark.createDataFrame([(0, 0, "bakery", "Flour.order")], "m_ord int, i_ord int, service string, fromHandler string"), endpoints=spark.createDataFrame([(0, 0, "bakery", "POST /sales", "Counter.sell")], "m_ord int, i_ord int, service string, id string, handler string"))
     wanted = enrich.interesting_handlers(e)
-    assert rows(wanted, "id") == {("C.create",), ("S.place",), ("S.helper",)}
-    files = spark.createDataFrame([("s", "f", "\n".join(f"line {i:02d} of the file" for i in range(1, 15)))], "service string, file string, text string")
-    cut = enrich.slices(e.handlers, files, wanted)
-    assert rows(cut, "id", "start_line", "end_line") == {("C.create", 1, 4), ("S.place", 5, 8), ("S.helper", 9, 11)}
-    packed = enrich.packed(cut.withColumn("ord", F.col("line")).withColumn("chars", F.length("text")), 40)
-    assert packed.select("chunk").distinct().count() >= 2
-    key = enrich.split_cached(cut, spark.createDataFrame([], "key string"), "1", "m").filter("id = 'S.place'").select("key")
-    assert enrich.split_cached(cut, key, "1", "m").filter("cached").count() == 1
-    assert "## Source slices" in enrich.prompts(e.replace(services=estate_of(spark, services=spark.createDataFrame([(0, "s", "S", "domain")], "m_ord int, id string, name string, layer string")).services), packed).first().prompt
+    assert rows(wanted, "id") == {("Counter.sell",), ("Oven.tick",), ("Flour.order",)}
+    files = spark.createDataFrame([("bakery", "shop.py", "\n".join(f"{i:02d} knead and wait" for i in range(1, 21)))], "service string, file string, text string")
+    slices = enrich.slices(e.handlers, files, wanted)
+    assert rows(slices, "id", "start_line", "end_line") == {("Counter.sell", 2, 5), ("Oven.tick", 8, 12), ("Flour.order", 13, 16)}
+    packed = enrich.packed(slices.withColumn("ord", F.col("line")).withColumn("chars", F.length("text")), 150)
+    assert {r.id: r.chunk for r in packed.collect()} == {"Counter.sell": 0, "Oven.tick": 1, "Flour.order": 2}
+    key = enrich.split_cached(slices, spark.createDataFrame([], "key string"), "1", "m").filter("id = 'Oven.tick'").select("key")
+    assert rows(enrich.split_cached(slices, key, "1", "m").filter("cached"), "id") == {("Oven.tick",)}
+    services = estate_of(spark, services=spark.createDataFrame([(0, "bakery", "Bakery", "domain")], "m_ord int, id string, name string, layer string")).services
+    assert "## Source slices" in enrich.prompts(e.replace(services=services), packed).first().prompt

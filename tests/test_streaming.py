@@ -1,6 +1,6 @@
 import datetime as dt
 
-from fixtures import FIVE, TARGETS, write
+from fixtures import TRAMS, TARGETS, write
 
 from waymesh.operators.estate import Config
 from waymesh.streaming.traces import call_counts, follow_manifests
@@ -17,6 +17,6 @@ def test_windowed_counts(spark, tmp_path):
 
 def test_graph_follows_manifests(spark, tmp_path):
     (tmp_path / "m").mkdir()
-    folder, seen = write(tmp_path / "m", FIVE), []
+    folder, seen = write(tmp_path / "m", TRAMS), []
     follow_manifests(spark, folder, str(tmp_path / "state"), lambda g: seen.append(g.edges.filter("kind = 'http'").count()), Config(TARGETS)).awaitTermination()
-    assert seen == [5]
+    assert seen == [6]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,9 +14,24 @@ def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
     return SparkSession.builder.master(f"local[{cores}]").config(map=conf).getOrCreate()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see: ``spark.checkpoint.dir``, or the session's checkpoint folder.
+
+    Only a local master may go without one; it gets a temporary folder of its own.
+    """
+    sc = spark.sparkContext
+    current = sc._jsc.sc().getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or (current.get() if current.isDefined() else None)
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="waymesh-")
+        sc.setCheckpointDir(folder)
+    return folder
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once into the session's checkpoint folder; a temporary one only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="waymesh-"))
-    return df.checkpoint()
+    """``df`` computed once into a table in the shared folder; its lineage ends there, so a lost executor costs no recomputation."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
