@@ -21,6 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """``name``, made longer until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound what a Python worker holds at once; a smaller setting of the session stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -29,12 +37,13 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: ``spark.checkpoint.dir``; a temporary one where that is unset (local runs)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that the driver and all executors see: ``spark.checkpoint.dir``, or the session's checkpoint folder. Only a local master may go without one."""
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or (current.get() if current.isDefined() else None)
     if not folder:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="waymesh-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="waymesh-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
@@ -89,8 +98,8 @@ def rows_of(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
 
 
 def hashed_share(df: DataFrame, key: str, rows: int, seed: int = 17) -> DataFrame:
-    """About ``rows`` rows at most (all of them, if there are fewer), the same for the same keys: those whose hash is small."""
+    """About ``rows`` rows (all of them, if there are fewer): those whose hash of key and place is small, so a key that is very common is sampled like others."""
     total = df.count()
     if total <= rows:
         return df
-    return df.filter(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 30)) < int((1 << 30) * rows / total))
+    return df.filter(F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.monotonically_increasing_id()), F.lit(1 << 30)) < int((1 << 30) * rows / total))

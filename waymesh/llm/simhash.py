@@ -11,9 +11,9 @@ is dropped with all its members once they exceed the threshold. Each block hands
 bounded degree instead of all pairs, which loses no connection.
 
 Defined cases: a null or word-free text has fingerprint zero, linked like any other; fewer words than a shingle give
-one shingle of the whole sequence; rows with a null doc_id take part and get the component of their fingerprint,
-whose id is the smallest doc_id that is not null (null if there is none); repeated rows stay; an empty table gives an
-empty result; extra columns are ignored.
+one shingle of the whole sequence; rows with a null doc_id (or one that is no number) take part and link like others,
+and a component's id is its smallest doc_id that is not null (null if there is none); repeated rows stay; an empty
+table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch_of, release, small_batches, written
-from .components import connected_components
+from .components import connected_components, split_join
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -198,12 +198,16 @@ def links(classes: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, fp (signed long), component_id."""
+    """One row per row of ``docs``: doc_id, fp (signed long), component_id. The fingerprint itself is the node, so rows without an id link like others."""
     marked = written(fingerprints(docs), "fingerprints")
-    classes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    found = connected_components(links(classes.filter("rep is not null")))
-    whole = classes.join(found, classes.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return marked.join(whole, "fp").select("doc_id", "fp", "component_id")
+    classes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    found = written(connected_components(links(classes.select("fp", F.col("fp").alias("rep")))), "components")
+    linked = classes.join(found, classes.fp == found.node)
+    ids = linked.groupBy("component").agg(F.min("least").alias("component_id"))
+    linked = split_join(linked.select("fp", "component"), ids, "component", "fp").select("fp", "component_id")
+    whole = classes.select("fp", "least").join(linked.withColumn("linked", F.lit(True)), "fp", "left")
+    whole = written(whole.select("fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least")).alias("component_id")), "whole")
+    return split_join(marked, whole, "fp", "doc_id").select("doc_id", "fp", "component_id")
 
 
 def digest_columns(found: DataFrame) -> DataFrame:
