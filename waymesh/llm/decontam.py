@@ -8,12 +8,15 @@ the window fixes where the window would begin), the length bound (the window mus
 exact check of all words.
 
 The item side is the dimension: its index goes to every executor while it is within ``max_index_bytes`` (checked
-before). Beyond that the same prefix shingles are joined by shuffle (:func:`contaminated_by_join`), and nothing is
-broadcast but a Bloom filter of fixed size.
+before). Beyond that (:func:`marked_by_join`) the same prefix shingles meet the documents in a shuffle join. Two Bloom
+filters of fixed size keep what leaves the scans small: one of all shingles of the windows, for counting them, and one
+of the prefix shingles alone, for their places; only these places, with at most a window's words on either side for
+the exact check, go through the shuffle, and a very common prefix shingle is split over tasks.
 
 Defined cases: a null or word-free text has no words and is clean; a null or word-free item has no window; repeated
-items all count, by item_id; repeated documents each get their row; an empty table on either side gives clean or no
-rows; extra columns are ignored.
+items all count, by item_id; a window of an item without id counts as a hit, but such an item is not named or counted;
+repeated documents each get their row; a doc_id that is no number is null; an empty table on either side gives clean
+or no rows; extra columns are ignored, and kept by :func:`marked`.
 """
 
 from __future__ import annotations
@@ -22,12 +25,14 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import batch_of, release, small_batches, strings, written
+from .common import batch_of, fresh, release, small_batches, strings, written
 
 #: Fixed value: a word, after A-Z are lower-cased.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -91,16 +96,17 @@ def rarest(win: tuple[str, ...], counts: dict[str, int]) -> tuple[str, int]:
     return min((counts.get(x, 0), x, -i) for i, x in enumerate(s))[1], s.index(min(s, key=lambda x: (counts.get(x, 0), x)))
 
 
-def build_index(wins: list[tuple[str, tuple[str, ...]]], counts: dict[str, int]):
-    """first word of the prefix shingle -> [(shingle words, place in the window, window words, item ids)]."""
+def build_index(wins: list[tuple[str | None, tuple[str, ...]]], counts: dict[str, int]):
+    """first word of the prefix shingle -> its second word (or '') -> [(place in the window, window words, item ids)]."""
     items = defaultdict(set)
     for item, win in wins:
-        items[win].add(item)
-    index = defaultdict(list)
+        items[win].update(() if item is None else (item,))
+    index: dict = {}
     for win in sorted(items):
         s, at = rarest(win, counts)
-        index[s.split(" ", 1)[0]].append((tuple(s.split(" ")), at, win, tuple(sorted(items[win]))))
-    return dict(index)
+        one, _, two = s.partition(" ")
+        index.setdefault(one, {}).setdefault(two, []).append((at, win, tuple(sorted(items[win]))))
+    return index
 
 
 def hits(w: list[str], index: dict) -> tuple[int, set[str]]:
@@ -109,12 +115,14 @@ def hits(w: list[str], index: dict) -> tuple[int, set[str]]:
     found: set[str] = set()
     n = len(w)
     for i in [i for i, x in enumerate(w) if x in index]:
-        for s, at, win, ids in index[w[i]]:
-            b = i - at
-            e = b + len(win)
-            if b >= 0 and e <= n and (len(s) == 1 or w[i + 1] == s[1]) and tuple(w[b:e]) == win:
-                starts.append((b, e))
-                found.update(ids)
+        after = index[w[i]]
+        for second in ("", w[i + 1]) if i + 1 < n else ("",):
+            for at, win, ids in after.get(second, ()):
+                b = i - at
+                e = b + len(win)
+                if b >= 0 and e <= n and tuple(w[b:e]) == win:
+                    starts.append((b, e))
+                    found.update(ids)
     hit, end = 0, 0
     for b, e in sorted(starts):
         hit += max(0, e - max(b, end))
@@ -122,7 +130,7 @@ def hits(w: list[str], index: dict) -> tuple[int, set[str]]:
     return hit, found
 
 
-OUT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+FOUND = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
 def digest(items) -> str:
@@ -131,74 +139,137 @@ def digest(items) -> str:
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_index_bytes: int = MAX_INDEX_BYTES) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    found = marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), items, window, max_index_bytes)
+    return found.select("doc_id", f"{MARK}.*")
+
+
+MARK = "__decontam"
+
+
+def marked(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_index_bytes: int = MAX_INDEX_BYTES) -> DataFrame:
+    """All columns of ``docs`` (one of them ``text``) and a struct column ``MARK`` with n_words, n_hit, n_items, items_sha256 and contaminated."""
     small_batches(docs.sparkSession)
     wins = written(item_windows(items, window), "windows")
     size = wins.agg(F.coalesce(F.sum(F.length(F.concat_ws(" ", "win")) + 100), F.lit(0))).first()[0]
     if size > max_index_bytes:
-        return contaminated_by_join(docs, wins)
+        return marked_by_join(docs, wins)
     pairs = [(r.item_id, tuple(r.win)) for r in wins.collect()]
     counts = shingle_counts(docs, frozenset(s for _, w in pairs for s in shingles(w))) if pairs else {}
     held = docs.sparkSession.sparkContext.broadcast(build_index(pairs, counts))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())])
+    result = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())])
     none = digest(())
+    names = [*docs.columns, MARK]
+    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", {MARK} struct<{FOUND.replace(' long', ':long').replace(' string', ':string').replace(' boolean', ':boolean')}>"
 
     def scan(batches):
         index = held.value
         for b in batches:
             rows = []
-            for t in strings(b.column(1)):
+            for t in strings(b.column(b.num_columns - 1)):
                 w = words(t)
                 hit, found = hits(w, index)
-                rows.append((len(w), hit, len(found), digest(found) if found else none, hit > 0))
-            yield batch_of(schema, b.column(0), *(list(zip(*rows)) or [[]] * 5))
+                rows.append({"n_words": len(w), "n_hit": hit, "n_items": len(found), "items_sha256": digest(found) if found else none, "contaminated": hit > 0})
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(rows, result)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, OUT)
+    return docs.select("*", F.col("text").alias(fresh("__text", docs.columns))).mapInArrow(scan, out)
 
 
-def contaminated_by_join(docs: DataFrame, wins: DataFrame) -> DataFrame:
-    """The same rows where the item side is too large for the executors: prefix shingles meet in a shuffle join.
+#: Bits of a Bloom filter, and how far a very common shingle is split: one in SHARE of all places, over PARTS tasks.
+BLOOM_BITS = 1 << 26
+SHARE, PARTS = 1000, 64
 
-    Each document gets a row number of its own, so that repeated ids stay apart. Only positions whose shingle is in
-    the items' Bloom-filtered shingle table leave the scan, with the words around them for the exact check.
-    """
-    spark = docs.sparkSession
-    n = SHINGLE
-    reach = wins.agg(F.max(F.size("win"))).first()[0] or 0
-    base = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.monotonically_increasing_id()), "docs")
-    cut = "s string, row long, at long, left array<string>, right array<string>"
-    schema = pa.schema([("s", pa.string()), ("row", pa.int64()), ("at", pa.int64()), ("left", pa.list_(pa.string())), ("right", pa.list_(pa.string()))])
 
-    def places(batches):
-        for b in batches:
-            for row, t in zip(b.column(0).to_pylist(), strings(b.column(1))):
-                w = words(t)
-                for j in range(0, len(w), 4096):
-                    at = range(j, min(j + 4096, len(w)))
-                    both = [(i, k) for i in at for k in ({1, n} if i + n <= len(w) else {1})]
-                    yield batch_of(schema, [" ".join(w[i : i + k]) for i, k in both], [row] * len(both), [i for i, _ in both], [w[max(0, i - reach) : i] for i, _ in both], [w[i : i + reach] for i, _ in both])
+def bloom_bits(hashes: np.ndarray) -> np.ndarray:
+    """The two bits of each hash."""
+    return np.stack([hashes & np.uint64(BLOOM_BITS - 1), hashes >> np.uint64(32) & np.uint64(BLOOM_BITS - 1)])
+
 
-    def size(batches):
+def bloom(shingle: DataFrame) -> np.ndarray:
+    """The filter of a table's column ``s``, as 64-bit words; at most BLOOM_BITS / 64 rows come to the driver."""
+    schema = pa.schema([("word", pa.int64()), ("bits", pa.int64())])
+
+    def cut(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(words(t)) for t in strings(b.column(2))], pa.int64())], names=["row", "doc_id", "n_words"])
+            at = np.unique(bloom_bits(np.fromiter(map(xxhash.xxh64_intdigest, b.column(0).to_pylist()), np.uint64)))
+            yield batch_of(schema, (at >> np.uint64(6)).astype(np.int64), (np.uint64(1) << (at & np.uint64(63))).view(np.int64))
+
+    out = np.zeros(BLOOM_BITS // 64, np.uint64)
+    for word, bits in shingle.select("s").mapInArrow(cut, "word long, bits long").groupBy("word").agg(F.bit_or("bits")).collect():
+        out[word] = np.int64(bits).view(np.uint64)
+    return out
+
+
+def passing(w: list[str], table: np.ndarray, n: int = SHINGLE):
+    """(place, shingle) of each shingle of ``w`` that the filter may hold."""
+    for size in dict.fromkeys((1, n)):
+        for begin in range(0, max(0, len(w) - size + 1), 65536):
+            some = [" ".join(w[i : i + size]) for i in range(begin, min(begin + 65536, len(w) - size + 1))]
+            a, b = bloom_bits(np.fromiter(map(xxhash.xxh64_intdigest, some), np.uint64, len(some)))
+            held = (table[a >> np.uint64(6)] >> (a & np.uint64(63))) & (table[b >> np.uint64(6)] >> (b & np.uint64(63))) & np.uint64(1)
+            for i in np.flatnonzero(held).tolist():
+                yield begin + i, some[i]
 
-    cutter = "transform(sequence(0, greatest(0, size(win) - {n})), i -> array_join(slice(win, i + 1, {n}), ' '))".format(n=n)
+
+def marked_by_join(docs: DataFrame, wins: DataFrame) -> DataFrame:
+    """What :func:`marked` gives, where the item side is too large for the executors.
+
+    A document is known by two hashes of its whole row, so equal rows share their hits and each keeps its own row.
+    """
+    spark, n = docs.sparkSession, SHINGLE
+    reach = wins.agg(F.max(F.size("win"))).first()[0] or 0
+    cutter = f"array_distinct(transform(sequence(0, greatest(0, size(win) - {n})), i -> array_join(slice(win, i + 1, {n}), ' ')))"
     keyed = wins.groupBy("win").agg(F.sort_array(F.collect_set("item_id")).alias("ids")).withColumn("win_id", F.monotonically_increasing_id())
     keyed = written(keyed, "window-ids")
-    shingle = keyed.select("win_id", F.posexplode(F.expr(cutter)).alias("place", "s"))
-    wanted = shingle.select("s").distinct()
-    found = docs_places = base.select("row", "text").mapInArrow(places, cut).join(wanted, "s", "left_semi")
-    docs_places = written(found, "places")
-    counts = docs_places.groupBy("s").agg(F.count("*").alias("n"))
-    ranked = shingle.join(counts, "s", "left").groupBy("win_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "s", "place")).alias("first"))
-    prefix = ranked.select("win_id", F.col("first.s").alias("s"), F.col("first.place").cast("long").alias("place")).join(keyed, "win_id")
+    shingle = keyed.select("win_id", F.explode(F.expr(cutter)).alias("s"))
+    every = spark.sparkContext.broadcast(bloom(shingle.select("s").distinct()))
+
+    def count(batches):
+        release()
+        for b in batches:
+            total: Counter = Counter()
+            for t in strings(b.column(0)):
+                total.update(s for _, s in passing(words(t), every.value))
+            yield batch_of(pa.schema([("s", pa.string()), ("n", pa.int64())]), list(total), list(total.values()))
+
+    counts = docs.select("text").mapInArrow(count, "s string, n long").groupBy("s").agg(F.sum("n").alias("n"))
+    ranked = shingle.join(counts, "s", "left").groupBy("win_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "s")).alias("first"))
+    prefix = ranked.select("win_id", F.col("first.s").alias("s"), F.col("first.n").alias("n")).join(keyed, "win_id")
+    place = f"array_position(transform(sequence(0, greatest(0, size(win) - {n})), i -> array_join(slice(win, i + 1, {n}), ' ')), s) - 1"
+    prefix = written(prefix.select("s", "n", "win", "ids", F.expr(place).cast("long").alias("place")), "prefix")
+    first = spark.sparkContext.broadcast(bloom(prefix.select("s").distinct()))
+    total = prefix.select("s", "n").distinct().agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    common = [r.s for r in prefix.filter(F.col("n") > max(10_000, total // SHARE)).select("s").distinct().collect()]  # at most SHARE of them
+
+    row = [F.xxhash64(F.lit(seed), *(F.col(f"`{c}`").cast("string") for c in docs.columns)).alias(name) for seed, name in ((1, "k1"), (2, "k2"))]
+    base = docs.select(*row, F.col("text").alias("__text"))
+    item = pa.struct([("s", pa.string()), ("at", pa.int64()), ("left", pa.list_(pa.string())), ("right", pa.list_(pa.string()))])
+    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("n_words", pa.int64()), ("places", pa.list_(item))])
+
+    def places(batches):
+        release()
+        for b in batches:
+            for k1, k2, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strings(b.column(2))):
+                w = words(t)
+                found = [{"s": s, "at": i, "left": w[max(0, i - reach) : i], "right": w[i : i + reach]} for i, s in passing(w, first.value)]
+                for j in range(0, max(1, len(found)), 4096):
+                    yield batch_of(schema, [k1], [k2], [len(w)], [found[j : j + 4096]])
+
+    seen = written(base.mapInArrow(places, "k1 long, k2 long, n_words long, places array<struct<s:string,at:long,left:array<string>,right:array<string>>>"), "places")
+    at = seen.select("k1", "k2", F.inline("places"))
+    hot = F.col("s").isin(common) if common else F.lit(False)
+    at = at.withColumn("part", F.when(hot, F.pmod(F.col("k1"), F.lit(PARTS)).cast("int")).otherwise(0))
+    parts = F.when(hot, F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))
     back = F.expr("slice(left, cast(greatest(1, size(left) - place + 1) as int), cast(place as int))")
-    met = docs_places.join(prefix, "s").filter(F.size("left") >= F.col("place")).filter(F.concat(back, F.expr("slice(right, 1, cast(size(win) - place as int))")) == F.col("win"))
-    met = met.select("row", (F.col("at") - F.col("place")).alias("b"), (F.col("at") - F.col("place") + F.size("win")).alias("e"), "ids")
-    over = Window.partitionBy("row").orderBy("b", "e").rowsBetween(Window.unboundedPreceding, -1)
-    spans = met.groupBy("row", "b").agg(F.max("e").alias("e")).withColumn("before", F.coalesce(F.max("e").over(over), F.lit(0)))
-    n_hit = spans.groupBy("row").agg(F.sum(F.greatest(F.lit(0), F.col("e") - F.greatest("b", "before"))).cast("long").alias("n_hit"))
-    names = met.select("row", F.explode("ids").alias("item")).distinct().groupBy("row").agg(F.sort_array(F.collect_list("item")).alias("items"))
-    sizes = base.select("row", "doc_id", "text").mapInArrow(size, "row long, doc_id long, n_words long")
-    out = sizes.join(n_hit, "row", "left").join(names, "row", "left")
-    items = F.coalesce("items", F.array().cast("array<string>"))
-    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
+    met = at.join(prefix.withColumn("part", F.explode(parts)), ["s", "part"]).filter(F.size("left") >= F.col("place")).filter(F.concat(back, F.expr("slice(right, 1, cast(size(win) - place as int))")) == F.col("win"))
+    met = written(met.select("k1", "k2", (F.col("at") - F.col("place")).alias("b"), (F.col("at") - F.col("place") + F.size("win")).alias("e"), "ids").distinct(), "met")
+    over = Window.partitionBy("k1", "k2").orderBy("b", "e").rowsBetween(Window.unboundedPreceding, -1)
+    spans = met.groupBy("k1", "k2", "b").agg(F.max("e").alias("e")).withColumn("before", F.coalesce(F.max("e").over(over), F.lit(0)))
+    n_hit = spans.groupBy("k1", "k2").agg(F.sum(F.greatest(F.lit(0), F.col("e") - F.greatest("b", "before"))).cast("long").alias("n_hit"))
+    named = met.select("k1", "k2", F.explode("ids").alias("item")).distinct().groupBy("k1", "k2").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    sizes = seen.groupBy("k1", "k2").agg(F.max("n_words").alias("n_words"))
+    told = sizes.join(n_hit, ["k1", "k2"], "left").join(named, ["k1", "k2"], "left")
+    items, hit = F.coalesce("items", F.array().cast("array<string>")), F.coalesce("n_hit", F.lit(0)).cast("long")
+    result = F.struct("n_words", hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+    keys = [fresh("__k1", docs.columns), fresh("__k2", docs.columns)]
+    told = told.select(F.col("k1").alias(keys[0]), F.col("k2").alias(keys[1]), result.alias(MARK))
+    return docs.select("*", *(c.alias(k) for c, k in zip(row, keys))).join(told, keys).select(*(F.col(f"`{c}`") for c in docs.columns), MARK)
