@@ -1,18 +1,21 @@
 """Approximate nearest neighbours by an inverted multi-index.
 
-Vectors are cut into two halves, and each half has its own codebook; a cell is a pair of centroids. A query walks the
-cells with a heap in order of the summed inner products of its halves with the two centroids, until the cells passed
-hold a given share of all vectors; the vectors of those cells are reranked by the exact inner product in double
-precision. The codebooks, and the share that reaches ``TARGET`` recall, are fitted on a bounded sample; every vector is
-indexed.
+Vectors are rotated to the axes of their covariance, dealt in turn to two halves of like spread (which keeps inner
+products), and each half has its own codebook; a cell is a pair of centroids. A query walks the cells with a heap in
+order of the summed inner products of its halves with the two centroids, until the cells passed hold a given share of
+all vectors; the vectors of those cells are reranked by the exact inner product in double precision, on the vectors as
+given. Rotation, codebooks, and the share that reaches ``TARGET`` recall are fitted on a bounded sample; every vector
+is indexed. Cells grow with the table, up to what the sample can fit.
 
 Cells are dealt to shards of bounded size (a cell too large for one is cut into several), so neither a dense cell nor
 one very common vector makes a large task. A query goes once to each shard that holds a cell of its walk, in blocks of
-bounded size; a shard returns its ``k`` best for each query, and the best of those are the result.
+bounded size; a shard returns its ``k`` best for each query, and the best of those are the result. How much that saves
+is up to the vectors: the share is small where they have clusters, and near one where they have none.
 
 Defined cases: vectors that are null, zero or hold null or non-finite components, or have another length than the
-first, take no part as query or candidate, nor do rows with a null id; repeated ids stay separate rows (a query does not find rows of its own id); ties
-go to the smaller id; fewer candidates than k give all of them; an empty table gives an empty result.
+first, take no part as query or candidate, nor do rows whose id is null or no number; repeated ids stay separate rows,
+each query row with its own result (a query does not find rows of its own id); ties go to the smaller id; fewer
+candidates than k give all of them; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,12 +30,14 @@ from pyspark.sql.window import Window
 
 from .common import batch_of, hashed_share, written
 
-#: Parameters: rows of the fitting sample at most; recall asked of the walk on the sample; vectors and queries of a shard's block.
+#: Parameters: rows of the fitting sample (about; never over twice as many); recall asked of the walk on the sample;
+#: vectors and queries of a shard's block; vectors of a cell; centroids of a half, for which the sample has 20 rows each.
 SAMPLE_ROWS = 20_000
 TARGET = 0.96
 SHARD_ROWS = 4096
 QUERY_ROWS = 8192
-MAX_CENTROIDS = 64
+CELL_ROWS = 64
+MAX_CENTROIDS = 1024
 K = 20
 
 
@@ -81,15 +86,33 @@ def walk(first: np.ndarray, second: np.ndarray, sizes: np.ndarray, need: int) ->
     return out
 
 
+def rotation(x: np.ndarray) -> np.ndarray:
+    """An orthogonal matrix to the axes of the sample's second moments, the widest first, dealt in turn to the halves (first, second, second, first)."""
+    _, axes = np.linalg.eigh(x.T @ x)
+    place = np.arange(x.shape[1])
+    return axes[:, ::-1][:, np.argsort((place + 1) // 2 % 2, kind="stable")]
+
+
 class Index:
     def __init__(self, sample: np.ndarray, rows: int, k: int = K, target: float = TARGET):
-        self.half = sample.shape[1] // 2
-        centroids = int(min(MAX_CENTROIDS, max(4, 2 ** round(np.log2(max(1.0, rows / 64)) / 2))))
-        self.books = [codebook(h, centroids) for h in (sample[:, : self.half], sample[:, self.half :])]
+        self.turn = rotation(sample)
+        self.half = -(-sample.shape[1] // 2)
+        most = max(4, min(MAX_CENTROIDS, len(sample) // 20))
+        centroids = int(min(most, max(4, 2 ** round(np.log2(max(1.0, rows / CELL_ROWS)) / 2))))
+        self.books = [codebook(h, centroids) for h in self.halves(sample)]
         self.share = self.calibrate(sample, k, target)
 
+    def halves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x = x @ self.turn
+        return x[:, : self.half], x[:, self.half :]
+
     def cells(self, x: np.ndarray) -> np.ndarray:
-        return assign(x[:, : self.half], self.books[0]) * len(self.books[1]) + assign(x[:, self.half :], self.books[1])
+        one, two = (assign(h, c) if h.shape[1] else np.zeros(len(h), np.int64) for h, c in zip(self.halves(x), self.books))
+        return one * len(self.books[1]) + two
+
+    def scores(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Inner products of each row's halves with the centroids."""
+        return tuple(h @ c.T for h, c in zip(self.halves(x), self.books))
 
     def calibrate(self, sample: np.ndarray, k: int, target: float) -> float:
         """The share of all vectors that the walk must pass for ``target`` recall on the sample, for up to 200 of its rows as queries."""
@@ -99,7 +122,8 @@ class Index:
         for q in sample[:: max(1, len(sample) // 200)]:
             score = sample @ q
             best = np.argsort(-score, kind="stable")[1 : k + 1]
-            order = walk(self.books[0] @ q[: self.half], self.books[1] @ q[self.half :], sizes, len(sample))
+            one, two = self.scores(q[None])
+            order = walk(one[0], two[0], sizes, len(sample))
             passed = dict(zip(order, np.cumsum(sizes[order]).tolist()))
             needed.extend(passed[c] for c in cells[best].tolist())
         return float(np.quantile(needed, target)) / len(sample) if needed else 1.0
@@ -113,10 +137,10 @@ def search(df: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str =
     empty = "query_id long, rank int, vec_id long, score double"
     if not rows:
         return spark.createDataFrame([], empty)
-    sample = np.array([r[0] for r in hashed_share(base, "id", SAMPLE_ROWS).select("v").collect()] or [base.select("v").first()[0]], object)
-    width = len(sample[0])
+    width = len(base.select("v").first()[0])
     base = base.filter(F.size("v") == width)
-    sample = np.array([v for v in sample.tolist() if len(v) == width], float)
+    some = hashed_share(base, "id", SAMPLE_ROWS).select("v").limit(2 * SAMPLE_ROWS).collect() or base.select("v").limit(1).collect()
+    sample = np.array([r[0] for r in some], float)
     index = Index(sample, rows, k, target)
     held = spark.sparkContext.broadcast(index)
 
@@ -128,7 +152,7 @@ def search(df: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str =
     entries = written(base.mapInArrow(place, "id long, v array<double>, cell long"), "entries")
     n_cells = len(index.books[0]) * len(index.books[1])
     sizes = np.zeros(n_cells, np.int64)
-    for cell, n in entries.groupBy("cell").count().collect():  # at most MAX_CENTROIDS squared rows
+    for cell, n in entries.groupBy("cell").count().collect():  # no more than cells, MAX_CENTROIDS squared at most
         sizes[cell] = n
     # Shards are runs of cells; a cell of over SHARD_ROWS vectors takes several shards, dealt by id.
     first, parts, at, fill = np.zeros(n_cells, np.int64), np.ones(n_cells, np.int64), 0, 0
@@ -148,30 +172,35 @@ def search(df: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str =
     def route(batches):
         sizes, first, parts = shards.value
         index = held.value
-        schema = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("id", pa.int64()), ("v", pa.list_(pa.float64())), ("cells", pa.list_(pa.int64()))])
+        schema = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("uid", pa.int64()), ("id", pa.int64()), ("v", pa.list_(pa.float64())), ("cells", pa.list_(pa.int64()))])
         for b in batches:
-            x = np.array(b.column(1).to_pylist(), float).reshape(-1, width)
-            s1, s2 = x[:, : index.half] @ index.books[0].T, x[:, index.half :] @ index.books[1].T
-            out = []
-            for q, v, block, u, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), s1, s2):
+            x = np.array(b.column(2).to_pylist(), float).reshape(-1, width)
+            s1, s2 = index.scores(x)
+            for uid, key, v, block, u, w in zip(*(c.to_pylist() for c in b.columns), s1, s2):
                 by: dict[int, list[int]] = {}
                 for c in walk(u, w, sizes, need):
                     for s in range(int(first[c]), int(first[c] + parts[c])):
                         by.setdefault(s, []).append(c)
-                out += [(s, block, q, v, c) for s, c in by.items()]
-            yield batch_of(schema, *(list(zip(*out)) or [[]] * 5))
+                yield batch_of(schema, list(by), [block] * len(by), [uid] * len(by), [key] * len(by), [v] * len(by), list(by.values()))
+
+    def deal(batches):
+        _, first, parts = shards.value
+        at = 0
+        for b in batches:
+            cell = b.column(2).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(first[cell] + (np.arange(len(cell)) + at) % parts[cell]), *b.columns], names=["shard", "id", "v", "cell"])
+            at += len(cell)
 
-    wanted = written(usable(queries, key, vector).filter(F.size("v") == width), "queries")
+    wanted = written(usable(queries, key, vector).filter(F.size("v") == width).withColumn("uid", F.monotonically_increasing_id()), "queries")
     blocks = max(1, -(-wanted.count() // QUERY_ROWS))
 
-    asked = wanted.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).mapInArrow(route, "shard long, block long, id long, v array<double>, cells array<long>")
+    asked = wanted.select("uid", "id", "v", F.pmod(F.xxhash64("uid"), F.lit(blocks)).alias("block")).mapInArrow(route, "shard long, block long, uid long, id long, v array<double>, cells array<long>")
     # A shard meets its queries in blocks of about QUERY_ROWS.
     asked = written(asked, "asked")
     pairs = asked.select("shard", "block").distinct()
-    deal = spark.createDataFrame([(c, int(first[c]), int(parts[c])) for c in np.flatnonzero(sizes).tolist()], "cell long, first long, parts long")
-    dealt = entries.join(deal, "cell").select((F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))).alias("shard"), "cell", "id", "v")
+    dealt = entries.select("id", "v", "cell").mapInArrow(deal, "shard long, id long, v array<double>, cell long")
     dealt = dealt.join(pairs, "shard").select(F.col("shard").alias("its_shard"), F.col("block").alias("its_block"), "cell", F.col("id").alias("its_id"), F.col("v").alias("its_v"))
-    top = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+    top = pa.schema([("uid", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def rank(_, mine: pa.Table, theirs: pa.Table) -> pa.Table:
         if not mine.num_rows or not theirs.num_rows:
@@ -179,7 +208,7 @@ def search(df: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str =
         order = np.lexsort((mine["its_id"].to_numpy(), mine["cell"].to_numpy()))
         ids, cell = mine["its_id"].to_numpy()[order], mine["cell"].to_numpy()[order]
         x = mine["its_v"].combine_chunks().flatten().to_numpy().reshape(-1, width)[order]
-        qid, q = theirs["id"].to_numpy(), theirs["v"].combine_chunks().flatten().to_numpy().reshape(-1, width)
+        uid, qid, q = theirs["uid"].to_numpy(), theirs["id"].to_numpy(), theirs["v"].combine_chunks().flatten().to_numpy().reshape(-1, width)
         there, at = np.unique(cell, return_inverse=True)
         out = []
         for s in range(0, len(qid), 256):
@@ -196,9 +225,9 @@ def search(df: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str =
                 near = np.flatnonzero((row >= least - 1e-9 * max(1.0, abs(least)) if np.isfinite(least) else row > least))
                 exact = (x[near] * q[s + r]).sum(1)  # each row by itself: equal vectors have equal scores
                 best = np.lexsort((ids[near], -exact))[:k]
-                out.append((np.full(len(best), qid[s + r]), ids[near][best], exact[best]))
+                out.append((np.full(len(best), uid[s + r]), np.full(len(best), qid[s + r]), ids[near][best], exact[best]))
         return pa.table([np.concatenate(c) for c in zip(*out)], schema=top)
 
-    found = dealt.groupBy("its_shard", "its_block").cogroup(asked.groupBy("shard", "block")).applyInArrow(rank, "query_id long, vec_id long, score double")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = dealt.groupBy("its_shard", "its_block").cogroup(asked.groupBy("shard", "block")).applyInArrow(rank, "uid long, query_id long, vec_id long, score double")
+    place = F.row_number().over(Window.partitionBy("uid").orderBy(F.desc("score"), "vec_id"))
     return found.select("query_id", place.alias("rank"), "vec_id", "score").filter(F.col("rank") <= k)
