@@ -7,8 +7,9 @@ words, and the posterior over languages follows with equal priors. Words repeat,
 of words it has seen, in a cache of bounded size that changes no result.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0, and so is everything if no labelled text
-was given; a null doc_id is not held out and is not learned from; ties go to the language that sorts first; words of
-over 64 letters are scored in parts of 64; repeated rows stay; an empty table gives an empty result.
+was given; a null doc_id is not held out and is not learned from; ties go to the language that sorts first; a word of
+any length is summed over all its segmentations; repeated rows stay; an empty table gives an empty result; extra
+columns are ignored, or kept where asked for, under any name.
 """
 
 from __future__ import annotations
@@ -24,12 +25,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, hashed_share, resident, small_batches, strings, written
+from .common import batch_of, fresh, hashed_share, resident, small_batches, strings, written
 
 LETTERS = regex.compile(r"\p{L}+")
 PLAIN = re.compile("[a-z]+")
 GAP = re.compile("[ -@]")
 BLOCK_CHARS = 800_000
+#: Letters that the forward algorithm takes on at once; it then carries on from the last ones.
 PART = 64
 MARK = "▁"
 #: Log probability of a character that no piece covers, the same in each language.
@@ -84,25 +86,45 @@ def parts(text: str):
     yield text[at:] if at else text
 
 
-def arcs(words: list[str], known: dict[str, int], unknown: int):
-    """All arcs of the words' segmentation lattices: (end, word, start, piece), sorted. ``unknown`` is the piece of characters that none covers."""
-    packed = []
-    add = packed.append
+@lru_cache(maxsize=4)
+def longest_piece(path: str) -> int:
+    return max(map(len, pieces(path)), default=1)
+
+
+def arcs(words: list[str], known: dict[str, int], unknown: int, reach: int, base: int = 0, size: int | None = None):
+    """The arcs of the words' segmentation lattices that end in the ``size`` letters after ``base`` (None: all): (end, word, start, piece), sorted.
+
+    Places are counted from ``base - reach``, where ``reach`` is the longest piece. ``unknown`` is the piece of
+    characters that none covers.
+    """
+    longest = max(map(len, words), default=0)
+    short = reach + (longest - base if size is None else min(longest - base, size)) < 256 and len(words) < 1 << 24
+    packed: list[int] = []
+    found: list[tuple[int, int, int, int]] = []
     get = known.get
+    move = reach - base
+    if short:  # end, word, start and piece in one number, which sorts faster
+        add = packed.append
     for w, word in enumerate(words):
-        n = len(word)
-        for s in range(n):
+        n = len(word) if size is None else min(len(word), base + size)
+        for s in range(max(0, base - reach + 1), n):
             i = get(word[s], unknown)
-            add((s + 1) << 56 | w << 32 | s << 24 | (i if i >= 0 else unknown))
+            row = w << 32 | (s + move) << 24 if short else 0
+            if s >= base:
+                p = i if i >= 0 else unknown
+                add((s + 1 + move) << 56 | row | p) if short else found.append((s + 1 + move, w, s + move, p))
             if i != unknown:
-                for e in range(s + 2, n + 1):
+                for e in range(s + 2, min(n, s + reach) + 1):
                     i = get(word[s:e])
                     if i is None:
                         break
-                    if i >= 0:
-                        add(e << 56 | w << 32 | s << 24 | i)
-    x = np.sort(np.array(packed, np.uint64)).astype(np.int64)
-    return x >> 56, x >> 32 & 0xFFFFFF, x >> 24 & 0xFF, x & 0xFFFFFF
+                    if i >= 0 and e > base:
+                        add((e + move) << 56 | row | i) if short else found.append((e + move, w, s + move, i))
+    if short:
+        x = np.sort(np.array(packed, np.uint64))
+        return (x >> np.uint64(56)).astype(np.int64), (x >> np.uint64(32)).astype(np.int64) & 0xFFFFFF, (x >> np.uint64(24)).astype(np.int64) & 0xFF, x.astype(np.int64) & 0xFFFFFF
+    x = np.array(found, np.int64).reshape(-1, 4)
+    return x[np.lexsort((x[:, 2], x[:, 1], x[:, 0]))].T
 
 
 def log_sums(x: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -111,24 +133,48 @@ def log_sums(x: np.ndarray, at: np.ndarray) -> np.ndarray:
     return top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, np.diff(np.r_[at, len(x)]), axis=0)), at))
 
 
-def forward(words: list[str], logp: np.ndarray, known: dict[str, int]) -> np.ndarray:
-    """(words x languages) log of the summed probability of all segmentations."""
-    if not words:
-        return np.zeros((0, logp.shape[1]))
-    end, w, s, piece = arcs(words, known, len(logp) - 1)
-    alpha = np.zeros((max(map(len, words)) + 1, len(words), logp.shape[1]))
-    cuts = np.searchsorted(end, np.arange(1, len(alpha) + 1))
-    for d in range(1, len(alpha)):
-        a, b = cuts[d - 1], cuts[d]
-        at = np.flatnonzero(np.r_[True, w[a + 1 : b] != w[a : b - 1]])
-        alpha[d, w[a:b][at]] = log_sums(alpha[s[a:b], w[a:b]] + logp[piece[a:b]], at)
-    return alpha[np.fromiter(map(len, words), np.int64, len(words)), np.arange(len(words))]
+def forward(words: list[str], logp: np.ndarray, known: dict[str, int], reach: int = 32) -> np.ndarray:
+    """(words x languages) log of the summed probability of all segmentations.
+
+    Words go ``PART`` letters at a time; the sums at the last ``reach`` places (no piece is longer) are carried on.
+    """
+    out = np.zeros((len(words), logp.shape[1]))
+    length = np.fromiter(map(len, words), np.int64, len(words))
+    left, carried, base = np.flatnonzero(length), None, 0
+    while len(left):
+        some = [words[i] for i in left]
+        end, w, s, piece = arcs(some, known, len(logp) - 1, reach, base, PART)
+        alpha = np.zeros((reach + PART + 1, len(some), logp.shape[1]))
+        if carried is not None:
+            alpha[: reach + 1] = carried
+        cuts = np.searchsorted(end, np.arange(reach + 1, reach + PART + 2))
+        for d in range(PART):
+            a, b = cuts[d], cuts[d + 1]
+            if a == b:
+                break
+            at = np.flatnonzero(np.r_[True, w[a + 1 : b] != w[a : b - 1]])
+            alpha[reach + 1 + d, w[a:b][at]] = log_sums(alpha[s[a:b], w[a:b]] + logp[piece[a:b]], at)
+        done = length[left] <= base + PART
+        out[left[done]] = alpha[length[left[done]] - base + reach, np.flatnonzero(done)]
+        carried, left, base = alpha[PART:][:, ~done], left[~done], base + PART
+    return out
 
 
-def expected_counts(words: list[str], lang: np.ndarray, weight: np.ndarray, logp: np.ndarray, known: dict[str, int]) -> np.ndarray:
-    """(languages x pieces) expected uses of each piece, from the posterior over each word's segmentations in its own language."""
-    end, w, s, piece = arcs(words, known, len(logp) - 1)
-    longest = max(map(len, words))
+def expected_counts(words: list[str], lang: np.ndarray, weight: np.ndarray, logp: np.ndarray, known: dict[str, int], reach: int = 32) -> np.ndarray:
+    """(languages x pieces) expected uses of each piece, from the posterior over each word's segmentations in its own language. Words are taken together by length."""
+    out = np.zeros((logp.shape[1], len(logp)))
+    length = np.fromiter(map(len, words), np.int64, len(words))
+    for tall in np.unique(np.ceil(np.log2(np.maximum(length, PART)))):
+        k = np.flatnonzero((length > 0) & (np.ceil(np.log2(np.maximum(length, PART))) == tall))
+        if len(k):
+            _add_counts(out, [words[i] for i in k], length[k], lang[k], weight[k], logp, known, reach)
+    return out
+
+
+def _add_counts(out, words, length, lang, weight, logp, known, reach) -> None:
+    end, w, s, piece = arcs(words, known, len(logp) - 1, reach)
+    end, s = end - reach, s - reach
+    longest = int(length.max())
     lp = logp[piece, lang[w]]
     alpha, beta = np.zeros((longest + 1, len(words))), np.full((longest + 1, len(words)), -np.inf)
     cuts = np.searchsorted(end, np.arange(1, longest + 2))
@@ -136,19 +182,15 @@ def expected_counts(words: list[str], lang: np.ndarray, weight: np.ndarray, logp
         a, b = cuts[d - 1], cuts[d]
         at = np.flatnonzero(np.r_[True, w[a + 1 : b] != w[a : b - 1]])
         alpha[d, w[a:b][at]] = log_sums(alpha[s[a:b], w[a:b]] + lp[a:b], at)
-    length = np.fromiter(map(len, words), np.int64, len(words))
     beta[length, np.arange(len(words))] = 0
-    order = np.lexsort((w, s))[::1]
-    starts = s[order]
-    cuts = np.searchsorted(starts, np.arange(longest + 1))
+    order = np.lexsort((w, s))
+    cuts = np.searchsorted(s[order], np.arange(longest + 1))
     for d in range(longest - 1, -1, -1):
         o = order[cuts[d] : cuts[d + 1]]
         at = np.flatnonzero(np.r_[True, w[o][1:] != w[o][:-1]])
         beta[d, w[o][at]] = log_sums(beta[end[o], w[o]] + lp[o], at)
     share = np.exp(alpha[s, w] + lp + beta[end, w] - alpha[length[w], w]) * weight[w]
-    out = np.zeros((logp.shape[1], len(logp)))
     np.add.at(out, (lang[w], piece), share)
-    return out
 
 
 class Model:
@@ -160,7 +202,7 @@ class Model:
 
     def scorer(self):
         """A function from texts to (language, score) pairs, with its own word cache."""
-        known, width = prefixes(self.path), len(self.langs)
+        known, reach, width = prefixes(self.path), longest_piece(self.path), len(self.langs)
         cache: dict[str, int] = {}
         rows = np.empty((CACHE_WORDS, width))
 
@@ -170,11 +212,8 @@ class Model:
             if first + len(words) > len(rows):  # one block of texts has more words than the cache
                 rows = np.concatenate((rows[:first], np.empty((len(words), width))))
             for i in range(0, len(words), 4096):
-                part = words[i : i + 4096]
-                cut = [(k, MARK + x[j : j + PART] if not j else x[j : j + PART]) for k, x in enumerate(part) for j in range(0, len(x), PART)]
-                scores = np.zeros((len(part), width))
-                np.add.at(scores, [k for k, _ in cut], forward([x for _, x in cut], self.logp, known))
-                rows[first + i : first + i + len(part)] = scores
+                part = [MARK + x for x in words[i : i + 4096]]
+                rows[first + i : first + i + len(part)] = forward(part, self.logp, known, reach)
             cache.update(zip(words, range(first, first + len(words))))
 
         def totals(some: list[list[str]]) -> np.ndarray:
@@ -259,9 +298,8 @@ def train(samples: DataFrame, text: str = "text", lang: str = "lang", key: str =
             for b in batches:
                 if not b.num_rows:
                     continue
-                x, total = b.to_pydict(), None
-                cut = [(place[g], MARK + w[j : j + PART] if not j else w[j : j + PART], n) for g, w, n in zip(x["lang"], x["word"], x["n"]) for j in range(0, len(w), PART)]
-                total = expected_counts([w for _, w, _ in cut], np.array([g for g, _, _ in cut]), np.array([n for _, _, n in cut], float), held.value, known)
+                x = b.to_pydict()
+                total = expected_counts([MARK + w for w in x["word"]], np.array([place[g] for g in x["lang"]]), np.array(x["n"], float), held.value, known, longest_piece(path))
                 g, p = np.nonzero(total)
                 yield batch_of(count_schema, [langs[i] for i in g], p.astype(np.int32), total[g, p])
 
@@ -280,22 +318,22 @@ def learnable(docs: DataFrame) -> DataFrame:
     return docs.filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).filter("text is not null and lang is not null")
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The ``keep`` columns with lang_pred and score for each row; one pass, no shuffle."""
+def identify(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The ``keep`` columns with lang_pred and score (or other ``names``) for each row; one pass, no shuffle."""
     small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast((model.langs, model.logp, model.path))
     number = model.number
-    fields = [f for f in docs.select(*keep).schema.fields]
-    out = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["lang_pred string", "score double"])
-    names = [f.name for f in fields] + ["lang_pred", "score"]
+    fields = [f for f in docs.select(*(F.col(f"`{c}`") for c in keep)).schema.fields]
+    out = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"`{names[0]}` string", f"`{names[1]}` double"])
+    columns = [f.name for f in fields] + list(names)
 
     def mark(batches):
         predict = resident(number, lambda: Model(*held.value).scorer())
         for b in batches:
             found = predict(strings(b.column(b.num_columns - 1)))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=names)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=columns)
 
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(mark, out)
+    return docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text).alias(fresh("__text", list(keep)))).mapInArrow(mark, out)
 
 
 def held_out() -> F.Column:
