@@ -1,13 +1,17 @@
 """Secret scans: fixed patterns, and character Markov models compared by log-likelihood ratio.
 
 Two first-order character models are trained from labelled samples: one from secrets (random strings), one from
-ordinary identifiers and words. A candidate token is reported when the mean log-likelihood ratio per character and
+ordinary words and identifiers. The corpus labels its own: what the base patterns find is a secret, and what else is
+shaped like words is ordinary; ordinary are also the identifiers that joining common words of code makes (``WORDS``, as
+prose holds few identifiers). Each model is the mean of two, so that neither source outweighs the other: random is
+trained and uniform, ordinary is trained and joined words. A candidate token is reported when the mean log-likelihood ratio per character and
 the total both exceed their thresholds. Neither scan drops or caps anything; every whole text is read once by the
 sampler's share and once by the scan.
 
 Defined cases: a null text is the empty text; an empty text has no span; repeated rows give repeated results; a null
-doc_id is kept as null; an empty table gives an empty result; without labelled secrets the model falls back to the
-uniform random model over the alphabet, so it still works on a table that has none.
+doc_id (or one that is no number) is null; an empty table gives an empty result; without labelled secrets or words the
+models are the uniform one and that of joined words, so it still works on a table that has none; extra columns are
+ignored; very long texts are read whole.
 """
 
 from __future__ import annotations
@@ -35,6 +39,16 @@ KINDS = ("assign", "access", "hex", "markov")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
 #: What counts as an ordinary identifier or word: runs of one kind, no single letters among them but the first.
 ORDINARY = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)(?:[+/_=-]*(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]+))*[+/_=-]*")
+#: Common words of code, from which ordinary identifiers are made.
+WORDS = """abstract access account action active adapter add address admin agent alert alias all append apply archive array assert async attribute audio author back background base batch before bind bit block body bool border bound branch bridge browser buffer build button byte cache call cancel
+case channel char check child class clean clear click client clock close cloud cluster code color column command commit common compare component config connect console const content context control convert copy core count create cursor custom data date debug decode default delete
+depth description device dialog disable display document domain double down download draft driver drop dynamic edit element email empty enable encode end engine entity entry environment error event exception execute exit export expression extension factory failed feature fetch field file
+filter find first flag float focus folder font format forward frame from function generate get global graph grid group handle hash head header height hide history hook host icon image import index info init input insert instance int internal invalid item iterator java job join key label
+language layer layout length level library limit line link list listen load local lock log login loop main manager map mask match max media member memory menu merge message meta method metric min mode model module mouse move name native network next node normal not number object offset on open option order
+output owner package page panel param parent parse password path pattern pending play plugin point policy pool port position post prefix primary print private process product profile project property protocol provider proxy public push query queue range rate read record redirect reference register
+remote remove render replace report request require reset resource response result return role root route row rule run save scale schema scope screen script scroll search section security select send server service session set settings shape shift show size socket sort source span stack start state static status step
+stop storage store stream string style submit support switch sync system table target task template test text theme thread time title toggle token tool top trace transform tree type unit update upload url user util valid value variable vector version view virtual visible wait warning web width window with word work wrapper write""".split()
+
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 START = len(ALPHABET)
 SIZE = START + 1
@@ -83,25 +97,34 @@ def sample_counts(spans_and_texts) -> dict[int, Counter]:
     return out
 
 
+def joined_words() -> Counter:
+    """Transition counts of identifiers of two or three words of WORDS, in the usual ways of writing them, and of runs of one character (rules, padding)."""
+    out = Counter(t for c in ALPHABET for t in transitions(c * (40 if c.isalnum() else 2000)).tolist())
+    n = len(WORDS)
+    for i, a in enumerate(WORDS):
+        for step in (37, 101, 211):
+            b, c = WORDS[(i + step) % n], WORDS[(i + 2 * step) % n]
+            upper, camel = [x.upper() for x in (a, b, c)], [x.capitalize() for x in (a, b, c)]
+            for token in (a + camel[1] + camel[2], "".join(camel), upper[0] + camel[1] + camel[2], camel[0] + upper[1], "_".join((a, b, c)), "_".join(upper), "-".join((a, b)), "/".join((a, b, c)), f"{a}{step % 10}", f"{a}_{b}_{step}"):
+                out.update(transitions(token).tolist())
+    return out
+
+
 def log_ratio(counts: dict[int, dict[int, float]], prior: float = 0.5) -> np.ndarray:
-    """log P(next | previous; random) - log P(next | previous; ordinary), smoothed, over (SIZE x SIZE).
-
-    The random model is the mean of the trained one and the uniform one, so that a kind of secret that the samples
-    lack (base64, mixed case) isn't taken for ordinary text.
-    """
-    logs = []
-    for label in (0, 1):
-        c = np.full((SIZE, SIZE), prior / (1 + 9 * (label == 0)))
-        for k, n in counts.get(label, {}).items():
+    """log P(next | previous; random) - log P(next | previous; ordinary), smoothed, over (SIZE x SIZE)."""
+
+    def model(found) -> np.ndarray:
+        c = np.full((SIZE, SIZE), prior / 10)
+        for k, n in found.items():
             c[k // SIZE, k % SIZE] += n
         c[:, START] = 0
-        p = c / c.sum(1, keepdims=True)
-        if label:
-            uniform = np.full((SIZE, SIZE), 1 / START)
-            p = (p + uniform) / 2
-        with np.errstate(divide="ignore"):
-            logs.append(np.log(p))
-    table = logs[1] - logs[0]
+        return c / c.sum(1, keepdims=True)
+
+    uniform = np.full((SIZE, SIZE), 1 / START)
+    joined = model(joined_words())
+    ordinary = (model(counts[0]) + joined) / 2 if counts.get(0) else joined
+    with np.errstate(divide="ignore", invalid="ignore"):
+        table = np.log((model(counts.get(1, {})) + uniform) / 2) - np.log(ordinary)
     table[:, START] = 0
     return table
 

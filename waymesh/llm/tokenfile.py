@@ -408,7 +408,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, mode:
             out.close()
             yield batch_of(schema, [part], [name], [len(writer.docs)], [writer.ids])
 
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("by", F.xxhash64("text")).repartitionByRange(n, "doc_id", "by").sortWithinPartitions("doc_id", "by", "text").drop("by")
     files = written(dealt.mapInArrow(write, "part long, file string, n_docs long, n_ids long"), "token-index")
     over = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return files.withColumn("start", F.coalesce(F.sum("n_ids").over(over), F.lit(0)))

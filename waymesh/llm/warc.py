@@ -7,9 +7,13 @@ all digests. Record ids are name-based (UUID 5), so a rerun gives the same recor
 each record, written by the executors to the shared folder under a name of their own for each attempt; the index of
 offsets is a Spark table, so only attempts that ended count.
 
+Source headers are kept as they are, repeated ones (Set-Cookie, WARC-Concurrent-To) as lists. Text and links are read
+from the content: chunked bodies are put together, gzip, deflate and zstd taken off.
+
 Defined cases: a null page is an empty body and a null URL is the empty URI; both still give two records; pages of the
-same id and URL give equal records; records that aren't HTTP responses with a header give an empty text and no link;
-very long pages are converted whole; an empty table gives no file and an empty result; extra columns are ignored.
+same id and URL, repeated rows among them, give records of equal ids; records that aren't HTTP responses with a header,
+and contents in a coding that isn't known, give an empty text and no link; very long pages are converted whole; a
+page_id that is no number is null; an empty table gives no file and an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,25 +25,27 @@ import html
 import json
 import re
 import uuid
+import zlib
 
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import batch_of, filesystem, scratch, small_batches, written
+from .htmltext import ATTRIBUTE, tag_end
 
 VERSION = "WARC/1.1"
 DATE = "2024-01-01T00:00:00Z"
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
-HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-BREAK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|html|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|tr|ul)\b[^>]*>", re.I)
-TAG = re.compile(r"<[!/?a-zA-Z][^>]*>")
-TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title\s*>|\Z)", re.S | re.I)
-LINK = re.compile(r"<(a|area|link|img|script|iframe|form|source|video|audio)\b((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.I)
-META = re.compile(r"<meta\b((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.I)
-ATTRIBUTE = re.compile(r"([a-zA-Z][a-zA-Z:-]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head)\b[^>]*(?:>|\Z).*?(?:</\1\s*>|\Z)", re.S | re.I)
+BREAK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|html|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|tr|ul)\b[^>]*(?:>|\Z)", re.I)
+TAG = re.compile(r"<[!/?a-zA-Z][^>]*(?:>|\Z)")
+TITLE = re.compile(r"<title\b[^>]*(?:>|\Z)(.*?)(?:</title\s*>|\Z)", re.S | re.I)
+TOLD = re.compile(r"<(a|area|link|img|script|iframe|form|source|video|audio|meta)(?=[\s/>])", re.I)
+CHUNK = re.compile(rb"([0-9A-Fa-f]{1,8})[ \t]*(?:;[^\r\n]*)?\r\n")
 
 
 def digest(data: bytes) -> str:
@@ -56,28 +62,82 @@ def record(headers: dict[str, str], block: bytes) -> bytes:
     return (VERSION + "\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields.items()) + "\r\n").encode() + block + b"\r\n\r\n"
 
 
-def header_lines(lines: bytes) -> tuple[str, dict[str, str]]:
-    """The first line and the named fields (continuation lines joined; the last of repeated fields wins)."""
+Fields = dict[str, str | list[str]]
+
+
+def header_lines(lines: bytes) -> tuple[str, Fields]:
+    """The first line and the named fields, continuation lines joined. A name that is repeated, in any case of letters, has the list of its values in order."""
     first, _, rest = lines.decode("utf-8", "replace").partition("\r\n")
-    found: dict[str, str] = {}
-    name = ""
+    rows: list[list[str]] = []
     for line in rest.split("\r\n"):
-        if line[:1] in (" ", "\t") and name:
-            found[name] += " " + line.strip()
+        if line[:1] in (" ", "\t") and rows:
+            rows[-1][1] += " " + line.strip()
         elif ":" in line:
             name, _, value = line.partition(":")
-            name = name.strip()
-            found[name] = value.strip()
-    return first, found
+            rows.append([name.strip(), value.strip()])
+    found: dict[str, tuple[str, list[str]]] = {}
+    for name, value in rows:
+        found.setdefault(name.lower(), (name, []))[1].append(value)
+    return first, {name: values[0] if len(values) == 1 else values for name, values in found.values()}
+
 
+def field(fields: Fields, name: str, default: str = "") -> str:
+    """The (first) value of a field, whatever the case of its name."""
+    value = next((v for k, v in fields.items() if k.lower() == name.lower()), default)
+    return value if isinstance(value, str) else value[0]
 
-def parse(data: bytes) -> tuple[dict[str, str], bytes]:
+
+def parse(data: bytes) -> tuple[Fields, bytes]:
     """(named fields, block) of one record."""
     head, _, rest = data.partition(b"\r\n\r\n")
     first, fields = header_lines(head)
     if not first.startswith("WARC/"):
         raise ValueError(f"not a WARC record: {first[:40]!r}")
-    return fields, rest[: int(fields["Content-Length"])]
+    return fields, rest[: int(field(fields, "Content-Length"))]
+
+
+def unchunked(body: bytes) -> bytes:
+    """The data of a chunked body, as far as it is well formed."""
+    out, at = [], 0
+    while m := CHUNK.match(body, at):
+        size, at = int(m[1], 16), m.end()
+        if not size:
+            break
+        out.append(body[at : at + size])
+        at += size + 2
+    return b"".join(out) if out else body
+
+
+def inflated(body: bytes, coding: str) -> bytes:
+    """The body without one content coding; what can be read of one that is cut off. One that isn't known gives nothing."""
+    if coding in ("gzip", "x-gzip", "deflate"):
+        for bits in (47, -15):
+            d = zlib.decompressobj(bits)
+            try:
+                out = d.decompress(body)
+                while d.unused_data and bits == 47:  # further members
+                    rest, d = d.unused_data, zlib.decompressobj(bits)
+                    out += d.decompress(rest)
+                return out
+            except zlib.error:
+                continue
+        return b""
+    if coding == "zstd":
+        try:
+            return zstandard.ZstdDecompressor().decompressobj().decompress(body)
+        except zstandard.ZstdError:
+            return b""
+    return body if coding in ("", "identity") else b""
+
+
+def entity(body: bytes, http: Fields) -> bytes:
+    """The content of a response's body, without transfer and content codings."""
+    codings = lambda name: [c.strip().lower() for v in [next((v for k, v in http.items() if k.lower() == name), "")] for x in ([v] if isinstance(v, str) else v) for c in x.split(",")]
+    for coding in reversed(codings("transfer-encoding")):
+        body = unchunked(body) if coding == "chunked" else inflated(body, coding)
+    for coding in reversed(codings("content-encoding")):
+        body = inflated(body, coding)
+    return body
 
 
 def response(key: str, url: str, page: str, date: str = DATE) -> bytes:
@@ -88,21 +148,30 @@ def response(key: str, url: str, page: str, date: str = DATE) -> bytes:
 
 
 def attributes(text: str) -> dict[str, str]:
-    return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(text)}
+    """Attributes by name; the first of a name counts."""
+    found: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(text):
+        found.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
+    return found
+
+
+def told(page: str) -> list[tuple[str, dict[str, str]]]:
+    """(element, attributes) of each tag that links or holds metadata, in one pass."""
+    out, at, dead = [], 0, set()
+    while m := TOLD.search(page, at):
+        at = tag_end(page, m.end(), dead)
+        if at < 0:
+            break
+        out.append((m[1].lower(), attributes(page[m.end() : at - 1])))
+    return out
 
 
 #: The attribute that links, by element.
 LINKS = {"a": "href", "area": "href", "link": "href", "img": "src", "script": "src", "iframe": "src", "form": "action", "source": "src", "video": "src", "audio": "src"}
 
 
-def links(page: str) -> list[dict[str, str]]:
-    out = []
-    for m in LINK.finditer(page):
-        name = m[1].lower()
-        got = attributes(m[2])
-        if LINKS[name] in got:
-            out.append({"path": f"{name.upper()}@/{LINKS[name]}", "url": got[LINKS[name]]} | {k: got[k] for k in ("rel", "alt", "title") if k in got})
-    return out
+def links(found: list[tuple[str, dict[str, str]]]) -> list[dict[str, str]]:
+    return [{"path": f"{name.upper()}@/{LINKS[name]}", "url": got[LINKS[name]]} | {k: got[k] for k in ("rel", "alt", "title") if k in got} for name, got in found if LINKS.get(name) in got]
 
 
 def plain_text(page: str) -> str:
@@ -116,13 +185,14 @@ def derive(data: bytes) -> tuple[bytes, bytes]:
     source, block = parse(data)
     head, sep, body = block.partition(b"\r\n\r\n")
     status, http = header_lines(head) if sep and head.startswith(b"HTTP/") else ("", {})
-    kind = {k.lower(): v for k, v in http.items()}.get("content-type", "")
+    kind = field(http, "Content-Type")
+    content = entity(body, http) if status else b""
     charset = re.search(r"charset=[\"']?([\w-]+)", kind, re.I)
     try:
-        page = body.decode(charset[1] if charset else "utf-8", "replace") if status else ""
+        page = content.decode(charset[1] if charset else "utf-8", "replace")
     except LookupError:
-        page = body.decode("utf-8", "replace")
-    title = TITLE.search(page)
+        page = content.decode("utf-8", "replace")
+    title, tags = TITLE.search(page), told(page)
     envelope = {
         "Container": {"Compressed": True},
         "Envelope": {
@@ -135,14 +205,15 @@ def derive(data: bytes) -> tuple[bytes, bytes]:
                     "Headers": http,
                     "Entity-Length": len(body),
                     "Entity-Digest": digest(body),
-                    "HTML-Metadata": {"Head": {"Title": " ".join(html.unescape(title[1]).split()) if title else "", "Metas": [attributes(m[1]) for m in META.finditer(page)]}, "Links": links(page)},
+                    "HTML-Metadata": {"Head": {"Title": " ".join(html.unescape(title[1]).split()) if title else "", "Metas": [got for name, got in tags if name == "meta"]}, "Links": links(tags)},
                 },
             },
         },
     }
-    same = {"WARC-Date": source.get("WARC-Date", ""), "WARC-Target-URI": source.get("WARC-Target-URI", ""), "WARC-Refers-To": source["WARC-Record-ID"]}
-    meta = record({"WARC-Type": "metadata", "WARC-Record-ID": record_id("metadata", source["WARC-Record-ID"])} | same | {"Content-Type": "application/json"}, json.dumps(envelope, ensure_ascii=False).encode())
-    text = record({"WARC-Type": "conversion", "WARC-Record-ID": record_id("conversion", source["WARC-Record-ID"])} | same | {"WARC-Refers-To-Payload-Digest": source.get("WARC-Payload-Digest", digest(body)), "Content-Type": "text/plain"}, plain_text(page).encode())
+    name = field(source, "WARC-Record-ID")
+    same = {"WARC-Date": field(source, "WARC-Date"), "WARC-Target-URI": field(source, "WARC-Target-URI"), "WARC-Refers-To": name}
+    meta = record({"WARC-Type": "metadata", "WARC-Record-ID": record_id("metadata", name)} | same | {"Content-Type": "application/json"}, json.dumps(envelope, ensure_ascii=False).encode())
+    text = record({"WARC-Type": "conversion", "WARC-Record-ID": record_id("conversion", name)} | same | {"WARC-Refers-To-Payload-Digest": field(source, "WARC-Payload-Digest", digest(body)), "Content-Type": "text/plain"}, plain_text(page).encode())
     return meta, text
 
 
