@@ -13,6 +13,9 @@ def spark(tmp_path_factory):
 
     s = local_session(4, 4)
     s.sparkContext.setLogLevel("ERROR")
+    # many small plans: compiling code for each costs more than it saves
+    s.conf.set("spark.sql.codegen.wholeStage", "false")
+    s.conf.set("spark.sql.codegen.factoryMode", "NO_CODEGEN")
     s.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
     yield s
     s.stop()

@@ -165,8 +165,8 @@ def nodes(g: Graph) -> DataFrame:
 
 
 def build_graph(estate: Estate, config: Config = Config()) -> Graph:
-    e = estate.without(config.ignore)
-    resolved, call_issues = map(cut, resolve(e, config))
+    e = estate.without(config.ignore).written()
+    resolved, call_issues = resolve(e, config)
     services, topics = service_nodes(e), topic_nodes(e)
     messages = publish_edges(e).union(consume_edges(e))
     declared, declared_issues = declared_edges(e, resolved)

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as fn
+from ..plans.session import numbered
 from .estate import Estate
 from .reach import reach
 
@@ -60,16 +62,22 @@ def interesting_handlers(e: Estate) -> DataFrame:
 
 
 def slices(handlers: DataFrame, files: DataFrame, only: DataFrame | None = None) -> DataFrame:
-    """(service, id, file, start_line, end_line, text): each handler's source up to the next handler of its file, 120 lines at most and one at least. ``files``: service, file, text."""
+    """(service, id, file, start_line, end_line, text): each handler's source up to the next handler of its file, 120 lines at most and one at least. ``files``: service, file, text. A file is taken apart once for all its handlers."""
     by_line = Window.partitionBy("service", "file").orderBy("line", "i_ord")
     at = handlers.select("service", "id", "i_ord", F.col("loc.file").alias("file"), F.col("loc.line").alias("line"), "hash").withColumn("next", F.lead("line").over(by_line))
     if only is not None:
         at = at.join(only.select("service", "id"), ["service", "id"], "left_semi")
-    lines = files.select("service", "file", F.split("text", "\r?\n").alias("lines"))
-    s = at.join(lines, ["service", "file"]).withColumn("start_line", F.greatest(F.lit(1), "line"))
-    end = F.least(F.coalesce("next", F.size("lines") + 1) - 1, F.col("start_line") + SLICE_LINES - 1, F.size("lines"))
-    s = s.withColumn("end_line", F.greatest(end, "start_line"))
-    return s.select("service", "id", "i_ord", "file", "line", "hash", "start_line", "end_line", F.array_join(F.slice("lines", F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n").alias("text"))
+    of_file = at.groupBy("service", "file").agg(F.collect_list(F.struct("id", "i_ord", "line", "hash", "next")).alias("hs"))
+    s = of_file.join(files.select("service", "file", F.split("text", "\r?\n").alias("lines")), ["service", "file"])
+    size = F.size("lines")
+
+    def cut_out(h):
+        start = F.greatest(F.lit(1), h["line"])
+        end = F.greatest(F.least(F.coalesce(h["next"], size + 1) - 1, start + SLICE_LINES - 1, size), start)
+        return F.struct(h["id"].alias("id"), h["i_ord"].alias("i_ord"), h["line"].alias("line"), h["hash"].alias("hash"), start.alias("start_line"), end.alias("end_line"), F.array_join(F.slice("lines", start, end - start + 1), "\n").alias("text"))
+
+    out = s.select("service", "file", F.explode(F.transform("hs", cut_out)).alias("x"))
+    return out.select("service", "x.id", "x.i_ord", "file", "x.line", "x.hash", "x.start_line", "x.end_line", "x.text")
 
 
 def split_cached(cut: DataFrame, cache: DataFrame, version: str, model: str) -> DataFrame:
@@ -79,23 +87,34 @@ def split_cached(cut: DataFrame, cache: DataFrame, version: str, model: str) ->
 
 
 def packed(pending: DataFrame, limit: int = CHUNK_CHARS, group: str = "service", order: str = "ord", chars: str = "chars") -> DataFrame:
-    """Adds chunk: slices in order, a new chunk whenever the next would exceed the limit. A fold over one service's slices, which is what order-dependent packing needs."""
-    rows = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(chars).cast("long").alias("n"))))
-    state = "struct<chunk:int,size:bigint,held:boolean,out:array<struct<o:{t},chunk:int>>>".format(t=pending.schema[order].dataType.simpleString())
-    zero = F.struct(F.lit(0).alias("chunk"), F.lit(0).cast("long").alias("size"), F.lit(False).alias("held"), F.array().alias("out")).cast(state)
-
-    def step(a, x):
-        new = a["held"] & (a["size"] + x["n"] > limit)
-        chunk = F.when(new, a["chunk"] + 1).otherwise(a["chunk"])
-        return F.struct(chunk.alias("chunk"), (F.when(new, F.lit(0)).otherwise(a["size"]) + x["n"]).alias("size"), F.lit(True).alias("held"), F.concat(a["out"], F.array(F.struct(x["o"].alias("o"), chunk.alias("chunk")))).alias("out")).cast(state)
-
-    folded = pending.groupBy(group).agg(F.aggregate(rows, zero, step, lambda a: a["out"]).alias("x")).select(group, F.explode("x").alias("x")).select(group, F.col("x.o").alias(order), F.col("x.chunk").alias("chunk"))
-    return pending.join(folded.distinct(), [group, order])
+    """Adds chunk: slices in order, a new chunk whenever the next would exceed the limit.
+
+    Where a chunk begins depends on all before it, so one service's sizes are taken in order by one task, which holds
+    one running number of them.
+    """
+    rows = pending.select(F.col(group).alias("g"), F.col(order).alias("o"), F.coalesce(F.col(chars).cast("long"), F.lit(0)).alias("n")).repartition("g").sortWithinPartitions("g", "o")
+
+    def fold(batches):
+        now, chunk, size = (), 0, 0
+        for b in batches:
+            out = []
+            for g, n in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+                if (g,) != now:
+                    now, chunk, size, held = (g,), 0, 0, False
+                if held and size + n > limit:
+                    chunk, size = chunk + 1, 0
+                size, held = size + n, True
+                out.append(chunk)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.int32())], names=["g", "o", "chunk"])
+
+    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    found = rows.mapInArrow(fold, f"g {types['g']}, o {types['o']}, chunk int").distinct()
+    return pending.join(found.withColumnsRenamed({"g": group, "o": order}), [group, order])
 
 
 def batches(flows: DataFrame, order: str = "rank", size: int = FLOWS_PER_REQUEST) -> DataFrame:
     """Adds batch: so many flows to a request, in order."""
-    return flows.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(order)) - 1) / size).cast("int"))
+    return numbered(flows, "batch", order).withColumn("batch", F.floor((F.col("batch") - 1) / size).cast("int"))
 
 
 def merge_summaries(parts: DataFrame, handlers: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field, fields, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.session import cut
 from ..schema import TABLES
 
 
@@ -40,6 +41,10 @@ class Estate:
         keep = lambda df, c: df.filter(~F.col(c).isin(*ignored))
         return Estate(**{f.name: keep(getattr(self, f.name), "id" if f.name == "services" else "service") for f in fields(self)})
 
+    def written(self) -> Estate:
+        """The estate as tables of its own: manifests are taken apart once, whatever is asked of them."""
+        return Estate(**{f.name: cut(getattr(self, f.name)) for f in fields(self)})
+
     def replace(self, **changes: DataFrame) -> Estate:
         return replace(self, **changes)
 

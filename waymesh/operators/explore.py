@@ -115,6 +115,11 @@ def outbound(edges: DataFrame, reached: DataFrame) -> DataFrame:
     return service_level.unionByName(detail).join(reached, F.col("by") == F.col("handler")).drop("by", "handler")
 
 
+def outbound_counts(edges: DataFrame, reached: DataFrame) -> DataFrame:
+    """(entry, kind, n): how many edges of each kind each entry sets off. An edge belongs to one handler, so counts of handlers add up and no edge is repeated."""
+    return outbound(edges, reached.select("handler").distinct().withColumn("entry", F.col("handler"))).groupBy(F.col("entry").alias("handler"), "kind").agg(F.count("*").alias("n")).join(reached, "handler").groupBy("entry", "kind").agg(F.sum("n").alias("n"))
+
+
 def endpoint_impact(g: Graph, endpoints: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """((endpoint, handler), (endpoint, edge...)): all that endpoints set off inside their services and out of them."""
     eps = (g.endpoints if endpoints is None else endpoints).select(F.col("node").alias("endpoint"), fn.handler_node("service", "handler").alias("entry"))

@@ -1,7 +1,9 @@
 """Which service an outbound call reaches: rules in order of precedence, each applied to what the earlier ones left over.
 
-All rules work on distinct probes (method, path, hint, host), not on calls, so a million calls to one route cost one
-lookup. Theta conditions (suffix paths with wildcards, tokens inside a host) become equi-joins on exploded keys.
+All rules work on distinct probes (hint, host, or method and path), not on calls, so a million calls to one route cost
+one lookup. One table holds, for each distinct method and path, the best endpoint of every service that has one; the
+rules look their targets up in it. Theta conditions (suffix paths with wildcards, tokens inside a host) are equi-joins
+on exploded keys. What the rules find is joined back to the calls once, and one expression says which rule wins.
 """
 
 from __future__ import annotations
@@ -30,27 +32,11 @@ def methods_agree(a: Column, b: Column) -> Column:
     return (a == "ANY") | (b == "ANY") | (a == b)
 
 
-def best_endpoint(probes: DataFrame, endpoints: DataFrame) -> DataFrame:
-    """For distinct (service, method, path) probes the service's endpoint that matches best, the first on ties: ep struct<id, i_ord, score>."""
-    p = probes.filter(F.coalesce(F.col("path"), F.lit("")) != "").select("service", "method", "path").distinct()
-    e = endpoints.select(F.col("service").alias("e_service"), F.col("id").alias("e_id"), F.col("method").alias("e_method"), F.col("path").alias("e_path"), F.col("i_ord").alias("e_ord"))
-    met = p.join(e, F.col("service") == F.col("e_service")).filter(methods_agree(F.col("method"), F.col("e_method")) & fn.path_matches("path", "e_path"))
-    score = fn.match_score("path", "e_path")
-    best = F.max_by(F.struct(F.col("e_id").alias("id"), F.col("e_ord").cast("int").alias("i_ord"), score.cast("int").alias("score")), F.struct(score, -F.col("e_ord")))
-    return met.groupBy("service", "method", "path").agg(best.alias("ep"))
-
-
 def _null_safe(a: DataFrame, b: DataFrame, names: list[str], how: str) -> DataFrame:
+    """A join on columns that may be null on both sides."""
     b = b.select(*(F.col(n).alias(f"__{n}") if n in names else F.col(n) for n in b.columns))
     on = reduce(lambda x, y: x & y, (F.col(n).eqNullSafe(F.col(f"__{n}")) for n in names))
-    return a.join(b, on, how).drop(*(f"__{n}" for n in names))
-
-
-def with_endpoint(found: DataFrame, endpoints: DataFrame) -> DataFrame:
-    """Adds ep (or null): the endpoint of the row's ``target`` that its method and path match."""
-    probes = found.select(F.col("target").alias("service"), "method", "path")
-    best = best_endpoint(probes, endpoints).withColumnRenamed("service", "target")
-    return _null_safe(found, best, ["target", "method", "path"], "left")
+    return a.join(b, on, how) if how == "left_semi" else a.join(b, on, how).drop(*(f"__{n}" for n in names))
 
 
 def raised(confidence: Column) -> Column:
@@ -74,16 +60,6 @@ def config_value(config: Config) -> Column:
     return F.coalesce(*tests) if tests else F.lit(None).cast("string")
 
 
-def by_value(calls: DataFrame, value: str, resolution: str, confidence: float, e: Estate) -> DataFrame:
-    """Calls whose target is named outright (column ``value``): an external system, an unknown one, or a known node."""
-    rows = calls.filter(F.col(value).isNotNull()).join(known_nodes(e), F.col(value) == F.col("node"), "left")
-    named, known = F.col(value).startswith("external:"), F.col("node").isNotNull()
-    outer = F.when(named, F.substring(F.col(value), 10, 1 << 30)).when(~known, F.col(value))
-    rows = rows.withColumn("outer", outer).withColumn("target", F.coalesce(fn.external_node("outer"), F.col(value)))
-    rows = with_endpoint(rows, e.endpoints)
-    return rows.withColumn("resolution", F.when(named | known, resolution).otherwise(f"{resolution}-external")).withColumn("confidence", F.when(named, F.lit(confidence)).when(~known, F.lit(min(confidence, 0.9))).otherwise(raised(F.lit(confidence))))
-
-
 def hint_candidates(probes: DataFrame, services: DataFrame) -> DataFrame:
     """For distinct (service, hint): the services that share most tokens with the hint: tops array<string> in manifest order."""
     hints = probes.select(F.col("service").alias("caller"), "hint").distinct().withColumn("t", F.explode(F.array_distinct(fn.tokens("hint"))))
@@ -104,71 +80,99 @@ def host_owners(probes: DataFrame, services: DataFrame) -> DataFrame:
 
 
 def path_candidates(probes: DataFrame, endpoints: DataFrame) -> DataFrame:
-    """For distinct (method, path): each service with its best matching endpoint. Any place that is fixed in the call must be equal or a wildcard in the endpoint, so the call's last fixed segment is the join key."""
+    """For distinct (method, path): each service (target) with its best matching endpoint, the first on ties: ep struct<id, i_ord, score>.
+
+    Any place that is fixed in the call must be equal or a wildcard in the endpoint, so the call's last fixed segment
+    and its place from the end are the join key. A call of wildcards alone meets any endpoint that is long enough, all
+    with score 0: only its length and method matter, so it meets the first endpoint of each service, method and length.
+    """
     p = probes.filter("path <> ''").select("method", "path").distinct()
     back = F.reverse(F.transform(fn.segments("path"), F.lower))
     key = lambda place, seg: F.concat(place.cast("string"), F.lit("/"), seg)
-    at = F.array_position(F.transform("back", lambda x: x != "{p}"), True).cast("int")
-    p = p.withColumn("back", back).withColumn("at", at)
-    p = p.withColumn("k", F.explode(F.when(F.col("at") > 0, F.array(key(F.col("at"), F.element_at("back", F.greatest(F.lit(1), F.col("at")))), key(F.col("at"), F.lit("{p}")))).otherwise(F.array(F.lit("any"))))).drop("back", "at")
-    e = endpoints.select(F.col("service").alias("e_service"), F.col("id").alias("e_id"), F.col("method").alias("e_method"), F.col("path").alias("e_path"), F.col("i_ord").alias("e_ord")).withColumn("back", F.reverse(F.transform(fn.segments("e_path"), F.lower)))
-    e = e.withColumn("k", F.explode(F.array_union(F.transform("back", lambda x, i: key(i + 1, x)), F.array(F.lit("any"))))).drop("back")
-    met = p.join(e, "k").filter(methods_agree(F.col("method"), F.col("e_method")) & fn.path_matches("path", "e_path"))
-    score = fn.match_score("path", "e_path")
-    best = F.max_by(F.struct(F.col("e_id").alias("id"), F.col("e_ord").cast("int").alias("i_ord"), score.cast("int").alias("score")), F.struct(score, -F.col("e_ord")))
-    return met.groupBy("method", "path", F.col("e_service").alias("target")).agg(best.alias("ep"))
+    p = p.withColumn("back", back).withColumn("at", F.array_position(F.transform("back", lambda x: x != "{p}"), True).cast("int"))
+    e = endpoints.select(F.col("service").alias("target"), F.col("id").alias("e_id"), F.col("method").alias("e_method"), F.col("path").alias("e_path"), F.col("i_ord").cast("int").alias("e_ord")).withColumn("back", F.reverse(F.transform(fn.segments("e_path"), F.lower)))
+    fixed = p.filter("at > 0").withColumn("k", F.explode(F.array(key(F.col("at"), F.element_at("back", F.greatest(F.lit(1), F.col("at")))), key(F.col("at"), F.lit("{p}"))))).select("method", "path", "k")
+    keyed = e.select("target", "e_id", "e_method", "e_path", "e_ord", F.explode(F.array_distinct(F.transform("back", lambda x, i: key(i + 1, x)))).alias("k"))
+    met = fixed.join(keyed, "k").filter(methods_agree(F.col("method"), F.col("e_method")) & fn.path_matches("path", "e_path")).withColumn("score", fn.match_score("path", "e_path").cast("int"))
+    first = e.groupBy("target", "e_method", F.size("back").alias("n")).agg(F.min(F.struct("e_ord", "e_id")).alias("e"))
+    wild = p.filter("at = 0").withColumn("need", F.size("back")).filter("need > 0")
+    loose = wild.join(first, (F.col("n") >= F.col("need")) & methods_agree(F.col("method"), F.col("e_method"))).select("method", "path", "target", "e.e_id", "e.e_ord", F.lit(0).alias("score"))
+    rows = met.select("method", "path", "target", "e_id", "e_ord", "score").union(loose)
+    best = F.max_by(F.struct(F.col("e_id").alias("id"), F.col("e_ord").alias("i_ord"), "score"), F.struct("score", -F.col("e_ord")))
+    return rows.groupBy("method", "path", "target").agg(best.alias("ep"))
 
 
 COLUMNS = ["m_ord", "i_ord", "service", "id", "method", "url", "fromHandler", "loc", "target", "resolution", "confidence", "ep", "outer"]
 
 
+def tied_hints(probes: DataFrame, candidates: DataFrame) -> DataFrame:
+    """For distinct (service, hint, method, path) whose hint fits several services (tops): won, the only one of them that has the path."""
+    several = probes.select("service", "hint", "method", "path", F.explode("tops").alias("target"))
+    met = _null_safe(several, candidates.select("method", "path", "target"), ["method", "path", "target"], "left_semi")
+    return met.groupBy("service", "hint", "method", "path").agg(F.min("target").alias("won"), F.count("*").alias("n")).filter("n = 1").drop("n")
+
+
+def ranked_paths(probes: DataFrame, candidates: DataFrame, services: DataFrame) -> DataFrame:
+    """For distinct (service, method, path): the other services that have the path, best first: found array<struct<by, t_ord, target, ep>>."""
+    order = services.select(F.col("id").alias("target"), F.col("m_ord").alias("t_ord"))
+    pairs = _null_safe(probes, candidates, ["method", "path"], "inner").filter("target <> service").join(order, "target")
+    return pairs.groupBy("service", "method", "path").agg(F.sort_array(F.collect_list(F.struct((-F.col("ep.score")).alias("by"), "t_ord", "target", "ep"))).alias("found"))
+
+
+def ruled_calls(e: Estate, config: Config) -> DataFrame:
+    """Each call with what every rule says of it, the rule that wins (null: none), its target and that target's endpoint."""
+    calls = cut(parsed_calls(e.calls).withColumn("value", config_value(config)).withColumn("named", F.coalesce("explicit", "value")))
+    candidates = cut(path_candidates(calls, e.endpoints))
+    rows = _null_safe(calls, known_nodes(e).select(F.col("node").alias("named"), F.lit(True).alias("known")), ["named"], "left")
+    open_ = calls.filter("named is null")
+    tops = cut(hint_candidates(open_.filter("hint is not null"), e.services))
+    hinted = open_.join(tops, ["service", "hint"])
+    won = tied_hints(hinted.filter("size(tops) > 1").select("service", "hint", "method", "path", "tops").distinct(), candidates)
+    owners = host_owners(open_.filter("host is not null"), e.services)
+    asked = open_.filter("host is null and path <> ''").select("service", "method", "path").distinct()
+    paths = ranked_paths(asked, candidates, e.services)
+    rows = rows.join(tops, ["service", "hint"], "left")
+    rows = _null_safe(rows, won, ["service", "hint", "method", "path"], "left")
+    rows = rows.join(owners, ["service", "host"], "left")
+    rows = _null_safe(rows, paths, ["service", "method", "path"], "left")
+    clear = (F.size("found") == 1) | (F.get("found", F.lit(0))["by"] < F.get("found", F.lit(1))["by"])
+    hint = F.when(F.size("tops") == 1, "hint").when(F.col("won").isNotNull(), "hint+path")
+    host = F.when(F.col("host").isNotNull(), F.when(F.col("owner").isNotNull(), "host-match").otherwise("literal-host"))
+    path = F.when(F.coalesce(clear, F.lit(False)), "path-match")
+    rule = F.when(F.col("named").isNotNull(), "named").otherwise(F.coalesce(hint, host, path))
+    external, known = F.col("named").startswith("external:"), F.col("known").isNotNull()
+    outer = F.when(F.col("rule") == "named", F.when(external, F.substring("named", 10, 1 << 30)).when(~known, F.col("named"))).when(F.col("rule") == "literal-host", F.col("host"))
+    first = F.get("found", F.lit(0))
+    target = F.when(F.col("outer").isNotNull(), fn.external_node("outer")).when(F.col("rule") == "named", F.col("named")).when(F.col("rule") == "hint", F.get("tops", F.lit(0))).when(F.col("rule") == "hint+path", F.col("won")).when(F.col("rule") == "host-match", F.col("owner")).when(F.col("rule") == "path-match", first["target"])
+    rows = rows.withColumn("rule", rule).withColumn("outer", outer).withColumn("target", target)
+    return cut(_null_safe(rows, candidates, ["method", "path", "target"], "left").withColumn("ep", F.when(F.col("rule") == "path-match", first["ep"]).when(F.col("rule") != "literal-host", F.col("ep"))))
+
+
 def resolve(e: Estate, config: Config = Config()) -> tuple[DataFrame, DataFrame]:
     """(resolved, issues): each resolved call once, with target, endpoint, resolution and confidence; and what was ambiguous or unresolved."""
-    spark = e.calls.sparkSession
-    none = F.lit(None).cast("string")
-    done: list[DataFrame] = []
-    key = ["service", "id", "i_ord"]
-
-    def settle(rows: DataFrame) -> None:
-        done.append(rows.select(*(F.col(c) if c in rows.columns else none.alias(c) for c in COLUMNS)))
-
-    calls = cut(parsed_calls(e.calls).withColumn("value", config_value(config)))
-    settle(by_value(calls, "explicit", "declared", 1.0, e))
-    left = calls.filter("explicit is null")
-    settle(by_value(left, "value", "config", 0.95, e))
-    left = left.filter("value is null")
-
-    tops = hint_candidates(left.filter("hint is not null"), e.services)
-    hinted = cut(left.join(tops, ["service", "hint"], "left"))
-    settle(with_endpoint(hinted.filter("size(tops) = 1").withColumn("target", F.col("tops")[0]), e.endpoints).withColumn("resolution", F.lit("hint")).withColumn("confidence", raised(F.lit(0.8))))
-    several = hinted.filter("size(tops) > 1").withColumn("target", F.explode("tops"))
-    matched = with_endpoint(several, e.endpoints).filter("ep is not null").withColumn("n", F.count("*").over(Window.partitionBy(*key)))
-    tied = cut(matched.filter("n = 1"))
-    settle(tied.withColumn("resolution", F.lit("hint+path")).withColumn("confidence", raised(F.lit(0.8))))
-    ambiguous = hinted.filter("size(tops) > 1").join(tied.select(*key), key, "left_anti")
-    message = F.concat(F.lit('Hint "'), F.col("targetHint"), F.lit('" matches several services: '), F.concat_ws(", ", "tops"))
-    issues = [ambiguous.select(F.lit("warn").alias("level"), F.lit("call:ambiguous-hint").alias("code"), "service", message.alias("message"), "loc", "m_ord", "i_ord")]
-    left = cut(hinted.filter("tops is null").drop("tops").unionByName(ambiguous.drop("tops")))
-
-    owned = left.filter("host is not null").join(host_owners(left.filter("host is not null"), e.services), ["service", "host"], "left")
-    settle(with_endpoint(owned.filter("owner is not null").withColumn("target", F.col("owner")), e.endpoints).withColumn("resolution", F.lit("host-match")).withColumn("confidence", raised(F.lit(0.7))))
-    settle(owned.filter("owner is null").withColumn("outer", F.col("host")).withColumn("target", fn.external_node("host")).withColumn("ep", F.lit(None).cast(EP)).withColumn("resolution", F.lit("literal-host")).withColumn("confidence", F.lit(0.9)))
-    left = left.filter("host is null")
-
-    order = e.services.select(F.col("id").alias("target"), F.col("m_ord").alias("t_ord"))
-    asked = left.filter("path <> ''").select("service", "method", "path").distinct()
-    pairs = _null_safe(asked, path_candidates(asked, e.endpoints), ["method", "path"], "inner").filter("target <> service").join(order, "target")
-    ranked = pairs.groupBy("service", "method", "path").agg(F.sort_array(F.collect_list(F.struct((-F.col("ep.score")).alias("by"), "t_ord", "target", "ep"))).alias("found"))
-    pathed = _null_safe(left.filter("path <> ''"), ranked, ["service", "method", "path"], "left")
-    clear = (F.size("found") == 1) | (F.col("found")[0]["by"] < F.get("found", F.lit(1))["by"])
-    pathed = cut(pathed.withColumn("clear", F.coalesce(clear, F.lit(False))))
-    won = pathed.filter("clear").withColumn("target", F.col("found")[0]["target"]).withColumn("ep", F.col("found")[0]["ep"])
-    settle(won.withColumn("resolution", F.lit("path-match")).withColumn("confidence", F.when(F.size("found") == 1, 0.7).otherwise(0.6)))
-    vague = pathed.filter("not clear and found is not null")
-    message = F.concat(F.lit("Path "), F.col("path"), F.lit(" matches endpoints in several services: "), F.concat_ws(", ", F.col("found.target")), F.lit("; add a targets entry"))
-    issues.append(vague.select(F.lit("warn").alias("level"), F.lit("call:ambiguous-path").alias("code"), "service", message.alias("message"), "loc", "m_ord", "i_ord"))
-    open_ = left.filter("coalesce(path, '') = ''").unionByName(pathed.filter("not clear").drop("clear", "found"))
+    rows = ruled_calls(e, config)
+    external, known = F.col("named").startswith("external:"), F.col("known").isNotNull()
+    declared = F.col("explicit").isNotNull()
+    name = F.when(declared, "declared").otherwise("config")
+    resolution = F.when(F.col("rule") == "named", F.when(external | known, name).otherwise(F.concat(name, F.lit("-external")))).otherwise(F.col("rule"))
+    given = F.when(declared, 1.0).otherwise(0.95)
+    confidence = (
+        F.when(F.col("rule") == "named", F.when(external, given).when(~known, F.least(given, F.lit(0.9))).otherwise(raised(given)))
+        .when(F.col("rule").isin("hint", "hint+path"), raised(F.lit(0.8))).when(F.col("rule") == "host-match", raised(F.lit(0.7)))
+        .when(F.col("rule") == "literal-host", 0.9).when(F.size("found") == 1, 0.7).otherwise(0.6)
+    )
+    resolved = rows.filter("rule is not null").withColumn("resolution", resolution).withColumn("confidence", confidence).select(*COLUMNS)
+
+    def issue(df: DataFrame, code: str, message: Column) -> DataFrame:
+        return df.select(F.lit("warn").alias("level"), F.lit(code).alias("code"), "service", message.alias("message"), "loc", "m_ord", "i_ord")
+
+    tied = F.concat(F.lit('Hint "'), F.col("targetHint"), F.lit('" matches several services: '), F.concat_ws(", ", "tops"))
+    vague = F.concat(F.lit("Path "), F.col("path"), F.lit(" matches endpoints in several services: "), F.concat_ws(", ", F.col("found.target")), F.lit("; add a targets entry"))
     hint = F.when(F.col("hint").isNotNull(), F.concat(F.lit(" (hint: "), F.col("targetHint"), F.lit(")"))).otherwise("")
-    message = F.concat(F.lit("Could not resolve target of "), F.coalesce("method", F.lit("HTTP")), F.lit(" "), F.col("url"), hint, F.lit(" from "), F.col("fromHandler"))
-    issues.append(open_.select(F.lit("warn").alias("level"), F.lit("call:unresolved").alias("code"), "service", message.alias("message"), "loc", "m_ord", "i_ord"))
-    return reduce(DataFrame.unionByName, done), reduce(DataFrame.unionByName, issues)
+    lost = F.concat(F.lit("Could not resolve target of "), F.coalesce("method", F.lit("HTTP")), F.lit(" "), F.col("url"), hint, F.lit(" from "), F.col("fromHandler"))
+    issues = [
+        issue(rows.filter("named is null and size(tops) > 1 and won is null"), "call:ambiguous-hint", tied),
+        issue(rows.filter("rule is null and found is not null"), "call:ambiguous-path", vague),
+        issue(rows.filter("rule is null"), "call:unresolved", lost),
+    ]
+    return resolved, reduce(DataFrame.unionByName, issues)

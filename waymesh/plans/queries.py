@@ -271,10 +271,24 @@ _SHAPES = "SELECT CAST(n_nationkey AS INT) AS m_ord, CASE WHEN n_nationkey % 5 =
 
 @query("val_01_structure", f"SELECT m_ord, unnest(list_filter([CASE WHEN version <> '1' THEN 'schemaVersion' END, CASE WHEN NOT regexp_matches(id, '^[a-z0-9][a-z0-9._-]*$') THEN 'service.id' END, CASE WHEN name IS NULL THEN 'service.name' END, CASE WHEN layer = 'middle' THEN 'service.layer' END, CASE WHEN bare THEN 'calls' END], lambda y: y IS NOT NULL)) AS path FROM ({_SHAPES}) s")
 def val_01(spark, sf_dir):
+    return shapes_checked(spark, sf_dir).select("m_ord", "path")
+
+
+def shapes_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = est.run(spark, sf_dir, _SHAPES)
     full = F.array().cast("array<string>")
     arrays = [full.alias(a) if a != "calls" else F.when(~F.col("bare"), full).alias(a) for a in validate.ARRAYS]
-    return validate.structural(s.select("m_ord", F.col("version").alias("schemaVersion"), F.struct("id", "name", "layer").alias("service"), *arrays)).select("m_ord", "path")
+    return validate.structural(s.select("m_ord", F.col("version").alias("schemaVersion"), F.struct("id", "name", "layer").alias("service"), *arrays))
+
+
+@query("val_02_services", f"SELECT m_ord, path, message FROM (SELECT m_ord, unnest(list_filter([CASE WHEN NOT regexp_matches(id, '^[a-z0-9][a-z0-9._-]*$') THEN {{'path': 'service.id', 'message': 'must match ^[a-z0-9][a-z0-9._-]*$'}} END, CASE WHEN name IS NULL THEN {{'path': 'service.name', 'message': 'required string'}} END, CASE WHEN layer = 'middle' THEN {{'path': 'service.layer', 'message': 'must be one of ui, experience, capability, domain, processor, external, unknown'}} END], lambda y: y IS NOT NULL), recursive := true) FROM ({_SHAPES}) s) t")
+def val_02(spark, sf_dir):
+    return shapes_checked(spark, sf_dir).filter("path like 'service.%'").select("m_ord", "path", "message")
+
+
+@query("val_03_arrays", f"SELECT m_ord, 'calls' AS path, 'required array' AS message FROM ({_SHAPES}) s WHERE bare")
+def val_03(spark, sf_dir):
+    return shapes_checked(spark, sf_dir).filter("path not like 'service%' and path <> 'schemaVersion'").select("m_ord", "path", "message")
 
 
 # --- diff, enrichment and planning
@@ -322,7 +336,14 @@ def dif_04(spark, sf_dir):
     return diff.summary(diff.changes(diff.facet_keys(b), diff.facet_keys(a)), diff.handler_churn(b.handlers, a.handlers))
 
 
-@query("dif_05_markdown")
+_ADVICE = "> ⚠️ This change introduces a new outbound dependency. Make sure the aggregation targets can resolve it, or it will show as unresolved in the flow map."
+_REPORT = f"""SELECT s.id AS service, '### service graph: ' || s.id || CASE WHEN coalesce(f.has_changes, false) THEN
+ coalesce(chr(10) || chr(10) || '**Publishes**' || chr(10) || (SELECT string_agg(CASE change WHEN 'added' THEN '- ➕ `' ELSE '- ➖ `' END || key || '`', chr(10) ORDER BY change, key) FROM ({ORACLE['dif_02_changes']}) d WHERE d.service = s.id), '')
+ || chr(10) || chr(10) || 'Handlers: ' || coalesce(added, 0) || ' added, ' || coalesce(changed, 0) || ' changed, ' || coalesce(removed, 0) || ' removed.' || CASE WHEN f.new_dependencies THEN chr(10) || chr(10) || {tw.q(_ADVICE)} ELSE '' END
+ ELSE chr(10) || chr(10) || 'No changes to endpoints, consumers, outbound calls or publishes.' END AS text FROM services s LEFT JOIN ({ORACLE['dif_04_flags']}) f ON f.service = s.id LEFT JOIN ({_CHURN}) c ON c.service = s.id"""
+
+
+@query("dif_05_markdown", tw.over_estate(_REPORT))
 def dif_05(spark, sf_dir):
     b, a = (facet_estate(spark, sf_dir, w) for w in ("before", "after"))
     services = conform(est.run(spark, sf_dir, est.SQL["services"]), "services")
@@ -375,19 +396,22 @@ def llm_01(spark, sf_dir):
     return enrich.interesting_handlers(est.estate(spark, sf_dir))
 
 
-_LINES = "SELECT source AS service, CAST(doc_id AS STRING) AS id, source AS file, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) * 5 AS INT) AS line, text FROM documents"
+_LINES = "SELECT coalesce(source, 'none') AS service, CAST(doc_id AS STRING) AS id, concat(coalesce(source, 'none'), '/', CAST(CAST(floor((n - 1) / 100) AS INT) AS STRING)) AS file, CAST((n - 1) % 100 * 5 + 5 AS INT) AS line, text FROM (SELECT doc_id, source, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) d"
 
 
 def source_handlers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document a handler, a hundred to a file, one each five lines."""
     d = est.run(spark, sf_dir, _LINES)
     return d.select("service", "id", F.lit(0).alias("i_ord"), F.struct("file", "line").alias("loc"), F.lit(None).cast("string").alias("hash"), "text")
 
 
-@query("llm_02_slices", f"SELECT service, id, start_line, end_line FROM (SELECT service, id, line AS start_line, least(coalesce(lead(line) OVER (PARTITION BY file ORDER BY line), 1001) - 1, line + 119, 1000) AS end_line FROM ({_LINES}) t) u WHERE start_line <= 1000")
+@query("llm_02_slices", f"SELECT service, id, line AS start_line, least(coalesce(lead(line) OVER (PARTITION BY service, file ORDER BY line) - 1, size), line + 119, size) AS end_line, line || '..' || least(coalesce(lead(line) OVER (PARTITION BY service, file ORDER BY line) - 1, size), line + 119, size) AS ends FROM (SELECT *, max(line) OVER (PARTITION BY service, file) + 130 AS size FROM ({_LINES}) t) u")
 def llm_02(spark, sf_dir):
-    h = source_handlers(spark, sf_dir).filter("loc.line <= 1000 + 5")
-    files = h.select("service", F.col("loc.file").alias("file")).distinct().withColumn("text", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(1000)), lambda i: i.cast("string")), "\n"))
-    return enrich.slices(h, files).filter("start_line <= 1000").select("service", "id", "start_line", "end_line")
+    h = source_handlers(spark, sf_dir).drop("text")
+    files = h.groupBy("service", F.col("loc.file").alias("file")).agg((F.max("loc.line") + 130).alias("size"))
+    files = files.select("service", "file", F.array_join(F.transform(F.sequence(F.lit(1), F.col("size")), lambda i: i.cast("string")), "\n").alias("text"))
+    ends = F.concat(F.substring_index("text", "\n", 1), F.lit(".."), F.substring_index("text", "\n", -1))
+    return enrich.slices(h, files).select("service", "id", "start_line", "end_line", ends.alias("ends"))
 
 
 @query("llm_03_cache_split", "SELECT doc_id, doc_id % 3 = 0 AS cached, substr(sha256('[\"handler\",\"1\",\"m\",\"' || source || '\",\"' || doc_id || '\",\"h\"]'), 1, 24) AS key FROM documents")
@@ -398,7 +422,7 @@ def llm_03(spark, sf_dir):
     return out.select(F.col("id").cast("long").alias("doc_id"), "cached", "key")
 
 
-_PACK = "SELECT source AS service, doc_id AS ord, CAST(least(n_chars, 30000) AS BIGINT) AS chars FROM documents"
+_PACK = "SELECT source AS service, doc_id AS ord, CAST(n_chars AS BIGINT) AS chars FROM documents"
 
 
 @query("llm_04_chunks", f"WITH RECURSIVE d AS (SELECT *, row_number() OVER (PARTITION BY service ORDER BY ord) AS n FROM ({_PACK}) t), p(service, ord, n, chunk, size) AS (SELECT service, ord, n, 0, chars FROM d WHERE n = 1 UNION ALL SELECT d.service, d.ord, d.n, CASE WHEN p.size + d.chars > 60000 THEN p.chunk + 1 ELSE p.chunk END, CASE WHEN p.size + d.chars > 60000 THEN d.chars ELSE p.size + d.chars END FROM p JOIN d ON d.service = p.service AND d.n = p.n + 1) SELECT service, ord, chunk FROM p")
@@ -406,7 +430,17 @@ def llm_04(spark, sf_dir):
     return enrich.packed(est.run(spark, sf_dir, _PACK)).select("service", "ord", "chunk")
 
 
-@query("llm_05_prompts")
+_agg = lambda line, rows, order: f"(SELECT string_agg({line}, chr(10) ORDER BY {order}) FROM {rows})"
+_part = lambda title, body: f"coalesce(chr(10) || chr(10) || '## {title}' || chr(10) || {body}, '')"
+_PROMPT = "SELECT s.id AS service, 0 AS chunk, '# Service: ' || s.id || ' (' || s.name || '), layer=' || s.layer || " + " || ".join([
+    _part("Outbound HTTP", _agg("'- ' || fromHandler || ': ' || coalesce(method, 'HTTP') || ' ' || url || CASE WHEN targetService IS NOT NULL THEN ' -> ' || targetService WHEN targetHint IS NOT NULL THEN ' (hint ' || targetHint || ')' ELSE '' END", "calls c WHERE c.service = s.id AND fromHandler LIKE 'Client.%'", "i_ord")),
+    _part("Publishes", _agg("'- ' || fromHandler || ': ' || broker || ' ' || topic || ' (' || routingKey || ')'", "publishes c WHERE c.service = s.id", "i_ord")),
+    _part("Handler call graph", _agg("'- ' || id || ' -> ' || array_to_string(calls, ', ')", "handlers h WHERE h.service = s.id AND id LIKE 'Client.%'", "i_ord")),
+    _part("Source slices (handler id, then code)", _agg("chr(10) || '### ' || id || ' (f:1-2)' || chr(10) || '```' || chr(10) || 'code' || chr(10) || '```'", "handlers h WHERE h.service = s.id AND id LIKE 'Client.%'", "i_ord")),
+]) + " || chr(10) || chr(10) || 'Summarise every handler id listed above and every endpoint id listed above.' AS prompt FROM services s WHERE starts_with(s.id, 'nation-')"
+
+
+@query("llm_05_prompts", tw.over_estate(_PROMPT))
 def llm_05(spark, sf_dir):
     e = est.estate(spark, sf_dir)
     w = e.handlers.filter("id like 'Client.%'").select("service", "id", F.lit("f").alias("file"), F.lit(1).alias("start_line"), F.lit(2).alias("end_line"), F.lit("code").alias("text"), "i_ord")
@@ -454,14 +488,20 @@ _OUT = "ob AS (SELECT rh.entry, e.* FROM rh JOIN edges e ON (e.kind IN ('http',
 _IMPACT = _ENTRY.format(", ".join([tw.RESOLVED, *E_ALL])) + f", {_OUT}"
 
 
-@query("qry_09_outbound", _IMPACT + f" SELECT entry, {P} FROM ob")
+@query("qry_09_outbound", _IMPACT + " SELECT entry, kind, count(*) AS n FROM ob GROUP BY ALL")
 def qry_09(spark, sf_dir):
     g = est.graph(spark, sf_dir)
     reached = explore.reachable_handlers(g.edges.filter("kind = 'internal'"), g.endpoints.select(fn.handler_node("service", "handler").alias("entry")).distinct())
-    return explore.outbound(g.edges, reached).select("entry", "id", "kind", "source", "target")
+    return explore.outbound_counts(g.edges, reached)
 
 
-graph_query("qry_10_endpoint_impact", _IMPACT + " SELECT p.service || '#' || p.id AS endpoint, ob.id, ob.target FROM endpoints p JOIN ob ON ob.entry = p.service || '#' || p.handler WHERE p.service IN ('nation-1', 'nation-2')")(lambda g: explore.endpoint_impact(g, g.endpoints.filter("service in ('nation-1', 'nation-2')"))[1].select("endpoint", "id", "target"))
+@query("qry_10_endpoint_impact", _IMPACT + " SELECT p.service || '#' || p.id AS endpoint, ob.kind, count(*) AS n FROM endpoints p JOIN ob ON ob.entry = p.service || '#' || p.handler GROUP BY ALL")
+def qry_10(spark, sf_dir):
+    g = est.graph(spark, sf_dir)
+    entries = g.endpoints.select(F.col("node").alias("endpoint"), fn.handler_node("service", "handler").alias("entry"))
+    reached = explore.reachable_handlers(g.edges.filter("kind = 'internal'"), entries.select("entry").distinct())
+    return entries.join(explore.outbound_counts(g.edges, reached), "entry").select("endpoint", "kind", "n")
+
 
 _G = f"g AS (SELECT src AS source, dst AS target, src || '>' || dst AS id FROM {STATIC} x)"
 _HOPS = f"""WITH {_G}, n0 AS (SELECT DISTINCT source AS origin, source AS node, 0 AS depth FROM g),
@@ -485,7 +525,6 @@ def qry_11_reach(spark, sf_dir):
     return reach.reach(e, e.select(F.col("src").alias("seed"), F.col("src").alias("node")).distinct()).select("seed", "node")
 
 
-graph_query("qry_12_headline", shown("SELECT (SELECT count(*) FROM svc) AS services, (SELECT count(*) FROM endpoints) AS endpoints, (SELECT count(*) FROM topics) AS topics, (SELECT count(*) FROM m) AS edges, (SELECT count(*) FROM m WHERE confidence < 0.5 OR resolution = 'unresolved') AS unresolved, 0::BIGINT AS flows"))(lambda g: explore.headline(g, g.topics.limit(0)).drop("issues"))
 _KEPT = "n AS (SELECT id FROM svc WHERE layer IN ('ui', 'domain')), w AS (SELECT * FROM m WHERE (source IN (SELECT id FROM n) OR source IN (SELECT id FROM topics)) AND (target IN (SELECT id FROM n) OR target IN (SELECT id FROM topics)))"
 graph_query("qry_13_visible_edges", shown(f"SELECT {P} FROM w", _KEPT))(lambda g: plain_edges(explore.visible(g, explore.GraphQuery(layers=frozenset({"ui", "domain"})))[1]))
 graph_query("qry_13_visible_nodes", shown("SELECT id, 'service' AS kind FROM n UNION ALL SELECT id, 'topic' FROM topics WHERE id IN (SELECT source FROM w) OR id IN (SELECT target FROM w)", _KEPT))(lambda g: explore.visible(g, explore.GraphQuery(layers=frozenset({"ui", "domain"})))[0])
@@ -507,71 +546,13 @@ def no_flows(g) -> DataFrame:
     return g.topics.sparkSession.createDataFrame([], "flow_id string, entry_service string, entry_ref string, rank int")
 
 
-# --- flows, over the sparse graph
-
-_FLOW_CALLS = "SELECT CAST(substr(src, 8) AS INT) AS m_ord, CAST(row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS INT) AS i_ord, src AS service, dst AS id, 'GET' AS method, concat('{base}/at/', dst) AS url, dst AS targetService, 'H' AS fromHandler FROM (" + est.SQL["graph"] + ") t"
-_flow_cache: dict = {}
-
-
-def flow_graph(spark: SparkSession, sf_dir: str, depth: int = 3):
-    """Every nation serves one endpoint, whose handler calls its two main suppliers."""
-    from ..operators.estate import estate_of
-    from .session import cut
-
-    key = (spark.sparkContext.applicationId, sf_dir, depth)
-    if key not in _flow_cache:
-        _flow_cache.clear()
-        s = est.run(spark, sf_dir, est.SQL["services"]).withColumn("layer", F.lit("domain"))
-        h = s.select("m_ord", F.lit(0).alias("i_ord"), F.col("id").alias("service"), F.lit("H").alias("id"), F.lit("H").alias("name"), F.array().cast("array<string>").alias("calls"))
-        p = s.select("m_ord", F.lit(0).alias("i_ord"), F.col("id").alias("service"), F.lit("E").alias("id"), F.lit("GET").alias("method"), F.concat(F.lit("/at/"), "id").alias("path"), F.lit("H").alias("handler"))
-        g = build.build_graph(estate_of(spark, services=s, handlers=h, endpoints=p, calls=est.run(spark, sf_dir, _FLOW_CALLS)), Config(max_depth=depth))
-        _flow_cache[key] = (g, *map(cut, flows.derive_flows(g)))
-    return _flow_cache[key]
-
-
-_FLOW_SQL = f"""WITH RECURSIVE g AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS k FROM {STATIC} x),
-roots AS (SELECT 'nation-' || n_nationkey AS root FROM nation WHERE 'nation-' || n_nationkey NOT IN (SELECT dst FROM g)),
-w(root, node, depth, path, sort) AS (SELECT root, root, 0, [root], []::BIGINT[] FROM roots UNION ALL SELECT w.root, g.dst, w.depth + 1, list_append(w.path, g.dst), list_append(w.sort, g.k) FROM w JOIN g ON g.src = w.node WHERE w.depth <= 3 AND (len(w.path) = 1 OR NOT list_contains(w.path[1:len(w.path) - 1], w.node))),
-s AS (SELECT root, node, sort FROM w)
-"""
-_STEPS = "SELECT 'flow-' || root || '-get-at-' || root AS flow_id, CAST(row_number() OVER (PARTITION BY root ORDER BY sort) AS INT) AS step_no, node AS service FROM s WHERE root IN (SELECT root FROM s GROUP BY 1 HAVING count(*) > 1)"
-
-
-def flow_query(key: str, sql: str | None = None):
-    def add(f):
-        return query(key, sql)(lambda spark, sf_dir: f(*flow_graph(spark, sf_dir)))
-
-    return add
-
-
-flow_query("flw_03_steps", _FLOW_SQL + _STEPS)(lambda g, f, s: s.select("flow_id", "step_no", "service"))
-flow_query("flw_05_roots", _FLOW_SQL + "SELECT root AS service FROM roots")(lambda g, f, s: flows.roots(g).filter("kind = 'endpoint'").select("service"))
-flow_query("flw_10_flows", _FLOW_SQL + "SELECT 'flow-' || root || '-get-at-' || root AS flow_id, 'GET /at/' || root AS name, CAST(count(*) AS INT) AS n_steps FROM s GROUP BY root HAVING count(*) > 1")(lambda g, f, s: f.select("flow_id", "name", "n_steps"))
-flow_query("flw_11_step_text", _FLOW_SQL + "SELECT flow_id, step_no, CASE WHEN step_no = 1 THEN 'GET /at/' || service ELSE 'GET {base}/at/' || service END AS description FROM (" + _STEPS + ") t")(lambda g, f, s: s.select("flow_id", "step_no", "description"))
-flow_query("qry_04_flow_by_entry", _FLOW_SQL + "SELECT root || '#E' AS node, 'flow-' || root || '-get-at-' || root AS flow_id FROM s GROUP BY root HAVING count(*) > 1")(lambda g, f, s: explore.flow_by_entry(f, g.endpoints))
-flow_query("qry_07_flows_of_services", _FLOW_SQL + "SELECT DISTINCT service, flow_id FROM (" + _STEPS + ") t")(lambda g, f, s: explore.flows_of_services(f, s))
-flow_query("qry_21_flow_search", _FLOW_SQL + "SELECT flow_id, count(DISTINCT service) AS services FROM (" + _STEPS + ") t GROUP BY 1 HAVING bool_or(contains(service, 'nation-1')) OR flow_id LIKE '%nation-1%'")(lambda g, f, s: explore.search_flows(f, s, "Nation-1"))
-flow_query("qry_22_service_detail")(lambda g, f, s: explore.service_detail(g, f, s))
-flow_query("qry_24_impact_rows")(lambda g, f, s: explore.impact_rows(explore.endpoint_impact(g)[1], explore.target_services(g.edges, g.endpoints, g.handlers)).select("endpoint", "id", "kind", "target_service"))
-flow_query("seq_01_arrows")(lambda g, f, s: sequence.arrows(f, s, g.edges, g.services, g.topics))
-flow_query("seq_04_edges", _FLOW_SQL + "SELECT flow_id, step_no FROM (" + _STEPS + ") t WHERE step_no > 1")(lambda g, f, s: sequence.arrows(f, s, g.edges, g.services, g.topics).filter("edge is not null").select("flow_id", "step_no"))
-flow_query("seq_05_lifelines")(lambda g, f, s: sequence.lifelines(sequence.arrows(f, s, g.edges, g.services, g.topics), f, g.services, g.topics))
-flow_query("seq_06_first_steps", _FLOW_SQL + "SELECT flow_id, service AS node, min(step_no) AS step_no FROM (" + _STEPS + ") t GROUP BY ALL")(lambda g, f, s: sequence.first_steps(sequence.arrows(f, s, g.edges, g.services, g.topics), f))
-flow_query("seq_06_edge_notes")(lambda g, f, s: sequence.edge_notes(sequence.arrows(f, s, g.edges, g.services, g.topics)))
-flow_query("snk_01_graph_document")(lambda g, f, s: docs.graph_document(g, f, s))
-flow_query("snk_03_index_page")(lambda g, f, s: docs.index_page(g, f, s))
-flow_query("snk_03_service_pages")(lambda g, f, s: docs.service_pages(g))
-flow_query("snk_03_flow_pages")(lambda g, f, s: docs.flow_pages(g, f, s))
-flow_query("snk_04_service_map")(lambda g, f, s: docs.service_map(g))
-flow_query("snk_05_sequences")(lambda g, f, s: docs.sequences(g, f, s))
-
 # --- as-of joins over conversations
 
 @query("seq_02_callers", f"WITH t AS ({_CONV_SQL}) SELECT a.flow_id, a.step_no, max_by(b.service, b.step_no) AS caller FROM t a JOIN t b ON b.flow_id = a.flow_id AND b.step_no < a.step_no AND b.service <> a.service AND b.kind <> 'publish' WHERE a.kind = 'endpoint' GROUP BY ALL")
 def seq_02(spark, sf_dir):
     steps = est.run(spark, sf_dir, _CONV)
-    roles = steps.select("service").distinct()
-    e = roles.crossJoin(roles.withColumnRenamed("service", "target")).filter("service <> target").select(F.lit("http").alias("kind"), F.col("service").alias("source"), "target")
+    roles = steps.agg(F.collect_set("service").alias("roles"))  # a handful: every role may call every other
+    e = roles.select("roles", F.explode("roles").alias("source")).select("source", F.explode("roles").alias("target")).filter("source <> target").withColumn("kind", F.lit("http"))
     return sequence.inferred_callers(steps, e)
 
 
@@ -589,6 +570,10 @@ def src_06(spark, sf_dir):
     return src.build_dependencies(files).select(F.split("file", "/")[0].cast("long").alias("page_id"), "dependency")
 
 
-@query("snk_06_gate", tw.over_resolved("SELECT true AS failed"))
+_GATE = f"SELECT level FROM issues UNION ALL SELECT level FROM ({_hint} UNION ALL {_paths} UNION ALL {_unresolved}) t"
+
+
+@query("snk_06_gate", tw.over_resolved(f"SELECT 'warn' AS level, bool_or(level IN ('warn', 'error')) AS failed FROM ({_GATE}) a UNION ALL SELECT 'error', bool_or(level = 'error') FROM ({_GATE}) b"))
 def snk_06(spark, sf_dir):
-    return spark.createDataFrame([(docs.gate(est.graph(spark, sf_dir).issues, "warn"),)], "failed boolean")
+    issues = est.graph(spark, sf_dir).issues
+    return spark.createDataFrame([(level, docs.gate(issues, level)) for level in ("warn", "error")], "level string, failed boolean")

@@ -151,7 +151,11 @@ def flw_07(spark, sf_dir):
     return flows.roots(est.graph(spark, sf_dir)).filter("kind = 'handler'").select("service", "ref")
 
 
-@query("flw_02_walks")
+_WALKED = """walked(service, entry, path, sort) AS (SELECT DISTINCT service, handler, [handler], []::BIGINT[] FROM endpoints UNION ALL SELECT w.service, w.entry, list_append(w.path, h.c), list_append(w.sort, h.j) FROM walked w JOIN (SELECT service, id, unnest(calls) AS c, unnest(range(1, len(calls) + 1)) AS j FROM handlers) h ON h.service = w.service AND h.id = w.path[-1] WHERE NOT list_contains(w.path, h.c)),
+met AS (SELECT service, entry, path[-1] AS handler, min(sort) AS sort FROM walked GROUP BY ALL)"""
+
+
+@query("flw_02_walks", f"WITH RECURSIVE {tw.ESTATE}, {_WALKED} SELECT service, entry, CAST(row_number() OVER (PARTITION BY service, entry ORDER BY sort) - 1 AS INT) AS pos, handler FROM met")
 def flw_02(spark, sf_dir):
     e = est.estate(spark, sf_dir)
     return flows.walks(e.handlers, e.endpoints.select("service", F.col("handler").alias("entry")))
