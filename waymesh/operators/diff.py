@@ -63,7 +63,7 @@ def markdown(before: Estate, after: Estate, title: str = "service graph") -> Dat
     parts = delta.groupBy("service").pivot("facet", list(FACETS)).agg(F.array_join(lines, "\n"))
     out = after.services.select(F.col("id").alias("service")).join(summary(delta, churn), "service", "left").join(parts, "service", "left").join(churn, "service", "left")
     n = lambda c: F.coalesce(c, F.lit(0)).cast("string")
-    sections = [F.when(F.col(f).isNotNull(), F.concat(F.lit(f"\n\n**{TITLES[f]}**\n"), f)).otherwise("") for f in FACETS]
+    sections = [F.when(F.coalesce(F.col(f), F.lit('')) != '', F.concat(F.lit(f"\n\n**{TITLES[f]}**\n"), f)).otherwise("") for f in FACETS]
     counts = F.concat(F.lit("\n\nHandlers: "), n("added"), F.lit(" added, "), n("changed"), F.lit(" changed, "), n("removed"), F.lit(" removed."))
     warning = F.when(F.coalesce("new_dependencies", F.lit(False)), F.lit("\n\n> ⚠️ This change introduces a new outbound dependency. Make sure the aggregation targets can resolve it, or it will show as unresolved in the flow map.")).otherwise("")
     body = F.when(F.coalesce("has_changes", F.lit(False)), F.concat(*sections, counts, warning)).otherwise("\n\nNo changes to endpoints, consumers, outbound calls or publishes.")

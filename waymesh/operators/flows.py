@@ -108,7 +108,7 @@ def derive_flows(g: Graph) -> tuple[DataFrame, DataFrame]:
     whole = reduce(DataFrame.unionByName, steps)
     size = whole.groupBy("root").agg(F.count("*").cast("int").alias("n_steps")).filter("n_steps > 1")
     flows = start.join(size, "root").withColumn("first", F.row_number().over(Window.partitionBy("flow_id").orderBy("at"))).filter("first = 1")
-    numbered = whole.join(flows.select("root", "flow_id"), "root").select("flow_id", F.row_number().over(Window.partitionBy("flow_id").orderBy("key")).alias("step_no"), "service", "ref", "kind", "from", "description")
+    walked = whole.join(flows.select("root", "flow_id"), "root").select("flow_id", F.row_number().over(Window.partitionBy("flow_id").orderBy("key")).alias("step_no"), "service", "ref", "kind", "from", "description")
     flows = numbered(flows, "rank", F.desc("n_steps"), "name", "flow_id")
     flows = flows.select("flow_id", "name", F.lit(None).cast("string").alias("useCase"), F.lit(None).cast("string").alias("description"), F.col("service").alias("entry_service"), F.col("kind").alias("entry_kind"), F.col("ref").alias("entry_ref"), "n_steps", "rank")
-    return flows, numbered
+    return flows, walked

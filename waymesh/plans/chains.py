@@ -52,13 +52,13 @@ LOG = "'external:log.example.com'"
 EFFECTS = f"""done AS (SELECT * FROM {DONE}),
 heard AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY m_ord, i_ord) - 1 AS j FROM f_consumers),
 eff AS (SELECT c.service, d.entry, [d.pos, 0, c.i_ord] AS k, coalesce(c.targetService, {LOG}) AS s_service, CASE WHEN c.targetService IS NULL THEN {LOG} ELSE c.targetService || '#GET /at' END AS s_ref, CASE WHEN c.targetService IS NULL THEN 'external' ELSE 'endpoint' END AS s_kind, c.service AS s_from, 'GET ' || c.url AS s_text, c.targetService AS n_service, CASE WHEN c.targetService IS NOT NULL THEN 'In' END AS n_handler FROM f_calls c JOIN done d ON d.handler = c.fromHandler
- UNION ALL SELECT p.service, d.entry, [d.pos, 1, p.i_ord], p.service, 'topic:kafka:' || p.topic, 'publish', p.service, 'publish ' || p.topic || CASE WHEN p.routingKey IS NULL THEN '' ELSE ' (' || p.routingKey || ')' END, NULL, NULL FROM f_publishes p JOIN done d ON d.handler = p.fromHandler
+ UNION ALL SELECT p.service, d.entry, [d.pos, 1, p.i_ord], p.service, 'topic:kafka:' || p.topic, 'publish', p.service, 'publish ' || p.topic || CASE WHEN p.routingKey IS NULL THEN '' ELSE ' (' || p.routingKey || ')' END, NULL::VARCHAR, NULL::VARCHAR FROM f_publishes p JOIN done d ON d.handler = p.fromHandler
  UNION ALL SELECT p.service, d.entry, [d.pos, 1, p.i_ord, h.j], h.service, 'consume:' || h.service || ':' || h.id, 'consumer', 'topic:kafka:' || p.topic, 'consume ' || p.topic, h.service, h.handler FROM f_publishes p JOIN done d ON d.handler = p.fromHandler JOIN heard h ON h.topic = p.topic)"""
 ROOTS = f"""rooted AS (SELECT m_ord, 0 AS kno, i_ord, service, 'endpoint' AS kind, service || '#' || id AS ref, handler AS entry, method || ' ' || path AS txt, 'flow-' || service || '-get-at-' || service AS flow_id, method || ' ' || path AS name FROM f_endpoints e WHERE {{every}} OR id <> 'GET /at' OR service NOT IN (SELECT targetService FROM f_calls WHERE targetService IS NOT NULL)
  UNION ALL SELECT m_ord, 1, i_ord, service, 'consumer', 'consume:' || service || ':' || id, handler, 'consume ' || topic, 'flow-' || service || '-consume-' || topic, 'on ' || topic FROM f_consumers WHERE topic NOT IN (SELECT topic FROM f_publishes)
  UNION ALL SELECT h.m_ord, 2, h.i_ord, h.service, 'handler', h.service || '#' || h.id, h.id, h.id, 'flow-' || h.service || '-' || lower(h.id), s.name || ': ' || h.id FROM f_handlers h JOIN f_services s ON s.id = h.service WHERE s.layer = 'ui' AND EXISTS (SELECT 1 FROM f_calls c WHERE c.service = h.service AND c.fromHandler = h.id))"""
 WALK = """w(root, d, path, sort, service, ref, kind, frm, txt, ns, nh) AS (
- SELECT [m_ord, kno, i_ord], 0, []::VARCHAR[], []::BIGINT[], service, ref, kind, NULL, txt, service, entry FROM rooted
+ SELECT [m_ord, kno, i_ord], 0, []::VARCHAR[], []::BIGINT[], service, ref, kind, NULL::VARCHAR, txt, service, entry FROM rooted
  UNION ALL SELECT w.root, w.d + 1, list_append(w.path, w.ns || '#' || w.nh), list_concat(w.sort, e.k), e.s_service, e.s_ref, e.s_kind, e.s_from, e.s_text, e.n_service, e.n_handler FROM w JOIN eff e ON e.service = w.ns AND e.entry = w.nh WHERE w.d <= {depth} AND NOT list_contains(w.path, w.ns || '#' || w.nh)),
 sized AS (SELECT root, count(*) AS n FROM w GROUP BY root HAVING count(*) > 1),
 flow AS (SELECT * FROM (SELECT r.*, [r.m_ord, r.kno, r.i_ord] AS root, CAST(s.n AS INT) AS n_steps, row_number() OVER (PARTITION BY r.flow_id ORDER BY m_ord, kno, i_ord) AS place FROM rooted r JOIN sized s ON s.root = [r.m_ord, r.kno, r.i_ord]) t WHERE place = 1),
@@ -78,14 +78,14 @@ def chain_query(key: str, sql: str | None = None, **config):
 
 # --- flows
 
-chain_query("flw_01_effects", f"WITH {TABLES}, {EFFECTS} SELECT service, entry, array_to_string(k, '.') AS k, s_service, s_ref, s_kind, s_text, n_service AS next_service, n_handler AS next_handler FROM eff WHERE entry IN ('In', 'On') OR service IN (SELECT id FROM f_services WHERE layer = 'ui')")(
-    lambda g, f, s: flows.effects(g).select("service", "entry", F.array_join(F.transform("k", lambda x: x.cast("string")), ".").alias("k"), "s_service", "s_ref", "s_kind", "s_text", "next_service", "next_handler").distinct()
+chain_query("flw_01_effects", f"WITH {TABLES}, {EFFECTS} SELECT service, entry, array_to_string(k, '.') AS k, s_service, s_ref, s_kind, s_text, n_service AS next_service, n_handler AS next_handler FROM eff WHERE entry = 'In' OR entry = 'On' AND service IN (SELECT service FROM f_consumers UNION SELECT service FROM f_endpoints WHERE handler = 'On') OR service IN (SELECT id FROM f_services WHERE layer = 'ui')")(
+    lambda g, f, s: flows.effects(g).select("service", "entry", F.array_join(F.transform("k", lambda x: x.cast("string")), ".").alias("k"), "s_service", "s_ref", "s_kind", "s_text", "next_service", "next_handler")
 )
 chain_query("flw_03_steps", walked("SELECT flow_id, step_no, service, ref, kind, frm AS caller FROM st"))(lambda g, f, s: s.select("flow_id", "step_no", "service", "ref", "kind", F.col("from").alias("caller")))
 chain_query("flw_04_depth", walked("SELECT flow_id, step_no, service, kind FROM st", depth=2), max_depth=2)(lambda g, f, s: s.select("flow_id", "step_no", "service", "kind"))
 chain_query("flw_05_non_roots", walked("SELECT flow_id, n_steps FROM flow", depth=1, every="true"), max_depth=1, include_non_roots=True)(lambda g, f, s: f.select("flow_id", "n_steps"))
 chain_query("flw_05_roots", f"WITH {TABLES}, {ROOTS.replace('{every}', 'false')} SELECT service, kind, ref, name FROM rooted")(lambda g, f, s: flows.roots(g).select("service", "kind", "ref", "name"))
-chain_query("flw_08_lone_roots", walked("SELECT [m_ord, kno, i_ord][1] AS m_ord, ref FROM rooted WHERE [m_ord, kno, i_ord] NOT IN (SELECT root FROM sized)"))(lambda g, f, s: flows.roots(g).select("at.m_ord", "ref", "flow_id").join(f.select("flow_id"), "flow_id", "left_anti").select("m_ord", "ref"))
+chain_query("flw_08_roots_without_flow", walked("SELECT m_ord, ref FROM rooted WHERE ref NOT IN (SELECT ref FROM flow)"))(lambda g, f, s: flows.roots(g).select("at.m_ord", "ref").join(f.select(F.col("entry_ref").alias("ref")), "ref", "left_anti").select("m_ord", "ref"))
 chain_query("flw_09_first_of_an_id", walked("SELECT flow_id, ref AS entry_ref FROM flow WHERE flow_id IN (SELECT flow_id FROM rooted GROUP BY 1 HAVING count(*) > 1)"))(lambda g, f, s: f.join(flows.roots(g).groupBy("flow_id").count().filter("count > 1").select("flow_id"), "flow_id").select("flow_id", "entry_ref"))
 chain_query("flw_10_flows", walked("SELECT flow_id, name, n_steps, kind AS entry_kind, row_number() OVER (ORDER BY n_steps DESC, name, flow_id) AS rank FROM flow"))(lambda g, f, s: f.select("flow_id", "name", "n_steps", "entry_kind", "rank"))
 chain_query("flw_11_step_text", walked("SELECT flow_id, step_no, txt AS description FROM st"))(lambda g, f, s: s.select("flow_id", "step_no", "description"))
@@ -123,8 +123,8 @@ chain_query("seq_05_lifelines", walked("SELECT flow_id, node, label, kind, layer
 # --- reports
 
 _ID = lambda x: f"'n_' || {tw.sub(x, '[^A-Za-z0-9]', '_')}"
-_DIAGRAM = f"""who AS (SELECT flow_id, p, min(at) AS at FROM (SELECT flow_id, CASE WHEN kind = 'publish' THEN ref ELSE service END AS p, step_no AS at FROM st UNION ALL SELECT flow_id, service, 0 FROM flow) t GROUP BY ALL),
-heads AS (SELECT flow_id, string_agg('  participant ' || {_ID('p')} || ' as ' || CASE WHEN n.kind = 'topic' THEN 'kafka:' || n.label ELSE n.label END || chr(10), '' ORDER BY at, p) AS head FROM who JOIN node n ON n.id = who.p GROUP BY 1),
+_DIAGRAM = f"""who AS (SELECT flow_id, p, min(pl) AS pl FROM (SELECT flow_id, CASE WHEN kind = 'publish' THEN ref ELSE service END AS p, step_no AS pl FROM st UNION ALL SELECT flow_id, service, 0 FROM flow) t GROUP BY ALL),
+heads AS (SELECT flow_id, string_agg('  participant ' || {_ID('p')} || ' as ' || CASE WHEN n.kind = 'topic' THEN 'kafka:' || n.label ELSE n.label END || chr(10), '' ORDER BY pl, p) AS head FROM who JOIN node n ON n.id = who.p GROUP BY 1),
 bodies AS (SELECT flow_id, string_agg(CASE WHEN step_no = 1 THEN '  Note over ' || {_ID('service')} || ': ' WHEN kind = 'publish' THEN '  ' || {_ID('service')} || '-)' || {_ID('ref')} || ': ' WHEN kind = 'consumer' THEN '  ' || {_ID('frm')} || '-)' || {_ID('service')} || ': ' ELSE '  ' || {_ID('frm')} || '->>' || {_ID('service')} || ': ' END || txt || chr(10), '' ORDER BY step_no) AS body FROM st GROUP BY 1),
 diagram AS (SELECT flow_id, 'sequenceDiagram' || chr(10) || head || body AS text FROM heads JOIN bodies USING (flow_id))"""
 chain_query("snk_05_sequences", walked("SELECT flow_id, text FROM diagram", _NODE, _DIAGRAM))(lambda g, f, s: docs.sequences(g, f, s))
