@@ -121,7 +121,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.withColumn("m_ord", F.substring_index("service.id", "-", -1).cast("int"))
 
 
-@query("src_01_manifests", tw.over_estate("SELECT m_ord, i_ord, service, id, method, url, targetHint, fromHandler FROM calls"))
+@query("src_01_manifests", tw.over_estate("SELECT m_ord, CAST(row_number() OVER (PARTITION BY service ORDER BY i_ord) - 1 AS INT) AS i_ord, service, id, method, url, targetHint, fromHandler FROM calls"))
 def src_01(spark, sf_dir):
     return src.estate(documents(spark, sf_dir)).calls.select("m_ord", "i_ord", "service", "id", "method", "url", "targetHint", "fromHandler")
 
