@@ -361,7 +361,7 @@ def enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("service", "description", h.alias("handlers"), e.alias("endpoints"))
 
 
-@query("enr_01_descriptions", tw.over_estate("SELECT id, CASE WHEN m_ord % 2 = 0 THEN 'about ' || name END AS description FROM services"))
+@query("enr_01_descriptions", tw.over_estate("SELECT id, CASE WHEN m_ord % 2 = 0 AND starts_with(id, 'nation-') THEN 'about ' || name END AS description FROM services"))
 def enr_01(spark, sf_dir):
     return enrich.enrich(est.estate(spark, sf_dir), enrichment(spark, sf_dir)).services.select("id", "description")
 
