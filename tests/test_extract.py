@@ -55,3 +55,29 @@ def test_values():
     p = Parser("a.java", 'class A { String f(Map<String, Object> body, int x) { return a.b("x" + (y + 1) + "/z", new B("k")); } }').parse()
     assert p.units[0].params == [("body", "Map<String, Object>"), ("x", "int")]
     assert [(c["method"], [a["text"] for a in c["args"]]) for c in p.units[0].calls] == [("b", ["x{expr}/z", "{expr}"]), ("B", ["k"])]
+
+
+PATTERNS = {
+    "Pay.cs": 'public interface IPay { [Get("/pay/{id}")] Task<X> Fetch(string id); } public class Setup { void Go() { services.AddRefitClient<IPay>().ConfigureHttpClient(c => c.BaseAddress = new Uri(cfg["Pay:Url"])); app.MapMethods("/m", new[] { "PATCH" }, () => 1); app.MapGet(Compute(), () => 2); } }',
+    "Moved.cs": 'public class OnMoved : IConsumer<BoxMoved> { private readonly HttpClient _http; private readonly IPublishEndpoint _publishEndpoint; public async Task Consume(ConsumeContext<BoxMoved> c) { await _publishEndpoint.Publish(new BoxSeen()); var r = new HttpRequestMessage(HttpMethod.Put, $"/boxes/{c.Id}"); await _http.SendAsync(r); } }',
+    "Base.cs": "public class Root { public void Save() { } } public class Leaf : Root { public void Run() { Save(); } }",
+    "Stock.java": '@Path("/stock") public class Stock { private final WebClient web; Stock(WebClient web) { this.web = web; } @GET @Path("/{id}") public Item one(String id) { return web.patch().uri("/items/{id}", id).retrieve(); } @RabbitListener(bindings = @QueueBinding(value = @Queue("q.stock"), exchange = @Exchange("ex.stock"), key = "moved")) void heard(Item i) { } }',
+    "lib/pipe.ts": 'import { go } from "../util/go";\nchannel.sendToQueue("q.out", 1);\nexport function start() { go(); }\n',
+    "util/go.ts": "export function go() { return 1; }\n",
+}
+
+
+def test_more_patterns(spark):
+    f = parse_sources(spark.createDataFrame([("yard", n, t) for n, t in PATTERNS.items()], "service string, file string, text string"))
+    assert rows(extract.minimal_apis(f), "method", "path") == {("PATCH", "/m")}
+    assert rows(extract.dynamic_routes(f), "code") == {("dynamic-route",)}
+    assert rows(extract.controllers(f), "method", "path", "handler") == {("GET", "/stock/{id}", "Stock.one")}
+    assert rows(extract.outbound(f), "method", "url", "targetHint", "fromHandler") >= {("GET", "/pay/{id}", "Pay:Url", "IPay.Fetch"), ("PATCH", "/items/{id}", None, "Stock.one")}
+    assert ("PUT", "/boxes/{Id}", "OnMoved.Consume") in rows(extract.outbound(f), "method", "url", "fromHandler")
+    consumers, publishes = extract.messages(f)
+    assert rows(consumers, "broker", "topic", "exchange", "routingKey", "handler") == {("unknown", "BoxMoved", None, None, "OnMoved.Consume"), ("rabbitmq", "q.stock", "ex.stock", "moved", "Stock.heard")}
+    assert rows(publishes, "broker", "topic") == {("unknown", "BoxSeen"), ("rabbitmq", "q.out")}
+    graph = rows(extract.call_graph(f), "caller", "callee")
+    assert ("Leaf.Run", "Root.Save") in graph and ("lib/pipe.ts:start", "util/go.ts:go") in graph
+    targets = spark.createDataFrame([("yard", "PAY:URL", "payments")], "service string, key string, target string")
+    assert ("payments",) in rows(extract.with_targets(extract.refit(f), targets), "targetService")
