@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, htmltext, imi, langid, mixing, secrets, simhash, tokencount, tokenfile, warc
+from . import decontam, fim, htmltext, imi, langid, mixing, resample, secrets, simhash, substrings, tokencount, tokenfile, warc
 from .common import table
 
 
@@ -52,12 +52,24 @@ def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages", "page_id", "url", "html"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.draw(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "text"))
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest_columns(substrings.deduplicate(table(spark, sf_dir, "documents", "doc_id", "text")))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digest_columns(fim.transform(table(spark, sf_dir, "documents", "doc_id", "text")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_counts, op3_decontamination, op4_source_mixing, op5_token_output, op6_html_extraction, op7_simhash_dedup, op8_nearest_neighbours, op9_language_id, op10_warc_derivatives, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_counts, op3_decontamination, op4_source_mixing, op5_token_output, op6_html_extraction, op7_simhash_dedup, op8_nearest_neighbours, op9_language_id, op10_warc_derivatives, op11_importance_resampling, op12_substring_dedup, op13_fill_in_middle, pipeline)}
 
-ORACLE = {"op4_source_mixing": mixing.oracle()}
+ORACLE = {"op4_source_mixing": mixing.oracle(), "op11_importance_resampling": resample.oracle(), "op12_substring_dedup": substrings.oracle(), "op13_fill_in_middle": fim.oracle()}
