@@ -6,10 +6,10 @@ ids, words in the order of the text. The work goes in four steps.
 
 1. Anchors: every window has an anchor, its 8-word run of least hash, so equal windows have equal anchors. Only anchors
    (about one word in seven) are counted; a window whose anchor occurs once can't be repeated and is left out.
-2. Edges: the windows left are grouped; an edge keeps its count, its first coordinate, and digests of all its coordinates
-   and of all its successors' coordinates. Hot edges combine before the shuffle.
-3. Compaction: a join on nodes finds each edge's predecessor; the two are one nonbranching path if their counts and the
-   digests of their coordinates agree, that is if every occurrence of one goes on with the other. Paths are numbered along
+2. Edges: the windows left are grouped; an edge keeps its count, its first coordinate, and a digest of all its coordinates
+   from which that of the coordinates after them follows. Hot edges combine before the shuffle.
+3. Compaction: a join on nodes finds each edge's predecessor; the two are one nonbranching path if their counts, first
+   coordinates and digests agree, that is if every occurrence of one goes on with the other. Paths are numbered along
    their first coordinates; only the head of each path, with its length, is kept.
 4. Verification: documents look up the heads. An occurrence of a head anywhere but at the first coordinate begins a
    repeated span; the nodes at both its ends must be those of the path.
@@ -156,7 +156,26 @@ def anchor_counts(docs: DataFrame, window: int) -> DataFrame:
     return docs.select("text").mapInArrow(count, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor")
 
 
-EDGE = pa.schema([("src", pa.int64()), ("dst", pa.int64()), ("at", pa.int64()), ("row", pa.int64())])
+EDGE = pa.schema([("src", pa.int64()), ("dst", pa.int64()), ("at", pa.int64()), ("mark", pa.int64())])
+#: A prime and a base: coordinate c is marked by BASE ** c. Marks of coordinates that follow are BASE times these marks.
+PRIME, BASE = (1 << 31) - 1, 1_234_567_891
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = [1]
+    for _ in range(n - 1):
+        out.append(out[-1] * base % PRIME)
+    return np.array(out, np.uint64)
+
+
+LOW, HIGH = _powers(BASE, 1 << 16), _powers(pow(BASE, 1 << 16, PRIME), 1 << 15)
+
+
+def marks(at: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """The mark of each coordinate, times a number of its own for each ``row`` (text of a repeated doc_id)."""
+    e, p = (at % (PRIME - 1)).astype(np.uint64), np.uint64(PRIME)
+    out = LOW[e & np.uint64(0xFFFF)] * HIGH[e >> np.uint64(16)] % p
+    return (out * (row.view(np.uint64) % np.uint64(PRIME - 1) + np.uint64(1)) % p).view(np.int64)
 
 
 def ranges(docs: DataFrame, anchors: DataFrame, window: int) -> DataFrame:
@@ -178,7 +197,7 @@ def ranges(docs: DataFrame, anchors: DataFrame, window: int) -> DataFrame:
 
 
 def windows(docs: DataFrame, anchors: DataFrame | None, window: int, max_rows: int) -> DataFrame:
-    """(src, dst, at, row): every window whose anchor is in ``anchors``, with its coordinate."""
+    """(src, dst, at, mark): every window whose anchor is in ``anchors``, with its coordinate."""
     few = anchors.count() <= max_rows
     held = docs.sparkSession.sparkContext.broadcast(np.sort(anchors.toArrow().column(0).to_numpy().view(np.uint64))) if few else None
     docs = docs.select("base", "row", "text", F.array().cast("array<struct<start:bigint,size:bigint>>").alias("take")) if few else ranges(docs, anchors, window).select("base", "row", "text", "take")
@@ -199,23 +218,22 @@ def windows(docs: DataFrame, anchors: DataFrame | None, window: int, max_rows: i
             at = t.at[keep]
             text = t.text[at]
             base, row = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            yield batch_of(EDGE, t.nodes[at].view(np.int64), t.nodes[at + 1].view(np.int64), base[text] + at - t.first[text], row[text])
+            place = base[text] + at - t.first[text]
+            yield batch_of(EDGE, t.nodes[at].view(np.int64), t.nodes[at + 1].view(np.int64), place, marks(place, row[text]))
 
-    return docs.mapInArrow(take, "src long, dst long, at long, row long")
+    return docs.mapInArrow(take, "src long, dst long, at long, mark long")
 
 
 def edges(found: DataFrame) -> DataFrame:
-    """One row per repeated edge: src, dst, n, first coordinate, and digests of its coordinates and of those that follow them."""
-    at, after = F.xxhash64("at", "row"), F.xxhash64(F.col("at") + 1, "row")
-    part = lambda h: F.sum(h.bitwiseAND(0xFFFFFFFF))
-    grouped = found.groupBy("src", "dst").agg(F.count("*").alias("n"), F.min("at").alias("first"), F.bit_xor(at).alias("here"), part(at).alias("here_sum"), F.bit_xor(after).alias("next"), part(after).alias("next_sum"))
-    return grouped.filter("n > 1")
+    """One row per repeated edge: src, dst, n, first coordinate, and the digest of its coordinates (the sum of their marks)."""
+    grouped = found.groupBy("src", "dst").agg(F.count("*").alias("n"), F.min("at").alias("first"), F.sum("mark").alias("marks"))
+    return grouped.filter("n > 1").select("src", "dst", "n", "first", (F.col("marks") % PRIME).alias("marks"))
 
 
 def paths(edge: DataFrame, step: int) -> DataFrame:
     """One row per nonbranching path: src and dst of its head, its first coordinate, its number of edges, and its last node."""
-    before = edge.select(F.col("dst").alias("src"), (F.col("first") + 1).alias("first"), "n", F.col("next").alias("here"), F.col("next_sum").alias("here_sum"), F.lit(True).alias("linked"))
-    both = edge.join(before, ["src", "first", "n", "here", "here_sum"], "left")
+    before = edge.select(F.col("dst").alias("src"), (F.col("first") + 1).alias("first"), "n", (F.col("marks") * BASE % PRIME).alias("marks"), F.lit(True).alias("linked"))
+    both = edge.join(before, ["src", "first", "n", "marks"], "left")
     own = Window.partitionBy(F.expr(f"first div {step}")).orderBy("first", "src", "dst")  # one document
     goes_on = F.coalesce("linked", F.lit(False)) & (F.lag("first").over(own) + 1 == F.col("first")) & (F.lag("dst").over(own) == F.col("src"))
     marked = both.withColumn("head", F.when(goes_on, 0).otherwise(1))
