@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes in one Arrow batch. Texts can be long, so the defaults (10,000 rows, 64 MB) are too much for one Python worker.
@@ -49,7 +49,14 @@ def shared_dir(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="waymesh-")
         spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    return qualified(spark, folder)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` as a URI: one without a scheme is in Spark's default file system, wherever that is."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return p.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toString()
 
 
 def scratch(spark: SparkSession, what: str) -> str:
@@ -65,7 +72,7 @@ def written(df: DataFrame, what: str) -> DataFrame:
 
 
 def filesystem(uri: str):
-    """(pyarrow file system, path) of a URI or a plain path."""
+    """(pyarrow file system, path) of a URI (see :func:`qualified`)."""
     from pyarrow import fs
 
     return (fs.LocalFileSystem(), os.path.abspath(uri)) if "://" not in uri and not uri.startswith("file:") else fs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:", "file://", 1))
@@ -116,9 +123,20 @@ def rows_of(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
         yield from zip(*(b.column(n).to_pylist() for n in names))
 
 
-def hashed_share(df: DataFrame, key: str, rows: int, seed: int = 17) -> DataFrame:
-    """About ``rows`` rows (all of them, if there are fewer): those whose hash of key and place is small, so a key that is very common is sampled like others."""
-    total = df.count()
+def row_hash(columns: list[str], seed: int = 0) -> Column:
+    """A hash of a row that tells nulls in different columns apart."""
+    return F.xxhash64(F.lit(seed), *(x for c in columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))))
+
+
+def hashed_share(df: DataFrame, rows: int, seed: int = 17) -> DataFrame:
+    """All rows, if there are ``rows`` at most; else about as many different rows: those whose hash is small, each once.
+
+    The hash is of the whole row, so the same rows are taken however the table is split, and a row that is repeated very
+    often counts like any other. The number of different rows comes from a sketch that doesn't depend on the split either.
+    """
+    total, different = df.agg(F.count("*"), F.approx_count_distinct(row_hash(df.columns, seed))).first()
     if total <= rows:
         return df
-    return df.filter(F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.monotonically_increasing_id()), F.lit(1 << 30)) < int((1 << 30) * rows / total))
+    share = fresh("__share", df.columns)
+    some = df.withColumn(share, row_hash(df.columns, seed)).filter(F.pmod(share, F.lit(1 << 30)) < int((1 << 30) * min(1.0, rows / max(1, different))))
+    return some.dropDuplicates([share]).drop(share)

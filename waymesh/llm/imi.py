@@ -139,8 +139,8 @@ def search(df: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str =
         return spark.createDataFrame([], empty)
     width = len(base.select("v").first()[0])
     base = base.filter(F.size("v") == width)
-    some = hashed_share(base, "id", SAMPLE_ROWS).select("v").limit(2 * SAMPLE_ROWS).collect() or base.select("v").limit(1).collect()
-    sample = np.array([r[0] for r in some], float)
+    some = hashed_share(base, SAMPLE_ROWS).select("v").limit(2 * SAMPLE_ROWS).collect() or base.select("v").limit(1).collect()
+    sample = np.array(sorted(r[0] for r in some), float)
     index = Index(sample, rows, k, target)
     held = spark.sparkContext.broadcast(index)
 
@@ -166,7 +166,8 @@ def search(df: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str =
             if fill + n > SHARD_ROWS:
                 at, fill = at + 1, 0
             first[c], fill = at, fill + n
-    need = max(k + 1, int(np.ceil(index.share * rows)))
+    most = k + 1  # one of them may be the query's own row
+    need = max(most, int(np.ceil(index.share * rows)))
     shards = spark.sparkContext.broadcast((sizes, first, parts))
 
     def route(batches):
@@ -200,7 +201,7 @@ def search(df: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str =
     pairs = asked.select("shard", "block").distinct()
     dealt = entries.select("id", "v", "cell").mapInArrow(deal, "shard long, id long, v array<double>, cell long")
     dealt = dealt.join(pairs, "shard").select(F.col("shard").alias("its_shard"), F.col("block").alias("its_block"), "cell", F.col("id").alias("its_id"), F.col("v").alias("its_v"))
-    top = pa.schema([("uid", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+    top = pa.schema([("uid", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64()), ("own", pa.bool_())])
 
     def rank(_, mine: pa.Table, theirs: pa.Table) -> pa.Table:
         if not mine.num_rows or not theirs.num_rows:
@@ -218,16 +219,19 @@ def search(df: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str =
                 i = np.searchsorted(there, cells)
                 i[i == len(there)] = 0
                 walked[r, i[there[i] == cells]] = True
-            scores[~walked[:, at] | (qid[s : s + 256, None] == ids)] = -np.inf
+            scores[~walked[:, at]] = -np.inf
             for r in range(len(scores)):
                 row = scores[r]
-                least = np.partition(row, -k)[-k] if len(row) > k else -np.inf
+                least = np.partition(row, -most)[-most] if len(row) > most else -np.inf
                 near = np.flatnonzero((row >= least - 1e-9 * max(1.0, abs(least)) if np.isfinite(least) else row > least))
                 exact = (x[near] * q[s + r]).sum(1)  # each row by itself: equal vectors have equal scores
-                best = np.lexsort((ids[near], -exact))[:k]
-                out.append((np.full(len(best), uid[s + r]), np.full(len(best), qid[s + r]), ids[near][best], exact[best]))
+                own = (ids[near] == qid[s + r]) & (x[near] == q[s + r]).all(1)
+                best = np.lexsort((~own, ids[near], -exact))[:most]
+                out.append((np.full(len(best), uid[s + r]), np.full(len(best), qid[s + r]), ids[near][best], exact[best], own[best]))
         return pa.table([np.concatenate(c) for c in zip(*out)], schema=top)
 
-    found = dealt.groupBy("its_shard", "its_block").cogroup(asked.groupBy("shard", "block")).applyInArrow(rank, "uid long, query_id long, vec_id long, score double")
-    place = F.row_number().over(Window.partitionBy("uid").orderBy(F.desc("score"), "vec_id"))
-    return found.select("query_id", place.alias("rank"), "vec_id", "score").filter(F.col("rank") <= k)
+    found = dealt.groupBy("its_shard", "its_block").cogroup(asked.groupBy("shard", "block")).applyInArrow(rank, "uid long, query_id long, vec_id long, score double, own boolean")
+    best_first = Window.partitionBy("uid").orderBy(F.desc("score"), "vec_id", F.desc("own"))
+    met = F.count_if("own").over(best_first.rowsBetween(Window.unboundedPreceding, 0))  # rows equal to the query so far: the first of them is the query
+    placed = found.withColumn("place", F.row_number().over(best_first)).withColumn("met", met).filter(~(F.col("own") & (F.col("met") == 1)))
+    return placed.select("query_id", (F.col("place") - F.least(F.col("met"), F.lit(1))).cast("int").alias("rank"), "vec_id", "score").filter(F.col("rank") <= k)

@@ -272,7 +272,7 @@ def train(samples: DataFrame, text: str = "text", lang: str = "lang", key: str =
     small_batches(samples.sparkSession)
     known, size = prefixes(path), len(pieces(path)) + 1
     labelled = samples.filter(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(key).isNotNull()).select(key, text, lang)
-    share = hashed_share(labelled, key, rows)
+    share = hashed_share(labelled, rows)
     word_schema = pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
     count_schema = pa.schema([("lang", pa.string()), ("piece", pa.int32()), ("n", pa.float64())])
 

@@ -141,7 +141,7 @@ def train(samples: DataFrame, text: str = "text", key: str = "doc_id", rows: int
         flat = [(label, k, n) for label, c in total.items() for k, n in c.items()]
         yield batch_of(schema, *(list(zip(*flat)) or ([], [], [])))
 
-    share = hashed_share(samples.select(key, text), key, rows).select(text)
+    share = hashed_share(samples.select(key, text), rows).select(text)
     found = share.mapInArrow(count, "label int, pair int, n long").groupBy("label", "pair").agg(F.sum("n").alias("n")).collect()
     counts: dict[int, dict[int, float]] = {0: {}, 1: {}}
     for label, pair, n in found:

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import batch_of, filesystem, resident, scratch, small_batches, strings, written
+from .common import batch_of, filesystem, qualified, resident, scratch, small_batches, strings, written
 
 MAGIC = b"BPT1"
 END_ID = 2
@@ -387,6 +387,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, mode:
     """Encode and write all documents under ``path``, ascending by doc_id; returns the files: part, file, n_docs, n_ids, start."""
     spark, tokenizer = docs.sparkSession, tokenizer or tokenizer_path()
     small_batches(spark)
+    path = qualified(spark, path)
     fs, folder = filesystem(path)
     fs.create_dir(folder, recursive=True)
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // file_rows))
@@ -416,6 +417,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, mode:
 
 def read_tokens(spark: SparkSession, path: str, files: DataFrame) -> DataFrame:
     """One row per document from the files: doc_id, start, n_tokens, ids_crc32."""
+    path = qualified(spark, path)
     _, folder = filesystem(path)
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
