@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import batch_of, fresh, release, small_batches, strings, written
+from .common import batch_of, fresh, release, row_hash, small_batches, strings, written
 
 #: Fixed value: a word, after A-Z are lower-cased.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -240,7 +240,7 @@ def marked_by_join(docs: DataFrame, wins: DataFrame) -> DataFrame:
     total = prefix.select("s", "n").distinct().agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     common = [r.s for r in prefix.filter(F.col("n") > max(10_000, total // SHARE)).select("s").distinct().collect()]  # at most SHARE of them
 
-    row = [F.xxhash64(F.lit(seed), *(F.col(f"`{c}`").cast("string") for c in docs.columns)).alias(name) for seed, name in ((1, "k1"), (2, "k2"))]
+    row = [row_hash(docs.columns, seed).alias(name) for seed, name in ((1, "k1"), (2, "k2"))]
     base = docs.select(*row, F.col("text").alias("__text"))
     item = pa.struct([("s", pa.string()), ("at", pa.int64()), ("left", pa.list_(pa.string())), ("right", pa.list_(pa.string()))])
     schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("n_words", pa.int64()), ("places", pa.list_(item))])
