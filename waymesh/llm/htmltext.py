@@ -11,7 +11,9 @@ no stretch outside them holds more text than they do; then they are lines like a
 only if it holds more than they do. Elements that can't hold article text (scripts, styles, menus, page headers, hidden
 ones) are left out. An element that a class, id or role word calls an advert, a notice, a sidebar, reader comments and
 so on, and a form, is left out unless its own text says otherwise: unless it holds an article, or most of the page's
-text in several paragraphs. Only the head word of a name counts (``page-footer`` is a footer, ``related-work`` is none).
+text in several paragraphs. Inside an article, names of things that link (a menu, related reading) decide nothing by
+themselves: such an element goes only if no less of its text is linked than not. Only the head word of a name counts
+(``page-footer`` is a footer, ``related-work`` is none).
 
 Defined cases: a null or empty page, and one without text, gives an empty text; unclosed and misnested elements end
 with their parents; a tag that the page's end cuts off is no text; elements nested deeper than ``DEPTH`` become
@@ -63,9 +65,11 @@ ADVERTS = frozenset("ad ads advert adverts advertisement advertisements advertis
 OTHERS = frozenset("banner nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside footer masthead topbar toolbar cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget widgets pagination pager".split())
 NAMES = COMMENTS | ADVERTS | OTHERS
 OF_ARTICLES = COMMENTS | ADVERTS | frozenset("related recommended card teaser".split())
+LINKING = frozenset("banner nav navbar navigation menu menubar breadcrumb breadcrumbs masthead topbar toolbar overlay share sharing social related recommended recommendations widget widgets pagination pager".split())
 VAGUE = frozenset("container wrapper wrap inner outer box block area section list item items slot unit left right top bottom content panel row col column group desktop mobile sticky primary secondary body title heading link links text label button buttons icon icons".split())
 TAKEN_BACK = frozenset("has with no without not hide show".split())
 LINKED_NAMES = frozenset(a + b for a in ("related", "recommended", "sponsored") for b in ("posts", "articles", "stories", "news", "reading"))
+LINKING |= LINKED_NAMES
 #: Elements that close an open p, ones that close their like, and ones that a block element breaks out of.
 CLOSES_P = BLOCKS - frozenset("td th tr tbody thead tfoot caption legend summary dd dt li body html".split()) | {"hr"}
 LIKE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
@@ -117,12 +121,14 @@ def tag_end(page: str, at: int, dead: set[str]) -> int:
 class Region:
     """An element that may be furniture, or the page (the first one): its text, its paragraphs, and whether an article is in it."""
 
-    def __init__(self, above: Region | None, words: frozenset[str] = frozenset()):
-        self.above, self.words = above, words
-        self.chars = self.prose = 0
+    def __init__(self, above: Region | None, words: frozenset[str] = frozenset(), inside: bool = False):
+        self.above, self.words, self.inside = above, words, inside
+        self.chars = self.prose = self.plain = self.linked = 0
         self.main = self.title = self.gone = False
 
     def is_furniture(self, page: Region) -> bool:
+        if self.inside and self.words and self.words <= LINKING:
+            return self.linked >= self.plain  # in an article such a name says nothing by itself
         if self.main and not self.words & COMMENTS:
             return False
         most = self.chars * 2 > page.chars and self.title or self.chars * 5 > page.chars * 4 and self.prose > 1 and not self.words & (COMMENTS | ADVERTS)
@@ -132,7 +138,8 @@ class Region:
 class Lines:
     """The lines of a page in order: text, linked characters, whether an article or main element holds it, and its region. A gap has no text."""
 
-    def __init__(self, page: str):
+    def __init__(self, page: str, plain: bool = False):
+        self.plain = plain  # all elements count alike but those that never show text
         self.rows: list[tuple[str, int, bool, Region]] = []
         self.page = Region(None)
         self.regions = [self.page]
@@ -146,6 +153,8 @@ class Lines:
         for r in reversed(self.regions[1:]):
             r.above.chars += r.chars
             r.above.prose += r.prose
+            r.above.plain += r.plain
+            r.above.linked += r.linked
             r.above.main |= r.main
             r.above.title |= r.title
         for r in self.regions[1:]:
@@ -157,6 +166,8 @@ class Lines:
             self.buffer.clear()
             if text:
                 self.rows.append((text, self.linked, self.main, self.region))
+                self.region.linked += self.linked
+                self.region.plain += max(0, len(text) - self.linked)
                 if self.linked <= LINKED * len(text):
                     self.region.chars += len(text)
                     self.region.prose += len(text) >= SURGE
@@ -221,6 +232,9 @@ class Lines:
         self.links += name == "a"
         if self.hidden:
             return
+        if self.plain:
+            self.hidden = name in HIDDEN
+            return
         if unseen or name in FURNITURE or name == "header" and not self.main or any(w.startswith("role:") for w in words):
             if name in BLOCKS or name == "button":
                 self.flush()
@@ -232,7 +246,7 @@ class Lines:
         named = words & (OF_ARTICLES if name in MAIN else NAMES | LINKED_NAMES)
         if named or name == "form":
             self.flush()
-            self.region = Region(self.region, named)
+            self.region = Region(self.region, named, self.main)
             self.regions.append(self.region)
         elif name in MAIN:
             self.main = self.region.main = True

@@ -33,16 +33,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_of, filesystem, scratch, small_batches, written
-from .htmltext import ATTRIBUTE, tag_end
+from .common import batch_of, filesystem, qualified, scratch, small_batches, written
+from .htmltext import ATTRIBUTE, Lines, tag_end
 
 VERSION = "WARC/1.1"
 DATE = "2024-01-01T00:00:00Z"
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
-HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head)\b[^>]*(?:>|\Z).*?(?:</\1\s*>|\Z)", re.S | re.I)
-BREAK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|html|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|tr|ul)\b[^>]*(?:>|\Z)", re.I)
-TAG = re.compile(r"<[!/?a-zA-Z][^>]*(?:>|\Z)")
 TITLE = re.compile(r"<title\b[^>]*(?:>|\Z)(.*?)(?:</title\s*>|\Z)", re.S | re.I)
 TOLD = re.compile(r"<(a|area|link|img|script|iframe|form|source|video|audio|meta)(?=[\s/>])", re.I)
 CHUNK = re.compile(rb"([0-9A-Fa-f]{1,8})[ \t]*(?:;[^\r\n]*)?\r\n")
@@ -175,9 +172,8 @@ def links(found: list[tuple[str, dict[str, str]]]) -> list[dict[str, str]]:
 
 
 def plain_text(page: str) -> str:
-    """All shown text, a line for each block, white space inside a line made one space."""
-    lines = (" ".join(html.unescape(x).split()) for x in TAG.sub("", BREAK.sub("\n", HIDDEN.sub(" ", page))).split("\n"))
-    return "\n".join(x for x in lines if x)
+    """All text outside of elements that never show any, a line for each block, white space inside a line made one space."""
+    return "\n".join(row[0] for row in Lines(page, plain=True).rows if row[0])
 
 
 def derive(data: bytes) -> tuple[bytes, bytes]:
@@ -235,6 +231,7 @@ INDEX = "page_id long, file string, at long, meta_size long, text_size long"
 
 def write_derivatives(records: DataFrame, path: str) -> DataFrame:
     """Write both derivatives of each record under ``path``; returns the index: page_id, file, at, meta_size, text_size."""
+    path = qualified(records.sparkSession, path)
     fs, folder = filesystem(path)
     fs.create_dir(folder, recursive=True)
     schema = pa.schema([("page_id", pa.int64()), ("file", pa.string()), ("at", pa.int64()), ("meta_size", pa.int64()), ("text_size", pa.int64())])
@@ -261,6 +258,7 @@ def write_derivatives(records: DataFrame, path: str) -> DataFrame:
 
 def read_derivatives(spark: SparkSession, path: str, index: DataFrame) -> DataFrame:
     """(page_id, metadata, conversion): both records of each indexed page, as bytes without compression."""
+    path = qualified(spark, path)
     _, folder = filesystem(path)
     schema = pa.schema([("page_id", pa.int64()), ("metadata", pa.binary()), ("conversion", pa.binary())])
 
