@@ -58,10 +58,10 @@ def session():
 
 def features(ngram: int) -> str:
     """SQL: (row, feature) of every run of 1 to ``ngram`` words of ``batch`` (row, text)."""
-    words = f"SELECT row, unnest(w) AS w, generate_subscripts(w, 1) AS at FROM (SELECT row, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{WORD}') AS w FROM batch WHERE text IS NOT NULL)"
+    words = f"SELECT row, unnest(w) AS w, generate_subscripts(w, 1) AS pos FROM (SELECT row, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{WORD}') AS w FROM batch WHERE text IS NOT NULL)"
     if ngram == 1:
         return f"SELECT row, w AS feature FROM ({words})"
-    runs = [f"SELECT row, string_agg(w, ' ') OVER n{n} AS feature, count(*) OVER n{n} AS size, {n} AS wanted FROM words WINDOW n{n} AS (PARTITION BY row ORDER BY at ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING)" for n in range(1, ngram + 1)]
+    runs = [f"SELECT row, string_agg(w, ' ') OVER n{n} AS feature, count(*) OVER n{n} AS size, {n} AS wanted FROM words WINDOW n{n} AS (PARTITION BY row ORDER BY pos ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING)" for n in range(1, ngram + 1)]
     return f"WITH words AS ({words}) SELECT row, feature FROM ({' UNION ALL '.join(runs)}) WHERE size = wanted"
 
 
