@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fn
 from .build import Graph
-from .reach import neighbourhood, reach
+from .condense import Condensed, condensed
+from .reach import neighbourhood
 
 MAP_KINDS = ("http", "publish", "consume", "declared")
 
@@ -102,22 +103,47 @@ def flows_of_services(flows: DataFrame, steps: DataFrame) -> DataFrame:
     return flows.select(F.col("entry_service").alias("service"), "flow_id").union(steps.select("service", "flow_id")).distinct()
 
 
+def call_graph(internal: DataFrame, entries: DataFrame) -> Condensed:
+    """The condensed graph of internal edges, with the entries (entry) that have none."""
+    return condensed(internal.select(F.col("source").alias("src"), F.col("target").alias("dst")), entries.select(F.col("entry").alias("node")))
+
+
 def reachable_handlers(internal: DataFrame, entries: DataFrame) -> DataFrame:
     """(entry, handler): handler nodes that each entry handler node reaches inside its service, itself included."""
-    steps = internal.select(F.col("source").alias("src"), F.col("target").alias("dst"))
-    return reach(steps, entries.select(F.col("entry").alias("seed"), F.col("entry").alias("node"))).select(F.col("seed").alias("entry"), F.col("node").alias("handler"))
+    c = call_graph(internal, entries)
+    return c.pairs(entries.select(F.col("entry").alias("seed")), c.reach()).select(F.col("seed").alias("entry"), F.col("node").alias("handler"))
 
 
-def outbound(edges: DataFrame, reached: DataFrame) -> DataFrame:
-    """(entry, edge...): edges out of the service by the reached handlers: map edges that name their handler, and call details."""
+def reachable_counts(internal: DataFrame, entries: DataFrame) -> DataFrame:
+    """(entry, n): how many handlers each entry reaches, itself included, without a row for each of them."""
+    c = call_graph(internal, entries)
+    return entries.select("entry").distinct().join(c.nodes.select(F.col("node").alias("entry"), "comp"), "entry").join(c.sizes(c.reach()), "comp").select("entry", "n")
+
+
+def set_off(edges: DataFrame) -> DataFrame:
+    """Edges out of services with the handler node (by) that sets them off: map edges that name their handler, and call details."""
     service_level = edges.filter(F.col("kind").isin("http", "publish", "declared") & F.col("fromHandler").isNotNull()).withColumn("by", fn.handler_node("source", "fromHandler"))
-    detail = edges.filter("kind = 'http-detail'").withColumn("by", F.col("source"))
-    return service_level.unionByName(detail).join(reached, F.col("by") == F.col("handler")).drop("by", "handler")
+    return service_level.unionByName(edges.filter("kind = 'http-detail'").withColumn("by", F.col("source")))
+
+
+def outbound(edges: DataFrame, reached: DataFrame) -> DataFrame:
+    """(entry, edge...): edges out of the service by the reached handlers."""
+    return set_off(edges).join(reached, F.col("by") == F.col("handler")).drop("by", "handler")
+
+
+def outbound_counts(edges: DataFrame, entries: DataFrame) -> DataFrame:
+    """(entry, kind, n): how many edges of each kind each entry sets off, itself and through the handlers that it reaches. Counted on the condensed graph: an edge belongs to one handler, so counts add up."""
+    c = call_graph(edges.filter("kind = 'internal'"), entries)
+    weights = set_off(edges).groupBy(F.col("by").alias("node"), "kind").agg(F.count("*").alias("n"))
+    sums = c.weigh(weights, c.reach(), "kind")
+    return entries.select("entry").distinct().join(c.nodes.select(F.col("node").alias("entry"), "comp"), "entry").join(sums, "comp").select("entry", "kind", "n")
 
 
-def outbound_counts(edges: DataFrame, reached: DataFrame) -> DataFrame:
-    """(entry, kind, n): how many edges of each kind each entry sets off. An edge belongs to one handler, so counts of handlers add up and no edge is repeated."""
-    return outbound(edges, reached.select("handler").distinct().withColumn("entry", F.col("handler"))).groupBy(F.col("entry").alias("handler"), "kind").agg(F.count("*").alias("n")).join(reached, "handler").groupBy("entry", "kind").agg(F.sum("n").alias("n"))
+def target_counts(edges: DataFrame, entries: DataFrame) -> DataFrame:
+    """(entry, n): how many different targets the edges have that each entry sets off, service-level calls left out."""
+    c = call_graph(edges.filter("kind = 'internal'"), entries)
+    sums = c.union(set_off(edges).filter("kind <> 'http'").select(F.col("by").alias("node"), F.col("target").alias("item")).distinct())
+    return entries.select("entry").distinct().join(c.nodes.select(F.col("node").alias("entry"), "comp"), "entry").join(sums, "comp").select("entry", "n")
 
 
 def endpoint_impact(g: Graph, endpoints: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -196,8 +222,8 @@ def dimmed(nodes: DataFrame, matches: DataFrame | None = None, near: DataFrame |
 
 def endpoint_table(g: Graph, flows: DataFrame, text: str = "") -> DataFrame:
     """(node, service, service_name, layer, method, path, handler, downstream, has_flow) per endpoint."""
-    _, edges = endpoint_impact(g)
-    down = edges.filter("kind <> 'http'").groupBy(F.col("endpoint").alias("node")).agg(F.countDistinct("target").alias("downstream"))
+    entries = g.endpoints.select("node", fn.handler_node("service", "handler").alias("entry"))
+    down = entries.join(target_counts(g.edges, entries), "entry").select("node", F.col("n").alias("downstream"))
     s = g.services.select(F.col("id").alias("service"), F.col("name").alias("service_name"), "layer")
     f = flow_by_entry(flows, g.endpoints).withColumn("has_flow", F.lit(True)).drop("flow_id")
     out = g.endpoints.join(s, "service", "left").join(down, "node", "left").join(f, "node", "left")

@@ -49,15 +49,87 @@ def known_nodes(e: Estate) -> DataFrame:
     return reduce(DataFrame.union, parts).distinct()
 
 
-def config_value(config: Config) -> Column:
-    """The value of the first target that fits any probe (hint, host, URL), in key order."""
-    tests = []
-    for key, value in config.targets.items():
-        for probe in ("hint", "host", "url"):
-            p = F.nullif(F.col(probe), F.lit(""))
-            hit = p.rlike("(?i)" + key[1:-1]) if len(key) > 2 and key[0] == key[-1] == "/" else F.lower(p) == key.lower()
-            tests.append(F.when(hit, F.lit(value)))
-    return F.coalesce(*tests) if tests else F.lit(None).cast("string")
+def required_literal(pattern: str) -> str:
+    """The longest text that every match of a regular expression holds, in lower case; '' if none is sure (alternatives, for one)."""
+    runs, run, depth, at = [], "", 0, 0
+    while at < len(pattern):
+        c, step = pattern[at], 1
+        one = ""
+        if c == "\\" and at + 1 < len(pattern):
+            step = 2
+            one = pattern[at + 1] if not pattern[at + 1].isalnum() else ""
+        elif c == "[":
+            end = pattern.find("]", at + 2)
+            if end < 0:
+                return ""
+            step = end + 1 - at
+        elif c == "|" and depth == 0:
+            return ""
+        elif c == "(":
+            depth += 1
+        elif c == ")":
+            depth -= 1
+        elif c == "{":
+            step = max(1, pattern.find("}", at) + 1 - at)
+        elif c not in "|^$.*+?":
+            one = c
+        if depth or not one:
+            runs.append(run)
+            run = ""
+        elif pattern[at + step : at + step + 1] in ("?", "*", "{"):  # may be missing
+            runs.append(run)
+            run = ""
+        else:
+            run += one
+            if pattern[at + step : at + step + 1] == "+":
+                runs.append(run)
+                run = ""
+        at += step
+    return max([*runs, run], key=len).lower()
+
+
+GRAM = 3
+
+
+def matched_targets(texts: DataFrame, config: Config) -> DataFrame:
+    """(text, t_ord): for distinct ``text``, the place of the first target, in key order, that fits it; texts that none fits are left out.
+
+    Keys are a table, not a chain of conditions. A plain key is joined by equality. A pattern is tried only on texts that
+    hold a piece of three characters of the longest text that the pattern requires, which is an equality join too; only
+    patterns that require none are tried on every text.
+    """
+    spark, plain, sought, loose = texts.sparkSession, [], [], []
+    for at, key in enumerate(config.targets):
+        if len(key) > 2 and key[0] == key[-1] == "/":
+            literal = required_literal(key[1:-1])
+            (sought if len(literal) >= GRAM else loose).append((at, "(?i)" + key[1:-1], literal[:GRAM]))
+        else:
+            plain.append((at, key.lower()))
+    lower = texts.withColumn("low", F.lower("text"))
+    found = [lower.join(spark.createDataFrame(plain, "t_ord int, low string"), "low").select("text", "t_ord")]
+    if sought:
+        table = spark.createDataFrame(sought, "t_ord int, regex string, gram string")
+        grams = lower.withColumn("gram", F.explode(F.expr(f"array_distinct(transform(sequence(1, greatest(1, length(low) - {GRAM - 1})), i -> substring(low, i, {GRAM})))")))
+        found.append(grams.join(table, "gram").filter(F.expr("text rlike regex")).select("text", "t_ord"))
+    if loose:
+        held = F.array(*(F.struct(F.lit(at).alias("t_ord"), F.lit(regex).alias("regex")) for at, regex, _ in loose))
+        hit = F.get(F.filter(held, lambda x: F.regexp_like("text", x["regex"])), F.lit(0))["t_ord"]
+        found.append(texts.select("text", hit.alias("t_ord")).filter("t_ord is not null"))
+    return reduce(DataFrame.union, found).groupBy("text").agg(F.min("t_ord").alias("t_ord"))
+
+
+def with_config_value(calls: DataFrame, config: Config) -> DataFrame:
+    """``calls`` (hint, host, url) with value: that of the first target that fits any of the three, in key order."""
+    if not config.targets:
+        return calls.withColumn("value", F.lit(None).cast("string"))
+    probes = ("hint", "host", "url")
+    texts = reduce(DataFrame.union, [calls.select(F.col(c).alias("text")) for c in probes]).filter("text <> ''").distinct()
+    found = cut(matched_targets(texts, config))
+    values = calls.sparkSession.createDataFrame(list(enumerate(config.targets.values())), "t_ord int, value string")
+    for c in probes:
+        calls = calls.join(found.select(F.col("text").alias(c), F.col("t_ord").alias(f"__{c}")), c, "left")
+    first = calls.withColumn("t_ord", F.least(*(F.col(f"__{c}") for c in probes)))
+    return first.join(values, "t_ord", "left").drop("t_ord", *(f"__{c}" for c in probes))
 
 
 def hint_candidates(probes: DataFrame, services: DataFrame) -> DataFrame:
@@ -112,16 +184,37 @@ def tied_hints(probes: DataFrame, candidates: DataFrame) -> DataFrame:
     return met.groupBy("service", "hint", "method", "path").agg(F.min("target").alias("won"), F.count("*").alias("n")).filter("n = 1").drop("n")
 
 
+def shared_paths(candidates: DataFrame, services: DataFrame) -> DataFrame:
+    """For distinct (method, path): n, how many services have it, and best array<struct<by, t_ord, target, ep>>, the first three of them.
+
+    Three are enough to know the two best without the caller's own service, whichever that is; no list is made for each
+    caller. Each task keeps three of a path before the shuffle.
+    """
+    order = services.select(F.col("id").alias("target"), F.col("m_ord").alias("t_ord"))
+    rows = candidates.join(order, "target").withColumn("by", -F.col("ep.score"))
+    top = rows.withColumn("r", F.row_number().over(Window.partitionBy("method", "path").orderBy("by", "t_ord", "target"))).filter("r <= 3")
+    best = top.groupBy("method", "path").agg(F.sort_array(F.collect_list(F.struct("by", "t_ord", "target", "ep"))).alias("best"))
+    return _null_safe(best, rows.groupBy("method", "path").agg(F.count("*").alias("n")), ["method", "path"], "inner")
+
+
 def ranked_paths(probes: DataFrame, candidates: DataFrame, services: DataFrame) -> DataFrame:
-    """For distinct (service, method, path): the other services that have the path, best first: found array<struct<by, t_ord, target, ep>>."""
+    """For distinct (service, method, path): n_found, how many other services have the path, and found, the two best of them."""
+    met = _null_safe(probes, shared_paths(candidates, services), ["method", "path"], "inner")
+    own = _null_safe(met, candidates.select("method", "path", F.col("target").alias("service"), F.lit(1).alias("own")), ["method", "path", "service"], "left")
+    others = own.withColumn("n_found", (F.col("n") - F.coalesce("own", F.lit(0))).cast("int")).filter("n_found > 0")
+    return others.select("service", "method", "path", "n_found", F.slice(F.filter("best", lambda x: x["target"] != F.col("service")), 1, 2).alias("found"))
+
+
+def named_paths(probes: DataFrame, candidates: DataFrame, services: DataFrame) -> DataFrame:
+    """(method, path, names): for the paths of messages, all services that have it, best first: one list for all callers."""
     order = services.select(F.col("id").alias("target"), F.col("m_ord").alias("t_ord"))
-    pairs = _null_safe(probes, candidates, ["method", "path"], "inner").filter("target <> service").join(order, "target")
-    return pairs.groupBy("service", "method", "path").agg(F.sort_array(F.collect_list(F.struct((-F.col("ep.score")).alias("by"), "t_ord", "target", "ep"))).alias("found"))
+    rows = _null_safe(candidates, probes.select("method", "path").distinct(), ["method", "path"], "left_semi").join(order, "target")
+    return rows.groupBy("method", "path").agg(F.sort_array(F.collect_list(F.struct((-F.col("ep.score")).alias("by"), "t_ord", "target"))).alias("s")).select("method", "path", F.col("s.target").alias("names"))
 
 
-def ruled_calls(e: Estate, config: Config) -> DataFrame:
-    """Each call with what every rule says of it, the rule that wins (null: none), its target and that target's endpoint."""
-    calls = cut(parsed_calls(e.calls).withColumn("value", config_value(config)).withColumn("named", F.coalesce("explicit", "value")))
+def ruled_calls(e: Estate, config: Config) -> tuple[DataFrame, DataFrame]:
+    """(calls, candidates): each call with what every rule says of it, the rule that wins (null: none), its target and that target's endpoint; and the endpoints that paths fit."""
+    calls = cut(with_config_value(cut(parsed_calls(e.calls)), config).withColumn("named", F.coalesce("explicit", "value")))
     candidates = cut(path_candidates(calls, e.endpoints))
     rows = _null_safe(calls, known_nodes(e).select(F.col("node").alias("named"), F.lit(True).alias("known")), ["named"], "left")
     open_ = calls.filter("named is null")
@@ -135,7 +228,7 @@ def ruled_calls(e: Estate, config: Config) -> DataFrame:
     rows = _null_safe(rows, won, ["service", "hint", "method", "path"], "left")
     rows = rows.join(owners, ["service", "host"], "left")
     rows = _null_safe(rows, paths, ["service", "method", "path"], "left")
-    clear = (F.size("found") == 1) | (F.get("found", F.lit(0))["by"] < F.get("found", F.lit(1))["by"])
+    clear = (F.col("n_found") == 1) | (F.get("found", F.lit(0))["by"] < F.get("found", F.lit(1))["by"])
     hint = F.when(F.size("tops") == 1, "hint").when(F.col("won").isNotNull(), "hint+path")
     host = F.when(F.col("host").isNotNull(), F.when(F.col("owner").isNotNull(), "host-match").otherwise("literal-host"))
     path = F.when(F.coalesce(clear, F.lit(False)), "path-match")
@@ -145,12 +238,13 @@ def ruled_calls(e: Estate, config: Config) -> DataFrame:
     first = F.get("found", F.lit(0))
     target = F.when(F.col("outer").isNotNull(), fn.external_node("outer")).when(F.col("rule") == "named", F.col("named")).when(F.col("rule") == "hint", F.get("tops", F.lit(0))).when(F.col("rule") == "hint+path", F.col("won")).when(F.col("rule") == "host-match", F.col("owner")).when(F.col("rule") == "path-match", first["target"])
     rows = rows.withColumn("rule", rule).withColumn("outer", outer).withColumn("target", target)
-    return cut(_null_safe(rows, candidates, ["method", "path", "target"], "left").withColumn("ep", F.when(F.col("rule") == "path-match", first["ep"]).when(F.col("rule") != "literal-host", F.col("ep"))))
+    ruled = cut(_null_safe(rows, candidates, ["method", "path", "target"], "left").withColumn("ep", F.when(F.col("rule") == "path-match", first["ep"]).when(F.col("rule") != "literal-host", F.col("ep"))))
+    return ruled, candidates
 
 
 def resolve(e: Estate, config: Config = Config()) -> tuple[DataFrame, DataFrame]:
     """(resolved, issues): each resolved call once, with target, endpoint, resolution and confidence; and what was ambiguous or unresolved."""
-    rows = ruled_calls(e, config)
+    rows, candidates = ruled_calls(e, config)
     external, known = F.col("named").startswith("external:"), F.col("known").isNotNull()
     declared = F.col("explicit").isNotNull()
     name = F.when(declared, "declared").otherwise("config")
@@ -159,7 +253,7 @@ def resolve(e: Estate, config: Config = Config()) -> tuple[DataFrame, DataFrame]
     confidence = (
         F.when(F.col("rule") == "named", F.when(external, given).when(~known, F.least(given, F.lit(0.9))).otherwise(raised(given)))
         .when(F.col("rule").isin("hint", "hint+path"), raised(F.lit(0.8))).when(F.col("rule") == "host-match", raised(F.lit(0.7)))
-        .when(F.col("rule") == "literal-host", 0.9).when(F.size("found") == 1, 0.7).otherwise(0.6)
+        .when(F.col("rule") == "literal-host", 0.9).when(F.col("n_found") == 1, 0.7).otherwise(0.6)
     )
     resolved = rows.filter("rule is not null").withColumn("resolution", resolution).withColumn("confidence", confidence).select(*COLUMNS)
 
@@ -167,12 +261,14 @@ def resolve(e: Estate, config: Config = Config()) -> tuple[DataFrame, DataFrame]
         return df.select(F.lit("warn").alias("level"), F.lit(code).alias("code"), "service", message.alias("message"), "loc", "m_ord", "i_ord")
 
     tied = F.concat(F.lit('Hint "'), F.col("targetHint"), F.lit('" matches several services: '), F.concat_ws(", ", "tops"))
-    vague = F.concat(F.lit("Path "), F.col("path"), F.lit(" matches endpoints in several services: "), F.concat_ws(", ", F.col("found.target")), F.lit("; add a targets entry"))
+    vague = F.concat(F.lit("Path "), F.col("path"), F.lit(" matches endpoints in several services: "), F.concat_ws(", ", F.array_remove("names", F.col("service"))), F.lit("; add a targets entry"))
     hint = F.when(F.col("hint").isNotNull(), F.concat(F.lit(" (hint: "), F.col("targetHint"), F.lit(")"))).otherwise("")
     lost = F.concat(F.lit("Could not resolve target of "), F.coalesce("method", F.lit("HTTP")), F.lit(" "), F.col("url"), hint, F.lit(" from "), F.col("fromHandler"))
+    several = rows.filter("rule is null and n_found > 1")
+    told = _null_safe(several, named_paths(several, candidates, e.services), ["method", "path"], "inner")
     issues = [
         issue(rows.filter("named is null and size(tops) > 1 and won is null"), "call:ambiguous-hint", tied),
-        issue(rows.filter("rule is null and found is not null"), "call:ambiguous-path", vague),
+        issue(told, "call:ambiguous-path", vague),
         issue(rows.filter("rule is null"), "call:unresolved", lost),
     ]
     return resolved, reduce(DataFrame.unionByName, issues)

@@ -484,6 +484,7 @@ graph_query("qry_05_detail_edges", shown(f"SELECT {P} FROM edges WHERE kind = 'h
 graph_query("qry_06_target_services", shown("SELECT id, split_part(target, '#', 1) AS target_service FROM edges"))(lambda g: explore.target_services(g.edges, g.endpoints, g.handlers))
 _ENTRY = "WITH RECURSIVE {0}, st AS (SELECT DISTINCT service || '#' || id AS src, service || '#' || c AS dst FROM (SELECT service, id, unnest(calls) AS c FROM handlers) t), rh(entry, handler) AS (SELECT DISTINCT service || '#' || handler, service || '#' || handler FROM endpoints UNION SELECT rh.entry, st.dst FROM rh JOIN st ON st.src = rh.handler)"
 graph_query("qry_08_reachable_handlers", _ENTRY.format(tw.ESTATE) + " SELECT entry, handler FROM rh")(lambda g: explore.reachable_handlers(g.edges.filter("kind = 'internal'"), g.endpoints.select(fn.handler_node("service", "handler").alias("entry")).distinct()))
+graph_query("qry_08_reachable_counts", _ENTRY.format(tw.ESTATE) + " SELECT entry, count(*) AS n FROM rh GROUP BY entry")(lambda g: explore.reachable_counts(g.edges.filter("kind = 'internal'"), g.endpoints.select(fn.handler_node("service", "handler").alias("entry"))))
 _OUT = "ob AS (SELECT rh.entry, e.* FROM rh JOIN edges e ON (e.kind IN ('http', 'publish', 'declared') AND e.fromHandler = rh.handler) OR (e.kind = 'http-detail' AND e.source = rh.handler))"
 _IMPACT = _ENTRY.format(", ".join([tw.RESOLVED, *E_ALL])) + f", {_OUT}"
 
@@ -491,16 +492,14 @@ _IMPACT = _ENTRY.format(", ".join([tw.RESOLVED, *E_ALL])) + f", {_OUT}"
 @query("qry_09_outbound", _IMPACT + " SELECT entry, kind, count(*) AS n FROM ob GROUP BY ALL")
 def qry_09(spark, sf_dir):
     g = est.graph(spark, sf_dir)
-    reached = explore.reachable_handlers(g.edges.filter("kind = 'internal'"), g.endpoints.select(fn.handler_node("service", "handler").alias("entry")).distinct())
-    return explore.outbound_counts(g.edges, reached)
+    return explore.outbound_counts(g.edges, g.endpoints.select(fn.handler_node("service", "handler").alias("entry")))
 
 
 @query("qry_10_endpoint_impact", _IMPACT + " SELECT p.service || '#' || p.id AS endpoint, ob.kind, count(*) AS n FROM endpoints p JOIN ob ON ob.entry = p.service || '#' || p.handler GROUP BY ALL")
 def qry_10(spark, sf_dir):
     g = est.graph(spark, sf_dir)
     entries = g.endpoints.select(F.col("node").alias("endpoint"), fn.handler_node("service", "handler").alias("entry"))
-    reached = explore.reachable_handlers(g.edges.filter("kind = 'internal'"), entries.select("entry").distinct())
-    return entries.join(explore.outbound_counts(g.edges, reached), "entry").select("endpoint", "kind", "n")
+    return entries.join(explore.outbound_counts(g.edges, entries), "entry").select("endpoint", "kind", "n")
 
 
 _G = f"g AS (SELECT src AS source, dst AS target, src || '>' || dst AS id FROM {STATIC} x)"

@@ -39,10 +39,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def numbered(df: DataFrame, name: str, *order) -> DataFrame:
+def numbered(df: DataFrame, name: str, *order, kind: str = "int") -> DataFrame:
     """``df`` with its rows numbered from 1 in the given order, dealt over tasks by range; what one task sees is one number for each of them."""
     at = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("__row")))
     sizes = at.groupBy("__part").agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("__part", before.alias("__before"))
-    return at.join(starts, "__part").withColumn(name, (F.col("__before") + F.col("__row") + 1).cast("int")).drop("__part", "__row", "__before")
+    return at.join(starts, "__part").withColumn(name, (F.col("__before") + F.col("__row") + 1).cast(kind)).drop("__part", "__row", "__before")
