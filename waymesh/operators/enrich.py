@@ -5,12 +5,12 @@ from __future__ import annotations
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as fn
-from ..plans.session import numbered
+from ..plans.session import cut, numbered
 from .estate import Estate
 from .reach import reach
 
@@ -86,16 +86,11 @@ def split_cached(cut: DataFrame, cache: DataFrame, version: str, model: str) ->
     return cut.withColumn("key", key).join(cache.select("key", F.lit(True).alias("cached")), "key", "left").withColumn("cached", F.coalesce("cached", F.lit(False)))
 
 
-def packed(pending: DataFrame, limit: int = CHUNK_CHARS, group: str = "service", order: str = "ord", chars: str = "chars") -> DataFrame:
-    """Adds chunk: slices in order, a new chunk whenever the next would exceed the limit.
-
-    Where a chunk begins depends on all before it, so one service's sizes are taken in order by one task, which holds
-    one running number of them.
-    """
-    rows = pending.select(F.col(group).alias("g"), F.col(order).alias("o"), F.coalesce(F.col(chars).cast("long"), F.lit(0)).alias("n")).repartition("g").sortWithinPartitions("g", "o")
+def folded(rows: DataFrame, limit: int) -> DataFrame:
+    """(g, o, chunk) of rows (g, o, n): each group's sizes taken in order by one task, which holds one running number of them."""
 
     def fold(batches):
-        now, chunk, size = (), 0, 0
+        now, chunk, size, held = (), 0, 0, False
         for b in batches:
             out = []
             for g, n in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
@@ -108,8 +103,71 @@ def packed(pending: DataFrame, limit: int = CHUNK_CHARS, group: str = "service",
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.int32())], names=["g", "o", "chunk"])
 
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    found = rows.mapInArrow(fold, f"g {types['g']}, o {types['o']}, chunk int").distinct()
-    return pending.join(found.withColumnsRenamed({"g": group, "o": order}), [group, order])
+    return rows.repartition("g").sortWithinPartitions("g", "o", "n").mapInArrow(fold, f"g {types['g']}, o {types['o']}, chunk int")
+
+
+def running(rows: DataFrame, name: str, value: Column, *order: str) -> DataFrame:
+    """``rows`` with the running sum of ``value`` in each group g, in order; a group is dealt over tasks by range."""
+    dealt = cut(rows.withColumn(name, value).repartitionByRange("g", *order).withColumn("part", F.spark_partition_id()))
+    sums = dealt.groupBy("g", "part").agg(F.sum(name).alias("before"))
+    before = sums.select("g", "part", F.coalesce(F.sum("before").over(Window.partitionBy("g").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # as many rows of a group as tasks
+    inside = F.sum(name).over(Window.partitionBy("g", "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    near = dealt.withColumn(name, inside)
+    on = near["g"].eqNullSafe(before["g"]) & (near["part"] == before["part"])
+    return near.join(before, on).select(*(near[c] for c in rows.columns), (near[name] + before["before"]).alias(name))
+
+
+def pointed(rows: DataFrame, limit: int, max_rounds: int = 64) -> DataFrame:
+    """What :func:`folded` gives, for groups that are too large for one task.
+
+    Running sums place every slice. Where the chunk ends that would begin at a slice is how many sums don't exceed the sum
+    before it plus the limit: sums and these bounds are sorted together, and sums counted. From each group's first slice
+    the beginnings are found by doubling: in each round those known jump once, and then all jumps become twice as long.
+    """
+    placed = running(rows, "s", F.col("n"), "o", "n")
+    placed = cut(running(placed, "i", F.lit(1).cast("long"), "o", "n", "s"))
+    sums = placed.select("g", F.col("s").alias("v"), F.lit(0).alias("bound"), "i")
+    bounds = placed.select("g", (F.col("s") - F.col("n") + limit).alias("v"), F.lit(1).alias("bound"), "i")
+    met = running(sums.union(bounds), "fit", (1 - F.col("bound")).cast("long"), "v", "bound", "i").filter("bound = 1")
+    jump = cut(met.select("g", "i", F.greatest(F.col("fit"), F.col("i")).alias("j")).withColumn("j", F.col("j") + 1))
+    last = placed.groupBy("g").agg(F.max("i").alias("last"))
+    jump = cut(jump.join(last, jump["g"].eqNullSafe(last["g"])).filter("j <= last").select(jump["g"], "i", "j"))
+    begins = cut(placed.filter("i = 1").select("g", "i").distinct())
+    for _ in range(max_rounds):
+        a, b = begins, jump
+        new = a.join(b, a["g"].eqNullSafe(b["g"]) & (a["i"] == b["i"])).select(a["g"], b["j"].alias("i"))
+        if not new.limit(1).count():
+            break
+        begins = cut(begins.union(new).distinct())
+        x, y = jump, jump.select(F.col("g").alias("h"), F.col("i").alias("at"), F.col("j").alias("to"))
+        jump = cut(x.join(y, x["g"].eqNullSafe(y["h"]) & (x["j"] == y["at"])).select("g", "i", F.col("to").alias("j")))
+    starts = begins.withColumn("b", F.lit(1))
+    on = placed["g"].eqNullSafe(starts["g"]) & (placed["i"] == starts["i"])
+    marked = placed.join(starts, on, "left").select(placed["g"], placed["o"], placed["i"], F.coalesce("b", F.lit(0)).cast("long").alias("b"))
+    return running(marked, "chunk", F.col("b"), "i").select("g", "o", (F.col("chunk") - 1).cast("int").alias("chunk"))
+
+
+#: Slices of a service that one task takes in order.
+FOLD_ROWS = 1_000_000
+
+
+def packed(pending: DataFrame, limit: int = CHUNK_CHARS, group: str = "service", order: str = "ord", chars: str = "chars", fold_rows: int = FOLD_ROWS) -> DataFrame:
+    """Adds chunk: slices in order, a new chunk whenever the next would exceed the limit.
+
+    Where a chunk begins depends on all before it. One task folds the sizes of a service of up to ``fold_rows`` slices;
+    larger services are dealt over tasks (:func:`pointed`), with the same result. A missing size is 0; of slices with the
+    same place the smaller size comes first, and both are in the later one's chunk.
+    """
+    rows = cut(pending.select(F.col(group).alias("g"), F.col(order).alias("o"), F.coalesce(F.col(chars).cast("long"), F.lit(0)).alias("n")))
+    large = rows.groupBy("g").agg(F.count("*").alias("many")).filter(F.col("many") > fold_rows).select(F.col("g").alias("wide"))
+    if large.limit(1).count():
+        of = rows["g"].eqNullSafe(large["wide"])
+        found = folded(rows.join(large, of, "left_anti"), limit).union(pointed(rows.join(large, of, "left_semi"), limit))
+    else:
+        found = folded(rows, limit)
+    found = found.groupBy("g", "o").agg(F.max("chunk").alias("chunk"))
+    on = pending[group].eqNullSafe(found["g"]) & pending[order].eqNullSafe(found["o"])
+    return pending.join(found, on).select(*(pending[c] for c in pending.columns), "chunk")
 
 
 def batches(flows: DataFrame, order: str = "rank", size: int = FLOWS_PER_REQUEST) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
-from ..operators import build, diff, docs, enrich, explore, flows, reach, sequence, traces, validate
+from ..operators import build, diff, docs, enrich, explore, flows, reach, resolve, sequence, traces, validate
 from ..operators.estate import Config, conform
 from ..sources import manifests as src
 from . import estate as est
@@ -176,6 +176,25 @@ def found_rows(df: DataFrame) -> DataFrame:
 for _key, _names in RULES.items():
     graph_query(_key, tw.over_resolved(f"SELECT {FOUND} FROM resolved WHERE resolution IN ({', '.join(map(tw.q, _names))})"))(lambda g, names=_names: found_rows(g.resolved.filter(F.col("resolution").isin(*names))))
 graph_query("res_ep_endpoints", tw.over_resolved(f"SELECT {FOUND} FROM resolved WHERE ep IS NOT NULL"))(lambda g: found_rows(g.resolved.filter("ep is not null")))
+def many_targets() -> dict[str, str]:
+    """10,000 target keys by a rule: settings, hint names in capitals, and a pattern in every hundred."""
+    key = lambda i: f"/brand-{i // 100}\\D/" if i % 100 == 50 else f"CFG_{i // 2}" if i % 2 else f"nation_{i // 2}_url"
+    return {key(i): f"nation-{i % 25}" for i in range(10_000)}
+
+
+_MANY = f"""keys AS (SELECT i, CASE WHEN i % 100 = 50 THEN 'brand-' || (i // 100) || '\\D' WHEN i % 2 = 1 THEN 'cfg_' || (i // 2) ELSE 'nation_' || (i // 2) || '_url' END AS k FROM range(10000) t(i)),
+asked AS (SELECT service, id, i_ord, targetHint AS x FROM c UNION ALL SELECT service, id, i_ord, host FROM c UNION ALL SELECT service, id, i_ord, url FROM c),
+texts AS (SELECT DISTINCT x FROM asked WHERE x <> ''),
+hit AS (SELECT x, min(i) AS i FROM (SELECT x, i FROM texts JOIN keys ON lower(x) = k WHERE i % 100 <> 50 UNION ALL SELECT x, i FROM texts JOIN keys ON i % 100 = 50 AND regexp_matches(x, k, 'i')) t GROUP BY x)"""
+
+
+@query("res_b_many_targets", f"WITH {tw.ESTATE}, c AS (SELECT *, {tw.call_parts('url')['host']} AS host FROM calls), {_MANY} SELECT service, id, i_ord, 'nation-' || (min(i) % 25) AS value FROM asked JOIN hit ON hit.x = asked.x GROUP BY service, id, i_ord")
+def res_b_many(spark, sf_dir):
+    calls = resolve.parsed_calls(est.estate(spark, sf_dir).calls)
+    found = resolve.with_config_value(calls, Config(many_targets()))
+    return found.filter("value is not null").select("service", "id", "i_ord", "value")
+
+
 _hint = "SELECT 'warn' AS level, 'call:ambiguous-hint' AS code, service, 'Hint \"' || targetHint || '\" matches several services: ' || array_to_string(tops, ', ') AS message FROM ruled WHERE targetService IS NULL AND value IS NULL AND len(tops) > 1 AND won IS NULL"
 graph_query("res_ct_ambiguous_hints", tw.over_resolved(_hint))(lambda g: g.issues.filter("code = 'call:ambiguous-hint'").select(*ISSUE))
 _paths = "SELECT 'warn' AS level, 'call:ambiguous-path' AS code, service, 'Path ' || path || ' matches endpoints in several services: ' || array_to_string(who, ', ') || '; add a targets entry' AS message FROM ruled WHERE rule IS NULL AND n > 1"
