@@ -84,7 +84,7 @@ _resident: dict = {}
 def resident(key, make):
     """What a worker process keeps between its tasks: one thing at a time, so that stages of a pipeline don't add up."""
     if key not in _resident:
-        _resident.clear()
+        release()
         _resident[key] = make()
     return _resident[key]
 

@@ -22,6 +22,7 @@ file and an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import json
+import os
 import re
 import struct
 import uuid
@@ -48,8 +49,8 @@ LEVEL = 3
 #: Rows of one file at most, about.
 FILE_ROWS = 1 << 16
 #: Pre-tokens a worker remembers at most, and characters it takes at a time.
-CACHE = 1_000_000
-PIECE_CHARS = 1_500_000
+CACHE = 300_000
+PIECE_CHARS = 500_000
 
 #: Fixed value: how the byte-level vocabulary cuts a text into pre-tokens.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -134,6 +135,7 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; more threads only hold memory
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.lib = Tokenizer.from_file(path)
