@@ -81,3 +81,51 @@ def test_more_patterns(spark):
     assert ("Leaf.Run", "Root.Save") in graph and ("lib/pipe.ts:start", "util/go.ts:go") in graph
     targets = spark.createDataFrame([("yard", "PAY:URL", "payments")], "service string, key string, target string")
     assert ("payments",) in rows(extract.with_targets(extract.refit(f), targets), "targetService")
+
+
+SCOPES = {
+    "Calls.cs": 'public class Calls { private readonly HttpClient _http; async Task A() { var url = $"/a/{x.Id}"; await _http.GetAsync(url); } async Task B() { var url = "/b"; await _http.GetAsync(url); } async Task C(string url) { await _http.PutAsync(url, 1); } async Task D() { string url = Make(); var go = () => { var inner = "/d"; }; await _http.DeleteAsync(url); } }',
+    "two.ts": "export async function one() { const path = `/one/${a.b.id}`; return fetch(path); }\nexport async function two() { const path = '/two'; return fetch(path, { method: 'POST' }); }\nexport async function three(path: string) { return fetch(path, { method: 'PUT' }); }\n",
+}
+
+
+def test_variables_of_one_name_in_several_units(spark):
+    f = parse_sources(spark.createDataFrame([("s", n, t) for n, t in SCOPES.items()], "service string, file string, text string"))
+    assert rows(extract.outbound(f), "fromHandler", "method", "url") == {
+        ("Calls.A", "GET", "/a/{Id}"), ("Calls.B", "GET", "/b"), ("Calls.C", "PUT", "{url}"), ("Calls.D", "DELETE", "{url}"),
+        ("two.ts:one", "GET", "/one/{id}"), ("two.ts:two", "POST", "/two"), ("two.ts:three", "PUT", "{path}"),
+    }
+    assert ("Calls.D", "inner", "/d") in rows(extract.local_urls(f), "unit", "name", "url")
+
+
+def test_bases_in_their_order(spark):
+    """The first base and all its bases come before the second, whatever the depth; circles end."""
+    text = """public class A : Deep { } public class Deep { public void Save() { } public void Load() { } } public class B { public void Save() { } public void Gone() { } }
+    public class C : A, B { public void Run() { Save(); Load(); Gone(); } } public class D : B, A { public void Run() { Save(); } }
+    public class X : Y { public void Run() { Save(); Other(); } } public class Y : X, B { void Other() { } }"""
+    f = parse_sources(spark.createDataFrame([("s", "All.cs", text)], "service string, file string, text string"))
+    graph = rows(extract.call_graph(f), "caller", "callee")
+    assert graph == {("C.Run", "Deep.Save"), ("C.Run", "Deep.Load"), ("C.Run", "B.Gone"), ("D.Run", "B.Save"), ("X.Run", "B.Save"), ("X.Run", "Y.Other")}
+    order = {r.owner: r.key for r in extract.linearised(f.types).filter("type = 'C'").collect()}
+    assert sorted(order, key=order.get) == ["C", "A", "Deep", "B"]
+
+
+KINDS = {
+    "PayGateway.cs": 'public class PayGateway { private readonly HttpClient _http; public async Task Go() { await _http.GetAsync("/p"); } }',
+    "Helper.cs": 'public class Helper { private readonly HttpClient _http; public async Task Go() { await _http.GetAsync("/h"); } } public class Start { void S() { services.AddHttpClient<Typed>(); } } public class Typed { private readonly HttpClient _http; public async Task Go() { await _http.GetAsync("/t"); } }',
+    "src/ordersApi.ts": "export async function load() { return fetch('/o'); }\nexport class Loader { async all() { return fetch('/all'); } }\n[1].map(async () => { await fetch('/anon'); });\n",
+    "src/view.tsx": "export async function View() { return fetch('/v'); }\n",
+    "src/batch.ts": "const consumer = kafka.consumer({ groupId: 'g' });\nexport async function start() {\n  await consumer.subscribe({ topic: 'in' });\n  await consumer.run({ eachBatch: async ({ batch }) => { await producer.send({ topic: 'out', messages: [] }); } });\n}\n",
+}
+
+
+def test_kinds_of_handlers(spark):
+    f = parse_sources(spark.createDataFrame([("s", n, t) for n, t in KINDS.items()], "service string, file string, text string"))
+    e = extract.assemble(f, extract.infer_services(f))
+    kinds = {r.id: r.kind for r in e.handlers.collect()}
+    named = {k: v for k, v in kinds.items() if "anon@" not in k}
+    assert named == {"PayGateway.Go": "client", "Helper.Go": "service", "Typed.Go": "client", "src/ordersApi.ts:load": "client", "Loader.all": "service", "src/view.tsx:View": "service"} | {k: "other" for k in named if k.endswith("<module>")}
+    lambdas = {k: v for k, v in kinds.items() if "anon@" in k}
+    assert sorted(lambdas.values()) == ["message", "other"]
+    consumers, publishes = extract.messages(f)
+    assert rows(consumers, "topic", "group", "handler") == {("in", "g", next(k for k, v in lambdas.items() if v == "message"))} and rows(publishes, "topic") == {("out",)}

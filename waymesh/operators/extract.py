@@ -162,9 +162,11 @@ def script_routes(f: Facts) -> DataFrame:
 
 NET = "^(Get|Post|Put|Patch|Delete)Async$|^Get(String|Stream|ByteArray|FromJson)Async$|^(Post|Put|Patch)AsJsonAsync$|^DeleteFromJsonAsync$|^Send(Async)?$"
 JAVA = {"getForObject": "GET", "getForEntity": "GET", "postForObject": "POST", "postForEntity": "POST", "postForLocation": "POST", "patchForObject": "PATCH", "put": "PUT", "delete": "DELETE", "headForHeaders": "HEAD", "optionsForAllow": "OPTIONS", "exchange": "ANY", "execute": "ANY"}
-#: What the declared type, or else the name, of an HTTP client looks like.
-CLIENT_TYPE = "HttpClient|HttpService|AxiosInstance|RestTemplate|RestOperations|WebClient|RestClient|OkHttpClient|Got|KyInstance"
+#: What the declared type, or else the name, of an HTTP client looks like; types that are clients by their own name; scripts whose free functions are.
+CLIENT_TYPE = "HttpClient|HttpService|AxiosInstance|RestTemplate|WebClient|RestClient|OkHttpClient|IHttpClientFactory|Got|KyInstance"
 CLIENT_NAME = "(?i)rest|http|client|web"
+CLIENT_OWN_NAME = "Client|Gateway|Proxy|Api$|ApiService$|Connector|Adapter"
+CLIENT_SCRIPT = r"(?i)(client|gateway|api|sdk)s?\.[jt]sx?$"
 LITERAL = r"""^(?:[$]@|@[$]|[$]|@)?"(.*)"$|^`(.*)`$|^'(.*)'$"""
 
 
@@ -176,11 +178,18 @@ def receiver_types(calls: DataFrame, f: Facts) -> DataFrame:
     return calls.withColumn("__r", name("receiver")).join(p, ["service", "unit", "__r"], "left").join(m, ["service", "type", "__r"], "left").withColumn("rtype", F.coalesce("__pt", "__mt")).drop("__r", "__pt", "__mt")
 
 
+#: A variable that is given a value, and the value; the next declaration may lie inside it.
+DECLARED = r"\b(?:var|string|const|let|final\s+String|String)\s+(\w+)\s*=\s*(?=([^;]+);)"
+
+
 def local_urls(f: Facts) -> DataFrame:
-    """(service, file, name, url): variables whose value is one literal, with its placeholders by their last names."""
+    """(service, unit, name, url): for each variable that a unit's body declares the value of its first declaration there: the literal, with its placeholders by their last names, or the variable as a placeholder. Other units' variables of that name are others."""
+    group = lambda i: F.regexp_extract_all("body", F.lit(DECLARED), F.lit(i))
+    told = f.units.filter(F.col("body").rlike(DECLARED)).select("service", c("id").alias("unit"), F.posexplode(F.arrays_zip(group(1).alias("name"), group(2).alias("value"))).alias("at", "x"))
+    first = told.groupBy("service", "unit", c("x.name").alias("name")).agg(F.min_by(fn.trimmed("x.value"), "at").alias("value"))
     inner = F.coalesce(*(fn.found("value", LITERAL, i) for i in (1, 2, 3)))
     last = r"\$?\{(?:[^{}]*?[.])?_*(\w+)[^{}.]*\}"
-    return f.fields.withColumn("url", fn.sub(inner, last, "{$1}")).filter("url is not null").groupBy("service", "file", "name").agg(F.min_by("url", "ord").alias("url"))
+    return first.select("service", "unit", "name", F.coalesce(fn.sub(inner, last, "{$1}"), F.concat(F.lit("{"), "name", F.lit("}"))).alias("url"))
 
 
 def registrations(f: Facts) -> DataFrame:
@@ -237,7 +246,7 @@ def outbound_rows(f: Facts) -> DataFrame:
     rows = reduce(DataFrame.unionByName, [fetched, plain, axios, net, web, rest]).withColumn("target", F.get("args", F.lit(0)))
     rows = cut(resolved(rows, "target", f, "url"))
     # URLs: literals and constants; a local variable's literal; a name as a placeholder; request messages; else dynamic
-    rows = rows.withColumn("name", F.substring_index("target.raw", ".", -1)).join(local_urls(f).withColumnRenamed("url", "local_url"), ["service", "file", "name"], "left").join(requests(f), ["service", "unit"], "left")
+    rows = rows.withColumn("name", F.substring_index("target.raw", ".", -1)).join(local_urls(f).withColumnRenamed("url", "local_url"), ["service", "unit", "name"], "left").join(requests(f), ["service", "unit"], "left")
     sent = c("method").isin("Send", "SendAsync") & (c("language") == "csharp")
     url = F.when(sent & c("r_url").isNotNull(), c("r_url")).otherwise(F.coalesce("url", "local_url", F.when(c("target.kind") == "ident", F.concat(F.lit("{"), fn.sub("name", "^_+"), F.lit("}")))))
     rows = rows.withColumn("verb", F.when(sent, F.coalesce("r_verb", "verb")).otherwise(c("verb"))).withColumn("url", url)
@@ -314,7 +323,8 @@ def messages(f: Facts) -> tuple[DataFrame, DataFrame]:
     heard = f.types.select("service", c("name").alias("type"), F.explode("bases").alias("base")).withColumn("message", fn.found("base", "^IConsumer<(.+)>$")).filter("message is not null")
     mass = f.units.filter("name = 'Consume' and language = 'csharp'").select("service", "file", "id", "type", "line").join(heard, ["service", "type"])
     consumers.append(shape(mass, "unknown", literal(c("message")), c("id")))
-    running = k.filter(script & c("method").isin("run")).select("service", "file", "receiver", F.try_element_at("named", F.lit("eachMessage"))["raw"].alias("body"), "unit").dropDuplicates(["service", "file", "receiver"])
+    given = F.coalesce(*(F.try_element_at("named", F.lit(n))["raw"] for n in ("eachMessage", "eachBatch")))
+    running = k.filter(script & c("method").isin("run")).withColumn("body", given).filter("body is not null").groupBy("service", "file", "receiver").agg(F.min_by("body", F.struct("line", "c_ord")).alias("body"))
     anon = f.units.filter("kind = 'anonymous'").select("service", "file", c("id").alias("anon"), c("body").alias("a_body"))
     each = running.join(anon, ["service", "file"]).filter(F.contains("body", "a_body")).groupBy("service", "file", "receiver").agg(F.max_by("anon", F.length("a_body")).alias("each"))
     groups = f.fields.withColumn("g", fn.found("value", r"groupId\s*:\s*['\"]([^'\"]+)")).filter("g is not null").select("service", "file", c("name").alias("receiver"), "g").distinct()
@@ -363,14 +373,32 @@ NOISY = """get post put patch delete send subscribe publish consume run connect
 resolve reject Parse parse stringify Select Where First FirstOrDefault ToList ToArray Any Count Equals GetType Dispose Start Stop ReadAsync WriteAsync Subscribe Produce ProduceAsync Consume""".split()
 
 
+def linearised(types: DataFrame, max_rounds: int = 1000) -> DataFrame:
+    """(service, type, owner, key): each type and all that it is built on, in the order of a walk into the first base and all its bases before the second.
+
+    The key holds the places of bases from the type on; keys sort like the walk, a prefix first. Of several ways to one
+    owner the first counts, and a way that returns to a type already on it ends.
+    """
+    bases = types.groupBy("service", "name").agg(F.min_by("bases", F.struct("file", "ord")).alias("bases"))
+    steps = cut(bases.select("service", c("name").alias("of"), F.posexplode("bases").alias("place", "b")).select("service", "of", "place", fn.strip_generics("b").alias("base")))
+    known = cut(bases.select("service", c("name").alias("type"), c("name").alias("owner"), F.array().cast("array<int>").alias("key"), F.array("name").alias("way")))
+    frontier = known
+    for _ in range(max_rounds):
+        on = (frontier["service"] == steps["service"]) & (frontier["owner"] == steps["of"])
+        new = frontier.join(steps, on).filter(~F.array_contains("way", c("base"))).select(frontier["service"], "type", c("base").alias("owner"), F.concat("key", F.array("place")).alias("key"), F.concat("way", F.array("base")).alias("way"))
+        new = new.groupBy("service", "type", "owner").agg(F.min(F.struct("key", "way")).alias("x")).select("service", "type", "owner", "x.key", "x.way")
+        before = known.select("service", "type", "owner", c("key").alias("__key"))
+        frontier = cut(new.join(before, ["service", "type", "owner"], "left").filter("__key is null or key < __key").drop("__key"))
+        if not frontier.limit(1).count():
+            return known.select("service", "type", "owner", "key")
+        known = cut(known.union(frontier).groupBy("service", "type", "owner").agg(F.min(F.struct("key", "way")).alias("x")).select("service", "type", "owner", "x.key", "x.way"))
+    raise RuntimeError(f"still growing after {max_rounds} rounds")
+
+
 def methods_of_types(f: Facts) -> DataFrame:
-    """(service, type, method, callee): what a method of a type is, its own or that of the nearest type it is built on."""
-    node = lambda x: F.concat_ws("\0", "service", x)
-    bases = f.types.select("service", "name", F.explode("bases").alias("b")).select(node("name").alias("src"), node(fn.strip_generics("b")).alias("dst"))
-    seeds = f.types.select(node("name").alias("seed"), node("name").alias("node"))
-    above = reach(bases, seeds).select(F.split("seed", "\0")[0].alias("service"), F.split("seed", "\0")[1].alias("type"), F.split("node", "\0")[1].alias("owner"), "depth")
+    """(service, type, method, callee): what a method of a type is: its own, or that of the first type with one in the order of :func:`linearised`."""
     own = f.units.filter("type is not null and name is not null").select("service", c("type").alias("owner"), c("name").alias("method"), c("id").alias("callee"), "abstract", "file", "ord")
-    return above.join(own, ["service", "owner"]).groupBy("service", "type", "method").agg(F.min_by("callee", F.struct("depth", "abstract", "file", "ord")).alias("callee"))
+    return linearised(f.types).join(own, ["service", "owner"]).groupBy("service", "type", "method").agg(F.min_by("callee", F.struct("key", "abstract", "file", "ord")).alias("callee"))
 
 
 def typed_methods(f: Facts, methods: DataFrame) -> DataFrame:
@@ -427,7 +455,14 @@ def call_graph(f: Facts) -> DataFrame:
     return best.union(passed).union(nested).filter("caller <> callee").distinct()
 
 
-CLIENT = r"(?i)(client|gateway|api|proxy|connector)$"
+def client_types(f: Facts) -> DataFrame:
+    """(service, type): types that call other services: by their name, as declared clients (Feign, Refit), or because they are registered as typed clients."""
+    controller = F.exists("attrs", lambda a: a["name"] == "Controller")
+    by_name = f.types.filter(c("name").rlike(CLIENT_OWN_NAME) & ~c("name").rlike("Controller") & ~controller).select("service", c("name").alias("type"))
+    declared = attribute_rows(f.types, "name").filter(c("attr").isin("FeignClient", "HttpExchange")).select("service", c("name").alias("type"))
+    refits = refit(f).select("service", F.element_at(F.split("fromHandler", r"\."), -2).alias("type"))
+    typed = f.calls.filter(c("method").isin("AddHttpClient", "AddRefitClient", "AddHttpApi")).select("service", F.get(F.filter(F.split("targs", r"\s*,\s*"), lambda x: x != ""), F.lit(0)).alias("type"))
+    return reduce(DataFrame.union, [by_name, declared, refits, typed]).filter("type is not null").distinct()
 
 
 def assemble(f: Facts, services: DataFrame, prune: bool = True, targets: DataFrame | None = None) -> Estate:
@@ -450,7 +485,9 @@ def assemble(f: Facts, services: DataFrame, prune: bool = True, targets: DataFra
     if prune:
         u = u.join(keep, "node", "left_semi")
     u = u.join(flag(endpoints, "is_http"), "node", "left").join(flag(consumers, "is_message"), "node", "left")
-    client = c("type").rlike(CLIENT) | c("file").rlike(r"(?i)(client|api|gateway)[^/]*$") | c("file").rlike(r"\.(tsx|jsx)$")
+    u = u.join(client_types(f).withColumn("is_client", F.lit(True)), ["service", "type"], "left")
+    free = c("type").isNull() & ~c("kind").isin("module", "anonymous")
+    client = c("is_client") | free & c("file").rlike(CLIENT_SCRIPT)
     kind = F.when(c("is_http"), "http").when(c("is_message"), "message").when(client, "client").when(c("kind").isin("module", "anonymous"), "other").otherwise("service")
     known = u.select("service", c("id").alias("callee"))
     to = graph.join(known, ["service", "callee"], "left_semi").groupBy("service", c("caller").alias("id")).agg(F.sort_array(F.collect_set("callee")).alias("to"))

@@ -285,9 +285,9 @@ class Parser:
         self.calls_in(i, stop, module)
         return max(stop + (self.tok(stop) == ";"), i + 1)
 
-    def initial(self, name: int, a: int, b: int, owner: str | None, type: str = "") -> None:
+    def initial(self, name: int, a: int, b: int, owner: str | None, type: str = "", constant: bool = True) -> None:
         v = self.value(a, b)
-        if v["kind"] == "string":
+        if constant and v["kind"] == "string":
             self.constants.append({"type": owner, "name": self.tok(name), "value": v["text"]})
         self.fields.append({"type": owner, "name": self.tok(name), "of": type, "value": v["raw"]})
 
@@ -507,10 +507,10 @@ class Parser:
             if self.script and self.tok(i) in ("const", "let", "var") and self.tok(i + 2) == "=":
                 stop = self.expression_end(i + 3, end)
                 if self.lambda_at(i + 3, stop) is None:
-                    self.initial(i + 1, i + 3, stop, None)
+                    self.initial(i + 1, i + 3, stop, None, constant=unit.kind == "module")  # a function's variable is no constant of others
             elif not self.script and t == "var" and self.tok(i + 2) == "=":
                 stop = self.expression_end(i + 3, end)
-                self.initial(i + 1, i + 3, stop, None)
+                self.initial(i + 1, i + 3, stop, None, constant=unit.kind == "module")  # a function's variable is no constant of others
             i += 1
 
     def call(self, name: int, paren: int, targs: str, unit: Unit) -> dict:
