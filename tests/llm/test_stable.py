@@ -88,3 +88,12 @@ def test_conversion_reads_markup_as_browsers_do():
     meta, text = warc.derive(warc.response("1", "http://a.example/", f"<head><title>T</title><body>{block}"))
     assert warc.parse(text)[1] == b"word\nword\nword"
     assert json.loads(warc.parse(meta)[1])["Envelope"]["Payload-Metadata"]["HTTP-Response-Metadata"]["HTML-Metadata"]["Head"]["Title"] == "T"
+
+
+def test_elements_left_out_of_conversions():
+    read = warc.plain_text
+    assert read("<div><object>in</div>after<object>x<object>y</object>z</object>end") == "after\nend".replace("after\nend", "afterend")
+    assert read("<noscript><p>no</p></noscript><p>a</p><template><div>t</div></template>b<svg><title>s</title><text>u</text></svg>c") == "a\nbc"
+    assert read("<TITLE>a <p> b</TITLE><P>x</P><select><option>o<p>y</select>") == "x\ny"
+    assert read("<p>a<textarea>t<p></textarea>b</p><script>never closed <p>c") == "a b"
+    assert read("<head><style>p{}</style><script>'<p>'</script>") == ""

@@ -138,8 +138,7 @@ class Region:
 class Lines:
     """The lines of a page in order: text, linked characters, whether an article or main element holds it, and its region. A gap has no text."""
 
-    def __init__(self, page: str, plain: bool = False):
-        self.plain = plain  # all elements count alike but those that never show text
+    def __init__(self, page: str):
         self.rows: list[tuple[str, int, bool, Region]] = []
         self.page = Region(None)
         self.regions = [self.page]
@@ -232,9 +231,6 @@ class Lines:
         self.links += name == "a"
         if self.hidden:
             return
-        if self.plain:
-            self.hidden = name in HIDDEN
-            return
         if unseen or name in FURNITURE or name == "header" and not self.main or any(w.startswith("role:") for w in words):
             if name in BLOCKS or name == "button":
                 self.flush()
@@ -299,6 +295,75 @@ class Lines:
         self.flush()
 
 
+def shown_lines(page: str) -> list[str]:
+    """All text outside of elements that never show any, a line for each block, with single spaces.
+
+    An element that is left out ends with its end tag, with the element around it, or, if a block element can't be in it
+    (a head whose end tag is omitted), where such an element begins.
+    """
+    rows, buffer, at, end, dead = [], [], 0, len(page), set()
+    hidden, inside = "", Counter()
+
+    def flush():
+        if buffer:
+            text = " ".join(html.unescape("".join(buffer)).split())
+            buffer.clear()
+            if text:
+                rows.append(text)
+
+    while at < end:
+        lt = page.find("<", at)
+        if not hidden and lt != at:
+            buffer.append(page[at : lt if lt >= 0 else end])
+        if lt < 0:
+            break
+        m = NAME.match(page, lt + 1)
+        if m is None:
+            comment = page.startswith("<!--", lt)
+            if comment or page.startswith(("<!", "<?", "</"), lt):
+                stop = page.find("-->", lt + 2) if comment else page.find(">", lt)
+                at = stop + (3 if comment else 1) if stop >= 0 else end
+            else:
+                if not hidden:
+                    buffer.append("<")
+                at = lt + 1
+            continue
+        name, closes, at = m[2].lower(), m[1], m.end()
+        if page.startswith(">", at):
+            at += 1
+        elif (at := tag_end(page, at, dead)) < 0:
+            break
+        if name in RAW and not closes:
+            stop = raw_end(name).search(page, at)
+            if stop:
+                after = page.find(">", stop.end())
+                at = after + 1 if after >= 0 else end
+            elif name in ("script", "style"):
+                at = end
+            if not hidden:
+                buffer.append(" ")
+            continue
+        block = name in BLOCKS
+        if hidden:
+            if closes:
+                over = name == hidden and not inside[name] or block and not inside[name]
+                inside[name] -= 1
+            else:
+                over = block and hidden in BROKEN
+                inside[name] += 1
+            if over:
+                hidden = ""
+            else:
+                continue
+        elif not closes and name in HIDDEN:
+            hidden, inside = name, Counter()
+            continue
+        if block or name in ("br", "hr"):
+            flush()
+    flush()
+    return rows
+
+
 @lru_cache(maxsize=16)
 def raw_end(name: str) -> re.Pattern:
     return re.compile(rf"</{name}(?=[\s/>])", re.I | re.A)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import batch_of, filesystem, qualified, scratch, small_batches, written
-from .htmltext import ATTRIBUTE, Lines, tag_end
+from .htmltext import ATTRIBUTE, shown_lines, tag_end
 
 VERSION = "WARC/1.1"
 DATE = "2024-01-01T00:00:00Z"
@@ -173,7 +173,7 @@ def links(found: list[tuple[str, dict[str, str]]]) -> list[dict[str, str]]:
 
 def plain_text(page: str) -> str:
     """All text outside of elements that never show any, a line for each block, white space inside a line made one space."""
-    return "\n".join(row[0] for row in Lines(page, plain=True).rows if row[0])
+    return "\n".join(shown_lines(page))
 
 
 def derive(data: bytes) -> tuple[bytes, bytes]:
