@@ -465,12 +465,52 @@ def client_types(f: Facts) -> DataFrame:
     return reduce(DataFrame.union, [by_name, declared, refits, typed]).filter("type is not null").distinct()
 
 
-def assemble(f: Facts, services: DataFrame, prune: bool = True, targets: DataFrame | None = None) -> Estate:
-    """An estate (tables of manifests) from facts. Handlers are kept if they begin something, do something outside, or lie between. ``targets``: settings (service, key, target) that name the service behind a hint."""
-    endpoints = cut(reduce(DataFrame.unionByName, [controllers(f), minimal_apis(f), script_routes(f)]))
-    plain = cut(outbound_rows(f))
-    calls = cut(with_targets(reduce(DataFrame.unionByName, [plain.drop("dynamic"), feign(f), refit(f)]), targets))
-    consumers, publishes = map(cut, messages(f))
+#: What extractors find, by the table that they give; every one of them can be left out or added to.
+EXTRACTORS = {
+    "endpoints": {"controllers": controllers, "minimal-apis": minimal_apis, "script-routes": script_routes},
+    "calls": {"http-clients": outbound_rows, "feign": feign, "refit": refit},
+    "consumers": {"messages": lambda f: messages(f)[0]},
+    "publishes": {"messages": lambda f: messages(f)[1]},
+}
+_MESSAGE = "service string, type string, broker string, exchange string, routingKey string, group string, handler string, file string, line int, topic string, topic_known boolean"
+FOUND = {"endpoints": "service string, method string, path string, handler string, file string, line int", "calls": "service string, method string, url string, targetHint string, fromHandler string, file string, line int, dynamic string", "consumers": _MESSAGE, "publishes": _MESSAGE}
+
+
+def extracted(f: Facts, extractors: dict = EXTRACTORS, disabled: DataFrame | None = None) -> tuple[dict[str, DataFrame], list[tuple[str, str]]]:
+    """(rows by table, failures (extractor, message)). Each extractor runs by itself: one that fails gives no rows, and the others' stay. ``disabled``: (service, name), whose rows go."""
+    spark, found, failed = f.files.sparkSession, {}, {}
+    for table, columns in FOUND.items():
+        names = [x.split(" ")[0] for x in columns.split(", ")]
+        parts = [spark.createDataFrame([], columns)]
+        for name, extract in extractors.get(table, {}).items():
+            try:
+                rows = extract(f)
+                rows = cut(rows.select(*(F.col(f"`{n}`") if n in rows.columns else F.lit(None).alias(n) for n in names)))
+            except Exception as e:  # whatever an extractor does wrong is told, and costs only its own rows
+                failed.setdefault(name, f"{type(e).__name__}: {str(e).strip().splitlines()[0] if str(e).strip() else ''}"[:300])
+                continue
+            if disabled is not None:
+                rows = rows.join(disabled.filter(c("name") == name).select("service").distinct(), "service", "left_anti").select(*rows.columns)
+            parts.append(rows)
+        found[table] = cut(reduce(DataFrame.unionByName, parts))
+    return found, list(failed.items())
+
+
+def assemble(f: Facts, services: DataFrame, prune: bool = True, targets: DataFrame | None = None, extractors: dict = EXTRACTORS, settings: DataFrame | None = None) -> Estate:
+    """An estate (tables of manifests) from facts. Handlers are kept if they begin something, do something outside, or lie between.
+
+    ``targets``: (service, key, target) that name the service behind a hint. ``settings``: rows of ``trees.read_settings``,
+    by service id; they add targets, declared dependencies and extractors that are left out.
+    """
+    told, disabled = None, None
+    if settings is not None:
+        own = settings.select("service", F.explode("targets").alias("key", "target"))
+        targets = own if targets is None else targets.select("service", "key", "target").union(own)
+        disabled = settings.select("service", F.explode("disable").alias("name"))
+        told = settings.select("service", F.posexplode("declared").alias("i_ord", "d")).select("service", "i_ord", c("d.service").alias("dep_service"), c("d.reason").alias("reason"))
+    found, failed = extracted(f, extractors, disabled)
+    endpoints, plain, consumers, publishes = (found[t] for t in FOUND)
+    calls = cut(with_targets(plain.drop("dynamic"), targets))
     graph = cut(call_graph(f))
     node = lambda x: F.concat_ws("\0", "service", x)
     steps = graph.select(node("caller").alias("src"), node("callee").alias("dst"))
@@ -507,15 +547,38 @@ def assemble(f: Facts, services: DataFrame, prune: bool = True, targets: DataFra
     pubs = number(unique(publishes.filter("topic_known"), F.concat_ws(":", "handler", "broker", "topic")), ["id"]).withColumnRenamed("handler", "fromHandler")
     open_ = lambda df, what: df.filter("not topic_known").select("service", "file", "line", "handler", F.when(c("broker") == "rabbitmq", F.lit(f"unresolved-{what}")).otherwise(F.lit("unresolved-topic")).alias("code"))
     unresolved = open_(consumers, "queue").union(open_(publishes, "exchange"))
-    bad = f.files.filter("issue is not null").select("service", F.when(c("issue").startswith("parse-failed"), "warn").otherwise("info").alias("level"), F.split_part("issue", F.lit(":"), F.lit(1)).alias("code"), c("issue").alias("message"), "file", F.lit(1).alias("line"))
+    bad = f.files.filter("issue is not null").select("service", F.when(c("issue").rlike("^(parse|read)-failed"), "warn").otherwise("info").alias("level"), F.split_part("issue", F.lit(":"), F.lit(1)).alias("code"), c("issue").alias("message"), "file", F.lit(1).alias("line"))
     issues = bad.unionByName(unresolved.select("service", F.lit("warn").alias("level"), "code", F.concat(F.lit("topic of "), "handler", F.lit(" is not a constant")).alias("message"), "file", "line"))
     issues = issues.unionByName(dynamic_routes(f)).unionByName(plain.filter("dynamic is not null").select("service", F.lit("info").alias("level"), F.lit("dynamic-url").alias("code"), c("dynamic").alias("message"), "file", "line"))
+    if failed:
+        why = F.explode(F.array(*(F.lit(f"{name}: {message}") for name, message in failed))).alias("message")
+        issues = issues.unionByName(services.select(c("id").alias("service"), F.lit("error").alias("level"), F.lit("plugin-failed").alias("code"), why, F.lit("").alias("file"), F.lit(0).alias("line")))
     issues = number(issues, ["file", "line", "code"])
-    return estate_of(handlers.sparkSession, services=services, handlers=handlers, **{n: df.withColumn("loc", F.struct("file", c("line").cast("int").alias("line"))) for n, df in (("endpoints", eps), ("calls", outs), ("consumers", cons), ("publishes", pubs), ("issues", issues))})
+    more = {} if told is None else {"declared": told.join(order, "service")}
+    return estate_of(handlers.sparkSession, services=services, handlers=handlers, **more, **{n: df.withColumn("loc", F.struct("file", c("line").cast("int").alias("line"))) for n, df in (("endpoints", eps), ("calls", outs), ("consumers", cons), ("publishes", pubs), ("issues", issues))})
+
+
+def identified(df: DataFrame, settings: DataFrame | None = None) -> DataFrame:
+    """``df`` with the id of each service in place of its repository's name: that of the settings, or else made from the name."""
+    if settings is None:
+        return df.withColumn("service", fn.service_slug("service"))
+    ids = settings.select(c("service").alias("__s"), c("id").alias("__id"))
+    return df.join(ids, df["service"] == ids["__s"], "left").withColumn("service", F.coalesce(fn.truthy("__id"), fn.service_slug("service"))).drop("__s", "__id")
+
+
+def infer_services(f: Facts, settings: DataFrame | None = None) -> DataFrame:
+    """(m_ord, id, name, layer, language) for each service of the files: its layer from its name, its language from most of its files. What ``settings`` (by service id) say comes first, and adds owner, repo, description, tags and frameworks."""
+    out = inferred_services(f)
+    if settings is None:
+        return out
+    s = settings.select(c("service").alias("id"), *(c(x).alias(f"__{x}") for x in ("name", "layer", "language", "owner", "repo", "description", "tags", "frameworks")))
+    out = out.join(s, "id", "left")
+    layer = F.when(c("__layer").isNull(), c("layer")).when(c("__layer").isin(*fn.LAYERS), c("__layer")).otherwise("unknown")
+    given = [c(f"__{x}").alias(x) for x in ("owner", "repo", "description", "tags", "frameworks")]
+    return out.select("m_ord", "id", F.coalesce("__name", "name").alias("name"), layer.alias("layer"), F.coalesce("__language", "language").alias("language"), *given)
 
 
-def infer_services(f: Facts, names: DataFrame | None = None) -> DataFrame:
-    """(m_ord, id, name, layer, language) for each service of the files: its layer from its name, its language from most of its files."""
+def inferred_services(f: Facts) -> DataFrame:
     n = f.files.filter("language <> ''").groupBy("service", "language").agg(F.count("*").alias("k"))
     top = n.groupBy("service").agg(F.max_by("language", F.struct("k", "language")).alias("language"))
     return top.select((F.row_number().over(Window.orderBy("service")) - 1).alias("m_ord"), fn.service_slug("service").alias("id"), c("service").alias("name"), fn.infer_layer("service").alias("layer"), "language")

@@ -89,17 +89,6 @@ def read_enrichment(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFr
     return services, read.option("pathGlobFilter", "flows.enrich.json").schema(FLOW_ENRICHMENT).json(folder)
 
 
-def read_sources(spark: SparkSession, root: str, suffixes: list[str] = SOURCE_SUFFIXES, skipped: list[str] = SKIPPED_FOLDERS) -> DataFrame:
-    """(file, text, issue) of a repository's sources; files of over two million characters are an issue and have no text."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = re.sub(r"/+$", "", root)
-    file = fn.sub("path", r"^.*?\Q" + base + r"\E/")
-    df = df.select(file.alias("file"), F.decode("content", "UTF-8").alias("text"))
-    df = df.filter(F.lower("file").rlike("(" + "|".join(re.escape(s) for s in suffixes) + ")$") & ~F.col("file").rlike("(^|/)(" + "|".join(re.escape(s) for s in skipped) + ")/"))
-    large = F.length("text") > MAX_SOURCE_CHARS
-    return df.select("file", F.when(~large, F.col("text")).alias("text"), F.when(large, "file-skipped").alias("issue"))
-
-
 def build_dependencies(files: DataFrame) -> DataFrame:
     """(file, dependency) of build files (file, text): npm, NuGet, Maven and Gradle."""
     name = F.lower(F.element_at(F.split("file", "/"), -1))
@@ -112,28 +101,6 @@ def build_dependencies(files: DataFrame) -> DataFrame:
     return files.select("file", F.explode(found).alias("dependency")).distinct()
 
 
-def find_repositories(roots: list[str], depth: int = 2, configured_only: bool = False, names: tuple[str, ...] = ("manifest.yaml", "manifest.yml", "manifest.json"), skipped: list[str] = SKIPPED_FOLDERS) -> list[str]:
-    """Folders that are repositories (they hold a settings file, or .git), not looked into further."""
-    out: dict[str, None] = {}
-
-    def visit(folder: str, left: int):
-        try:
-            entries = sorted(os.scandir(folder), key=lambda e: e.name)
-        except OSError:
-            return
-        inside = {e.name for e in entries}
-        if inside & set(names) or not configured_only and ".git" in inside:
-            out.setdefault(os.path.abspath(folder))
-            return
-        for e in entries:
-            if left and e.is_dir() and not e.name.startswith(".") and e.name not in skipped:
-                visit(e.path, left - 1)
-
-    for root in roots:
-        visit(root, depth)
-    return list(out)
-
-
 def read_graph(spark: SparkSession, path: str) -> DataFrame:
     """A graph document; one without its four arrays is an error."""
     df = spark.read.option("multiLine", True).json(path)

@@ -35,10 +35,10 @@ def arrow_schema() -> pa.Schema:
     return pa.schema([("service", s), ("file", s), ("language", s), ("issue", s), ("types", pa.list_(types)), ("units", pa.list_(unit)), ("fields", pa.list_(fields)), ("imports", pa.list_(pa.struct([("local", s), ("imported", s), ("source", s)]))), ("constants", pa.list_(pa.struct([("type", s), ("name", s), ("value", s)])))])
 
 
-def parse_file(service: str, file: str, text: str | None, schema: pa.Schema) -> dict:
+def parse_file(service: str, file: str, text: str | None, issue: str | None, schema: pa.Schema) -> dict:
     out = {"service": service, "file": file, "language": "", "issue": None, "types": [], "units": [], "fields": [], "imports": [], "constants": []}
     if text is None:
-        return out | {"issue": "file-skipped"}
+        return out | {"issue": issue or "file-skipped"}
     try:
         p = Parser(file, text).parse()
     except (IndexError, KeyError, ValueError, RecursionError) as e:
@@ -64,7 +64,7 @@ class Facts:
 
 
 def parse_sources(sources: DataFrame) -> Facts:
-    """Fact tables from (service, file, text). A file that can't be parsed, or has no text, is an issue in ``files``.
+    """Fact tables from (service, file, text, and perhaps issue: why there is no text). A file that can't be parsed, or has no text, is an issue in ``files``.
 
     Repeated unit ids of a service get their file in front from the second on; of types and constants of one name the
     first is known.
@@ -76,7 +76,8 @@ def parse_sources(sources: DataFrame) -> Facts:
             rows = [parse_file(*r, schema) for r in zip(*(c.to_pylist() for c in b.columns))]
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    parsed = cut(sources.select("service", "file", "text").mapInArrow(parse, FACTS))
+    issue = "issue" if "issue" in sources.columns else F.lit(None).cast("string").alias("issue")
+    parsed = cut(sources.select("service", "file", "text", issue).mapInArrow(parse, FACTS))
     of = lambda name: parsed.select("service", "file", "language", F.posexplode(name).alias("ord", "x")).select("service", "file", "language", "ord", "x.*")
     from pyspark.sql.window import Window
 
