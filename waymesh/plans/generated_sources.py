@@ -6,14 +6,19 @@ the file, so that rules with a choice have to choose.
 
 from __future__ import annotations
 
+import uuid
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import extract
 from ..operators.estate import Estate
+from ..sources import trees
 from ..sources.parsing.facts import Facts, parse_sources
 from . import estate as est
 from .queries import query
+from .session import cut, shared_dir
 
 #: (file, text) by part key modulo 12, for even and odd sizes; $K is the key, $B the brand, $S the size.
 TEMPLATES = [
@@ -112,3 +117,48 @@ fact_query("cgr_03_base_order", "SELECT service, 'Leaf' || k AS type, CASE WHEN
 _ROUTES = "SELECT service, 'GET /' || b || '/' || s AS id FROM p WHERE kind = 10 UNION ALL SELECT service, CASE WHEN odd THEN 'POST' ELSE 'GET' END || ' /' || b || '/' || s FROM p WHERE kind = 10"
 estate_query("asm_01_unique_ids", f"SELECT service, CASE WHEN n > 1 THEN id || '#' || n ELSE id END AS id FROM (SELECT *, row_number() OVER (PARTITION BY service, id) AS n FROM ({_ROUTES}) r) t")(lambda e: e.endpoints.filter(F.col("loc.file").rlike("src/app")).select("service", "id"))
 estate_query("asm_04_kinds", "SELECT service, CASE WHEN odd THEN 'src/part' || k || '.ts:call' ELSE 'src/part' || k || 'Api.ts:call' END || k AS id, CASE WHEN odd THEN 'service' ELSE 'client' END AS kind FROM p WHERE kind = 11", "SELECT service, 'Part' || k || 'Client.Ask' || k, 'client' FROM p WHERE kind = 3", "SELECT service, 'IPart' || k || '.One' || k, 'client' FROM p WHERE kind = 4", "SELECT service, 'Part' || k || 'Rest.go' || k, 'service' FROM p WHERE kind = 5", "SELECT service, 'Part' || k || 'Res.put' || k, 'http' FROM p WHERE kind = 2", "SELECT service, 'Part' || k || 'Heard.on' || k, 'message' FROM p WHERE kind = 7 AND odd")(lambda e: e.handlers.filter(F.col("loc.file").rlike(r"src/part\d|Setup\.cs$|IPart|Rest\.java$|Res\.java$|Heard\.java$") & ~F.col("id").rlike("anon@|<init>|<module>")).select("service", "id", "kind"))
+
+
+# --- the same sources as trees of files
+
+
+def planted(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of a tree with a repository for each service: its sources, its settings, and what must not be read."""
+    root = f"{trees.qualified(spark, shared_dir(spark))}/tree-{uuid.uuid4().hex}"
+    files = sources(spark, sf_dir)
+    own = files.groupBy("service").agg(F.count("*").alias("n"))
+    name = F.concat(F.lit("plot-"), F.substring_index("service", "-", -1))
+    yaml = F.concat(F.lit("service:\n  id: "), name, F.lit("\n  layer: domain\n  owner: team-"), F.col("n").cast("string"), F.lit("\ntargets:\n  PARTS_URL: stock\n  SIZE_"), F.col("n").cast("string"), F.lit(": sizes\n"))
+    settings = own.select("service", F.lit("waymesh.yaml").alias("file"), yaml.alias("text"))
+    skipped = own.select("service", F.lit("node_modules/lib/index.ts").alias("file"), F.lit("not read").alias("text"))
+
+    def put(batches):
+        for b in batches:
+            for service, file, text in zip(*(c.to_pylist() for c in b.columns)):
+                store, top = trees.opened(root)
+                folder = f"{top}/{service}/{file}".rpartition("/")[0]
+                store.create_dir(folder, recursive=True)
+                with store.open_output_stream(f"{top}/{service}/{file}") as out:
+                    out.write(text.encode())
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    cut(files.union(settings).union(skipped).repartition("service").mapInArrow(put, "n long"))
+    return root
+
+
+@query("src_05_source_tree", over_parts("SELECT service, count(*) AS files, 0::BIGINT AS issues FROM p GROUP BY service"))
+def src_05_tree(spark, sf_dir):
+    found = trees.read_sources(spark, planted(spark, sf_dir))
+    return found.groupBy(F.split("file", "/")[0].alias("service")).agg(F.count("*").alias("files"), F.count("issue").alias("issues"))
+
+
+@query("src_07_settings", over_parts("SELECT service, 'plot-' || (k % 97) AS id, 'domain' AS layer, 'team-' || count(*) AS owner, 'PARTS_URL=stock,SIZE_' || count(*) || '=sizes' AS targets FROM p GROUP BY service, k % 97"))
+def src_07(spark, sf_dir):
+    files = trees.read_sources(spark, planted(spark, sf_dir), suffixes=[".yaml"])
+    s = trees.read_settings(files.select(F.split("file", "/")[0].alias("service"), F.substring_index("file", "/", -1).alias("file"), "text"))
+    return s.select("service", "id", "layer", "owner", F.array_join(F.array_sort(F.transform(F.map_entries("targets"), lambda x: F.concat_ws("=", x["key"], x["value"]))), ",").alias("targets"))
+
+
+@query("src_08_repositories", over_parts("SELECT DISTINCT service FROM p"))
+def src_08(spark, sf_dir):
+    return trees.find_repositories(spark, [planted(spark, sf_dir)]).select(F.element_at(F.split("folder", "/"), -1).alias("service"))

@@ -71,6 +71,11 @@ app.get('/healthz', (_req, res) => res.send('ok'));
 _facts: dict = {}
 
 
+def forget() -> None:
+    """Drop the kept facts, so that the next query parses its own."""
+    _facts.clear()
+
+
 def facts(spark: SparkSession, sf_dir: str) -> Facts:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _facts:
