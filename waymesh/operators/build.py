@@ -7,10 +7,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import text as fn
-from ..plans.session import cut
+from ..plans.session import cut, numbered
 from ..schema import LOC
 from .estate import Config, Estate
 from .resolve import resolve
@@ -121,7 +120,8 @@ def external_nodes(resolved: DataFrame, config: Config = Config()) -> DataFrame:
     out = first.join(by_host, "host", "left").join(by_id, "id", "left").withColumn("x", F.coalesce("h", "i"))
     zero = (F.lit(0).cast("long").alias(f"n_{n}") for n in ("endpoints", "consumers", "calls", "publishes"))
     none = lambda n, t="string": F.lit(None).cast(t).alias(n)
-    return out.select((F.lit(1 << 20) + F.row_number().over(Window.orderBy("at")) - 1).alias("m_ord"), "id", F.coalesce("x.x_name", "host").alias("name"), F.lit("external").alias("layer"), F.col("x.x_owner").alias("owner"), none("repo"), none("language"), none("frameworks", "array<string>"), F.coalesce("x.x_description", F.concat(F.lit("External system at "), "host")).alias("description"), F.col("x.x_tags").alias("tags"), F.lit(True).alias("inferred"), *zero)
+    out = numbered(out, "place", "at")
+    return out.select((F.lit(1 << 20) + F.col("place") - 1).alias("m_ord"), "id", F.coalesce("x.x_name", "host").alias("name"), F.lit("external").alias("layer"), F.col("x.x_owner").alias("owner"), none("repo"), none("language"), none("frameworks", "array<string>"), F.coalesce("x.x_description", F.concat(F.lit("External system at "), "host")).alias("description"), F.col("x.x_tags").alias("tags"), F.lit(True).alias("inferred"), *zero)
 
 
 def declared_edges(e: Estate, resolved: DataFrame) -> tuple[DataFrame, DataFrame]:

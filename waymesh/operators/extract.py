@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as fn
-from ..plans.session import cut
+from ..plans.session import cut, numbered
 from ..sources.parsing.facts import Facts
 from .estate import Estate, estate_of
 from .reach import reach
@@ -581,7 +581,7 @@ def infer_services(f: Facts, settings: DataFrame | None = None) -> DataFrame:
 def inferred_services(f: Facts) -> DataFrame:
     n = f.files.filter("language <> ''").groupBy("service", "language").agg(F.count("*").alias("k"))
     top = n.groupBy("service").agg(F.max_by("language", F.struct("k", "language")).alias("language"))
-    return top.select((F.row_number().over(Window.orderBy("service")) - 1).alias("m_ord"), fn.service_slug("service").alias("id"), c("service").alias("name"), fn.infer_layer("service").alias("layer"), "language")
+    return numbered(top, "place", "service").select((F.col("place") - 1).alias("m_ord"), fn.service_slug("service").alias("id"), c("service").alias("name"), fn.infer_layer("service").alias("layer"), "language")
 
 
 def drop_dangling(e: Estate) -> Estate:

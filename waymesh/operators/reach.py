@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..plans.session import cut
 
+#: Rounds after which what is known is written as one table again.
+PARTS = 8
+
 
 def reach(edges: DataFrame, seeds: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """(seed, node, depth): all nodes each seed reaches over edges (src, dst), itself included at depth 0.
@@ -21,7 +24,7 @@ def reach(edges: DataFrame, seeds: DataFrame, max_rounds: int = 1000) -> DataFra
         frontier = cut(new.join(known, ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if not frontier.limit(1).count():
             return known
-        known = known.union(frontier)
+        known = known.union(frontier) if depth % PARTS else cut(known.union(frontier))
     raise RuntimeError(f"still growing after {max_rounds} rounds")
 
 

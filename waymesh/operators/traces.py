@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import text as fn
+from ..plans.session import numbered
 from .build import EDGE, ISSUE, Graph, nodes, place, shaped
 
 
@@ -63,8 +63,8 @@ def merge_traces(g: Graph, observed: DataFrame) -> Graph:
     message = F.concat(F.lit('Trace service "'), "name", F.lit('" has no manifest; added as external'))
     issues = issues.union(shaped(strange, ISSUE, level="info", code="trace:unknown-service", message=message))
     none = {c: F.lit(None).cast(t).alias(c) for c, t in g.services.dtypes}
-    outer = strange.select(*({
-        **none, "m_ord": (F.lit(1 << 21) + F.row_number().over(Window.orderBy("ord"))).alias("m_ord"), "id": F.col("id"), "name": F.col("name"), "layer": F.lit("external").alias("layer"), "inferred": F.lit(True).alias("inferred"),
+    outer = numbered(strange, "place", "ord").select(*({
+        **none, "m_ord": (F.lit(1 << 21) + F.col("place")).alias("m_ord"), "id": F.col("id"), "name": F.col("name"), "layer": F.lit("external").alias("layer"), "inferred": F.lit(True).alias("inferred"),
         "description": F.concat(F.lit('Seen only in traces as "'), "name", F.lit('"')).alias("description"), **{f"n_{n}": F.lit(0).cast("long").alias(f"n_{n}") for n in ("endpoints", "consumers", "calls", "publishes")},
     }[c] for c in g.services.columns))
     return g.replace(edges=e.unionByName(added), issues=g.issues.unionByName(issues), services=g.services.unionByName(outer))

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import json
 import os
-import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import text as fn
 from ..operators.estate import Config, Estate, estate_of
+from ..plans.session import numbered
 from ..schema import ENRICHMENT, FLOW_ENRICHMENT, MANIFEST, TRACE_ROW
 
 #: Sources that are read, and folders that never are.
@@ -24,7 +23,9 @@ def read_manifests(spark: SparkSession, *paths: str) -> DataFrame:
     """One row per manifest file with its place by file name; two files of one service are an error."""
     df = spark.read.schema(MANIFEST).option("multiLine", True).option("pathGlobFilter", "*.json").json(list(paths)).withColumn("__file", F.col("_metadata.file_path"))
     df = df.filter(~F.col("__file").endswith(".enrich.json"))
-    df = df.withColumn("m_ord", F.row_number().over(Window.orderBy(F.element_at(F.split("__file", "/"), -1), "__file")) - 1)
+    files = df.select("__file").distinct().withColumn("__name", F.element_at(F.split("__file", "/"), -1))
+    places = numbered(files, "m_ord", "__name", "__file").select("__file", (F.col("m_ord") - 1).alias("m_ord"))
+    df = df.join(places, "__file")
     twice = df.groupBy("service.id").agg(F.sort_array(F.collect_list("__file")).alias("files")).filter(F.size("files") > 1).limit(5).collect()
     if twice:
         raise ValueError("; ".join(f"service {r.id} is in {' and '.join(r.files)}" for r in twice))
