@@ -41,4 +41,4 @@ def test_stages(spark, tmp_path):
 
 
 def test_registry():
-    assert {q.split("_")[0] for q in QUERIES} == {f"op{i}" for i in range(1, 11)} | {"pipeline"} and set(ORACLE) <= set(QUERIES)
+    assert {q.split("_")[0] for q in QUERIES} == {f"op{i}" for i in range(1, 14)} | {"pipeline"} and set(ORACLE) <= set(QUERIES)

@@ -9,9 +9,9 @@ from waymesh.llm import common, decontam, htmltext, imi, langid, secrets, tokenf
 def test_same_sample_over_any_split(spark):
     rows = [(i % 700, f"text {i % 5000}") for i in range(20_000)] + [(None, "same for all")] * 20_000
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    taken = [sorted(map(tuple, common.hashed_share(df.repartition(n), 1000).collect()), key=repr) for n in (3, 7)]
+    taken = [sorted(map(tuple, common.hashed_share(df.repartition(n), "doc_id", 1000).collect()), key=repr) for n in (3, 7)]
     assert taken[0] == taken[1] and 800 < len(taken[0]) < 1200 and len(set(taken[0])) == len(taken[0])
-    assert common.hashed_share(df.limit(50), 50).count() == 50
+    assert common.hashed_share(df.limit(50), "doc_id", 50).count() == 50
 
 
 def test_same_models_over_any_split(spark):

@@ -128,15 +128,16 @@ def row_hash(columns: list[str], seed: int = 0) -> Column:
     return F.xxhash64(F.lit(seed), *(x for c in columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))))
 
 
-def hashed_share(df: DataFrame, rows: int, seed: int = 17) -> DataFrame:
+def hashed_share(df: DataFrame, key: str, rows: int, seed: int = 17) -> DataFrame:
     """All rows, if there are ``rows`` at most; else about as many different rows: those whose hash is small, each once.
 
-    The hash is of the whole row, so the same rows are taken however the table is split, and a row that is repeated very
+    The hash is of the whole row, the key first, so the same rows are taken however the table is split, and a row that is repeated very
     often counts like any other. The number of different rows comes from a sketch that doesn't depend on the split either.
     """
-    total, different = df.agg(F.count("*"), F.approx_count_distinct(row_hash(df.columns, seed))).first()
+    row = row_hash([key, *(c for c in df.columns if c != key)], seed)
+    total, different = df.agg(F.count("*"), F.approx_count_distinct(row)).first()
     if total <= rows:
         return df
     share = fresh("__share", df.columns)
-    some = df.withColumn(share, row_hash(df.columns, seed)).filter(F.pmod(share, F.lit(1 << 30)) < int((1 << 30) * min(1.0, rows / max(1, different))))
+    some = df.withColumn(share, row).filter(F.pmod(share, F.lit(1 << 30)) < int((1 << 30) * min(1.0, rows / max(1, different))))
     return some.dropDuplicates([share]).drop(share)

@@ -42,6 +42,7 @@ LINKED = 0.5
 DEPTH = 512
 
 NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)")
+OPENING = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*+)(>?))?")
 STOP = re.compile(r"[>=]")
 VALUE = re.compile(r"\s*+(?:([\"'])|[^\s>]*+)")
 ATTRIBUTE = re.compile(r"([^\s/>=\"'][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?+")
@@ -312,13 +313,13 @@ def shown_lines(page: str) -> list[str]:
                 rows.append(text)
 
     while at < end:
-        lt = page.find("<", at)
+        m = OPENING.search(page, at)
+        lt = m.start() if m else end
         if not hidden and lt != at:
-            buffer.append(page[at : lt if lt >= 0 else end])
-        if lt < 0:
-            break
-        m = NAME.match(page, lt + 1)
+            buffer.append(page[at:lt])
         if m is None:
+            break
+        if m[2] is None:
             comment = page.startswith("<!--", lt)
             if comment or page.startswith(("<!", "<?", "</"), lt):
                 stop = page.find("-->", lt + 2) if comment else page.find(">", lt)
@@ -329,9 +330,7 @@ def shown_lines(page: str) -> list[str]:
                 at = lt + 1
             continue
         name, closes, at = m[2].lower(), m[1], m.end()
-        if page.startswith(">", at):
-            at += 1
-        elif (at := tag_end(page, at, dead)) < 0:
+        if not m[3] and (at := tag_end(page, at, dead)) < 0:
             break
         if name in RAW and not closes:
             stop = raw_end(name).search(page, at)
@@ -358,7 +357,7 @@ def shown_lines(page: str) -> list[str]:
         elif not closes and name in HIDDEN:
             hidden, inside = name, Counter()
             continue
-        if block or name in ("br", "hr"):
+        if buffer and (block or name in ("br", "hr")):
             flush()
     flush()
     return rows
