@@ -1,8 +1,8 @@
 """End-to-end flows: ordered, path-sensitive expansion from entry points across services.
 
 Inside a service the order is that of a depth-first walk over its handlers, computed for each service by itself. Across
-services the expansion goes one hop at a time for all flows together; each step has a sort key (an array of ordinals
-that grows with depth, a prefix sorting first), so the order of the whole tree falls out of one window at the end.
+services sub-flows are shared: forwards, each is found once a hop; backwards, their sizes are summed; then flows are laid
+out by offsets, from rows of numbers alone, and the text of steps is joined at the end.
 """
 
 from __future__ import annotations
@@ -17,6 +17,10 @@ from pyspark.sql.window import Window
 from ..functions import text as fn
 from ..plans.session import cut, numbered
 from .build import Graph
+from .condense import bit
+
+#: Hops that one job looks ahead before its rows are written.
+ROUNDS = 4
 
 
 def walks(handlers: DataFrame, entries: DataFrame) -> DataFrame:
@@ -87,28 +91,85 @@ def roots(g: Graph) -> DataFrame:
     return reduce(DataFrame.union, out)
 
 
+def returns(edges: DataFrame, hops: int) -> DataFrame:
+    """(at, back) of the nodes of edges (src, dst: long) on a cycle of at most ``hops``; back: word to bits of the nodes of such cycles that the node reaches in as many hops."""
+    direct = reach = edges.select("src", *bit("dst")).groupBy("src", "word").agg(F.bit_or("bits").alias("bits"))
+    for hop in range(1, hops):
+        further = edges.join(reach.withColumnRenamed("src", "dst"), "dst").select("src", "word", "bits")
+        reach = direct.union(further).groupBy("src", "word").agg(F.bit_or("bits").alias("bits"))
+        reach = reach if hop % ROUNDS else cut(reach)
+    reach = cut(reach)
+    looped = reach.select("src", "bits", F.col("word").alias("w"), *(c.alias(n) for c, n in zip(bit("src"), ("word", "own")))).filter("w = word and (bits & own) <> 0").select("src", "word", F.col("own").alias("bits"))
+    mask = looped.groupBy("word").agg(F.bit_or("bits").alias("mask"))
+    held = reach.join(looped.select("src"), "src", "left_semi").join(mask, "word").select("src", "word", F.expr("bits & mask").alias("bits")).filter("bits <> 0")
+    return cut(held.groupBy(F.col("src").alias("at")).agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("back")))
+
+
+def shared(acts: DataFrame, entries: DataFrame, max_depth: int) -> tuple[list[DataFrame], DataFrame]:
+    """Every sub-flow once for each hop at which it starts: ([(at, path, act, place, next_at, next_path, below) of a hop], sizes of the first).
+
+    ``acts``: at, act (unique), k (its order), next_at (null: nothing follows). A sub-flow is a node and those nodes of the
+    way to it that it can come back to in the hops that are left, so ways that differ elsewhere share it. ``place`` is where
+    the act's step stands in its sub-flow, ``below`` the steps under it.
+    """
+    edges = acts.filter("next_at is not null").select(F.col("at").alias("src"), F.col("next_at").alias("dst")).distinct()
+    back = returns(cut(edges), max_depth) if max_depth else None
+    none = F.array().cast("array<long>")
+    frontier, levels = entries.select("at", none.alias("path")).distinct(), []
+    for depth in range(max_depth + 1):
+        met = frontier.join(acts.select("at", "act", "k", "next_at"), "at")
+        if depth == max_depth:
+            met = met.withColumn("next_at", F.lit(None).cast("long")).withColumn("next_path", F.lit(None).cast("array<long>"))
+        else:
+            way = F.concat("path", F.array("at"))
+            met = met.withColumn("way", way).withColumn("next_at", F.when(~F.array_contains("way", F.col("next_at")), F.col("next_at")))
+            kept = F.expr("array_sort(filter(way, a -> (shiftrightunsigned(coalesce(back[a div 64], 0L), cast(a % 64 as int)) & 1L) = 1L))")
+            met = met.join(back.withColumnRenamed("at", "next_at"), "next_at", "left").withColumn("next_path", F.when(F.col("next_at").isNotNull(), F.when(F.col("back").isNull(), none).otherwise(kept)))
+        levels.append(cut(met.select("at", "path", "act", "k", "next_at", "next_path")))
+        entered = levels[-1].filter("next_at is not null")
+        if depth == max_depth or not entered.limit(1).count():
+            break
+        frontier = entered.select(F.col("next_at").alias("at"), F.col("next_path").alias("path")).distinct()
+    sizes = None
+    before = Window.partitionBy("at", "path").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    for depth in reversed(range(len(levels))):
+        met = levels[depth]
+        if sizes is None:
+            met = met.withColumn("below", F.lit(0).cast("long"))
+        else:
+            met = met.join(sizes.withColumnsRenamed({"at": "next_at", "path": "next_path", "n": "below"}), ["next_at", "next_path"], "left").withColumn("below", F.coalesce("below", F.lit(0).cast("long")))
+        place = F.coalesce(F.sum(F.col("below") + 1).over(before), F.lit(0)) + 1
+        levels[depth] = cut(met.select("at", "path", "act", place.alias("place"), "next_at", "next_path", "below"))
+        sizes = levels[depth].groupBy("at", "path").agg(F.sum(F.col("below") + 1).alias("n"))
+    return levels, sizes.select("at", "n")
+
+
+def placed(levels: list[DataFrame], flows: DataFrame) -> DataFrame:
+    """(flow_id, step_no, act): the sub-flows of flows (flow_id, at) put where they belong; a flow's first step is its entry."""
+    here = flows.select("flow_id", "at", F.array().cast("array<long>").alias("path"), F.lit(1).cast("long").alias("start"))
+    steps = []
+    for level in levels:
+        rows = here.join(level, ["at", "path"]).select("flow_id", (F.col("start") + F.col("place")).alias("step_no"), "act", F.when(F.col("below") > 0, F.col("next_at")).alias("next_at"), "next_path")
+        steps.append(cut(rows))
+        here = steps[-1].filter("next_at is not null").select("flow_id", F.col("next_at").alias("at"), F.col("next_path").alias("path"), F.col("step_no").alias("start"))
+    return reduce(DataFrame.union, (s.select("flow_id", F.col("step_no").cast("int").alias("step_no"), "act") for s in steps))
+
+
 def derive_flows(g: Graph) -> tuple[DataFrame, DataFrame]:
     """(flows, steps). flows: flow_id, name, entry_service, entry_kind, entry_ref, n_steps, rank. steps: flow_id, step_no, service, ref, kind, from, description.
 
     ``max_depth`` bounds the hops; a service and handler already on the path is not entered again, but its step stays.
     """
-    todo = cut(effects(g))
-    start = cut(roots(g).withColumn("root", F.to_json("at")))
-    known = g.estate.services.select(F.col("id").alias("service"))
-    steps = [start.select("root", F.array().cast("array<int>").alias("key"), "service", "ref", "kind", F.lit(None).cast("string").alias("from"), F.col("text").alias("description"))]
-    own = F.concat_ws("#", "at_service", "at_handler")
-    frontier = start.join(known, "service", "left_semi").select("root", F.array().cast("array<int>").alias("key"), F.col("service").alias("at_service"), F.col("entry").alias("at_handler"), F.array().cast("array<string>").alias("path"))
-    for depth in range(g.config.max_depth + 1):
-        here = frontier.withColumn("path", F.concat("path", F.array(own)))
-        met = cut(here.join(todo, (F.col("at_service") == F.col("service")) & (F.col("at_handler") == F.col("entry"))).withColumn("key", F.concat("key", "k")))
-        steps.append(met.select("root", "key", F.col("s_service").alias("service"), F.col("s_ref").alias("ref"), F.col("s_kind").alias("kind"), F.col("s_from").alias("from"), F.col("s_text").alias("description")))
-        frontier = met.filter(F.col("next_service").isNotNull() & ~F.array_contains("path", F.concat_ws("#", "next_service", "next_handler"))).select("root", "key", F.col("next_service").alias("at_service"), F.col("next_handler").alias("at_handler"), "path")
-        if depth == g.config.max_depth or not frontier.limit(1).count():
-            break
-    whole = reduce(DataFrame.unionByName, steps)
-    size = whole.groupBy("root").agg(F.count("*").cast("int").alias("n_steps")).filter("n_steps > 1")
-    flows = start.join(size, "root").withColumn("first", F.row_number().over(Window.partitionBy("flow_id").orderBy("at"))).filter("first = 1")
-    walked = whole.join(flows.select("root", "flow_id"), "root").select("flow_id", F.row_number().over(Window.partitionBy("flow_id").orderBy("key")).alias("step_no"), "service", "ref", "kind", "from", "description")
+    todo = cut(effects(g).withColumn("act", F.monotonically_increasing_id()))
+    nodes = cut(numbered(todo.select("service", "entry").distinct(), "at", "service", "entry", kind="long"))
+    ahead = nodes.select(F.col("service").alias("next_service"), F.col("entry").alias("next_handler"), F.col("at").alias("next_at"))
+    acts = cut(todo.join(nodes, ["service", "entry"]).join(ahead, ["next_service", "next_handler"], "left").select("at", "act", "k", "next_at"))
+    start = cut(roots(g).withColumnRenamed("at", "place").join(nodes, ["service", "entry"]))
+    levels, sizes = shared(acts, start, g.config.max_depth)
+    flows = start.join(sizes, "at").withColumn("n_steps", (F.col("n") + 1).cast("int"))
+    flows = cut(flows.withColumn("first", F.row_number().over(Window.partitionBy("flow_id").orderBy("place"))).filter("first = 1"))
+    walked = placed(levels, flows).join(todo, "act").select("flow_id", "step_no", F.col("s_service").alias("service"), F.col("s_ref").alias("ref"), F.col("s_kind").alias("kind"), F.col("s_from").alias("from"), F.col("s_text").alias("description"))
+    walked = flows.select("flow_id", F.lit(1).alias("step_no"), "service", "ref", "kind", F.lit(None).cast("string").alias("from"), F.col("text").alias("description")).union(walked)
     flows = numbered(flows, "rank", F.desc("n_steps"), "name", "flow_id")
     flows = flows.select("flow_id", "name", F.lit(None).cast("string").alias("useCase"), F.lit(None).cast("string").alias("description"), F.col("service").alias("entry_service"), F.col("kind").alias("entry_kind"), F.col("ref").alias("entry_ref"), "n_steps", "rank")
     return flows, walked
