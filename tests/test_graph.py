@@ -1,5 +1,7 @@
 """The tram estate: resolution, messaging, flows, drift, diff and reports."""
 
+import json
+
 import pytest
 from fixtures import LOC, TARGETS, TRAMS, manifest, write
 from pyspark.sql import functions as F
@@ -50,7 +52,7 @@ def test_messaging(graph):
     assert rows(graph.edges.filter("kind in ('publish', 'consume')"), "source", "target") == {("fare-cards", "topic:kafka:card.credited"), ("topic:kafka:card.credited", "receipts"), ("topic:rabbitmq:delays", "timetable")}
 
 
-def test_flow(trams, graph):
+def test_flow(trams, graph, tmp_path):
     f, steps = flows.derive_flows(graph)
     ids = [r.flow_id for r in f.orderBy("rank").collect()]
     assert ids == ["flow-kiosk-cardscreen-topup", "flow-kiosk-ridescreen-plan"]
@@ -71,7 +73,9 @@ def test_flow(trams, graph):
     page = docs.index_page(graph, f, steps).first().text
     assert "| Services | 8 |" in page and "## Ui" in page
     assert docs.service_pages(graph).count() == 8 and docs.flow_pages(graph, f, steps).count() == f.count()
-    assert '"edges":[{' in docs.graph_document(graph, f, steps).first().json
+    one = json.loads(docs.graph_document(graph, f, steps, "to\"day").first().json.replace('to"day', 'to\\"day'))
+    docs.write_graph(graph, f, steps, str(tmp_path / "graph"), 'to"day')
+    assert one["edges"] and one == json.loads("".join(p.read_text() for p in sorted((tmp_path / "graph").glob("*/part-*"))))
 
 
 def test_cycles_end(spark, tmp_path):

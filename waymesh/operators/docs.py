@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
+from ..sources.documents import document_lines, write_document
 from .build import Graph
 
 lit = F.lit
@@ -134,15 +135,24 @@ def gate(issues: DataFrame, level: str) -> bool:
     return issues.filter(c("level").isin(*(("error",) if level == "error" else ("error", "warn")))).limit(1).count() > 0
 
 
-def graph_document(g: Graph, flows: DataFrame, steps: DataFrame, generated: str = "") -> DataFrame:
-    """One row (json): the whole graph as a document, for estates small enough to be one."""
-    drop = [x for x in ("ord", "m_ord", "i_ord") if x]
-    every = lambda df, order, name: df.agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct(*order, F.struct(*(x for x in df.columns if x not in drop)).alias("doc")))), lambda x: x["doc"])).alias(name))
-    node = F.struct
-    services = g.services.select(c("m_ord"), "id", lit("service").alias("kind"), "name", "layer", "owner", "description", "inferred", node(c("n_endpoints").alias("endpoints"), c("n_consumers").alias("consumers"), c("n_calls").alias("calls"), c("n_publishes").alias("publishes")).alias("stats"))
+def graph_arrays(g: Graph, flows: DataFrame, steps: DataFrame) -> dict[str, tuple[DataFrame, list[str]]]:
+    """What a document of the graph holds: its arrays by name, each a table and the order of its rows."""
+    services = g.services.select(c("m_ord"), "id", lit("service").alias("kind"), "name", "layer", "owner", "description", "inferred", F.struct(c("n_endpoints").alias("endpoints"), c("n_consumers").alias("consumers"), c("n_calls").alias("calls"), c("n_publishes").alias("publishes")).alias("stats"))
     f = flows.join(steps.groupBy("flow_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("step_no", F.struct("service", "ref", "kind", "from", "description").alias("s")))), lambda x: x["s"]).alias("steps")), "flow_id")
     f = f.select("rank", c("flow_id").alias("id"), "name", "useCase", "description", F.struct(c("entry_service").alias("service"), c("entry_kind").alias("kind"), c("entry_ref").alias("ref")).alias("entry"), "steps")
-    docs = [every(services, ["m_ord"], "services"), every(g.topics.withColumn("kind", lit("topic")), ["ord"], "topics"), every(g.edges, ["ord"], "edges"), every(f, ["rank"], "flows"), every(g.issues, ["level", "code", "message"], "issues")]
-    out = reduce(DataFrame.crossJoin, docs)
+    return {"services": (services, ["m_ord"]), "topics": (g.topics.withColumn("kind", lit("topic")), ["ord"]), "edges": (g.edges, ["ord"]), "flows": (f, ["rank"]), "issues": (g.issues, ["level", "code", "message"])}
+
+
+def write_graph(g: Graph, flows: DataFrame, steps: DataFrame, folder: str, generated: str = "") -> None:
+    """The graph as a document in parts, of any size: see :mod:`waymesh.sources.documents`."""
+    when = generated.replace("\\", "\\\\").replace('"', '\\"')
+    write_document(document_lines(graph_arrays(g, flows, steps), f'{{"schemaVersion":"1","generatedAt":"{when}",'), folder)
+
+
+def graph_document(g: Graph, flows: DataFrame, steps: DataFrame, generated: str = "") -> DataFrame:
+    """One row (json): the whole graph as a document, for estates small enough to be one; :func:`write_graph` has no such limit."""
+    drop = ("ord", "m_ord", "i_ord")
+    every = lambda df, order, name: df.agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct(*order, F.struct(*(x for x in df.columns if x not in drop)).alias("doc")))), lambda x: x["doc"])).alias(name))
+    out = reduce(DataFrame.crossJoin, [every(df, order, name) for name, (df, order) in graph_arrays(g, flows, steps).items()])
     empty = lambda n: F.coalesce(n, lit("[]"))
     return out.select(said('{"schemaVersion":"1","generatedAt":"', generated, '","services":', empty("services"), ',"topics":', empty("topics"), ',"edges":', empty("edges"), ',"flows":', empty("flows"), ',"issues":', empty("issues"), "}").alias("json"))

@@ -7,15 +7,19 @@ twins compute the same flows by a recursive query over these tables, from the de
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import build, docs, explore, flows, sequence
 from ..operators.estate import Config, estate_of
+from ..sources import documents
 from . import estate as est
 from . import twins as tw
 from .queries import query
-from .session import cut
+from .session import cut, shared_dir
 
 S = "(SELECT s_suppkey AS k, concat('sup-', CAST(s_suppkey AS STRING)) AS sid, s_nationkey AS n, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS r, count(*) OVER (PARTITION BY s_nationkey) AS c FROM supplier)"
 SQL = {
@@ -181,3 +185,19 @@ def snk_01(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = docs.graph_document(g, f, s).select(F.from_json("json", shape).alias("d")).select("d.*")
     steps = F.aggregate("flows", F.lit(0).cast("long"), lambda a, x: a + F.size(x["steps"]))
     return d.select(*(F.size(c).cast("long").alias(c) for c in ("services", "topics", "edges", "flows", "issues")), steps.alias("steps"))
+
+
+_PARTS = """SELECT 'services' AS section, id, 1::BIGINT AS n FROM svc UNION ALL SELECT 'topics', 'topic:kafka:' || topic, 1 FROM tops UNION ALL SELECT 'flows', flow_id, n_steps FROM flow UNION ALL SELECT 'issues', code, count(*) FROM orphan GROUP BY code
+ UNION ALL SELECT 'edges', kind, count(*) FROM (SELECT 'publish' AS kind FROM f_publishes UNION ALL SELECT 'consume' FROM f_consumers UNION ALL SELECT 'http' FROM pair UNION ALL SELECT 'http-detail' FROM f_calls UNION ALL SELECT 'internal' FROM f_handlers h, unnest(h.calls)) t GROUP BY kind"""
+
+
+@query("snk_01_graph_parts", walked(_PARTS, _MAP, _ISSUES, _PAIR))
+def snk_01_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document in parts, written and read back: services, topics and flows by id (with steps), edges by kind, issues by code."""
+    folder = f"{shared_dir(spark).rstrip('/')}/graph-{uuid.uuid4().hex}"
+    docs.write_graph(*chain_graph(spark, sf_dir), folder)
+    held = lambda name, shape, id, n: documents.read_items(spark, folder, name, shape).select(F.lit(name).alias("section"), F.col(id).alias("id"), n.cast("long").alias("n"))
+    one = F.lit(1)
+    few = [held("services", "id string", "id", one), held("topics", "id string", "id", one), held("flows", "id string, steps array<struct<ref:string>>", "id", F.size("steps"))]
+    many = [held("edges", "kind string", "kind", one), held("issues", "code string", "code", one)]
+    return reduce(DataFrame.union, [*few, *(df.groupBy("section", "id").agg(F.sum("n").alias("n")) for df in many)])
