@@ -29,6 +29,8 @@ from .common import written
 MAX_EPOCHS = 4
 SEED = 20240229
 LEVELS = ("__mix0", "__mix1", "__mix2")
+#: Parts of one in which remainders are compared: fractions of sums of weights up to a million differ by more.
+RATIO = 1_000_000_000_000
 
 #: Parameters of the registered query: the corpus tree and its integer weights, as SQL over the levels' names.
 DOMAIN = "CASE WHEN source IS NULL THEN NULL WHEN crc32(source) % 3 = 0 THEN 'web' WHEN crc32(source) % 3 = 1 THEN 'books' ELSE 'reference' END"
@@ -53,6 +55,11 @@ def weight_of(name: str, level: str, weights: dict[str, str]) -> Column:
     return F.expr(f"transform(array({level}), {name} -> {weights[name]})[0]").cast("long")
 
 
+def ratio(a: str, b: str) -> tuple[str, str]:
+    """SQL of two longs that order fractions a / b of longs exactly, while b (a sum of weights among siblings) is at most a million."""
+    return f"{a} div {b}", f"(({a} % {b}) * {RATIO}) div {b}"
+
+
 def leaf_budgets(slim: DataFrame, budget: int | None, max_epochs: int = MAX_EPOCHS, weights: dict[str, str] | None = None) -> DataFrame:
     """For each leaf: the levels, supply (tokens), docs, budget (tokens)."""
     weights = weights or WEIGHTS
@@ -69,12 +76,13 @@ def leaf_budgets(slim: DataFrame, budget: int | None, max_epochs: int = MAX_EPOC
         own, above = list(LEVELS[:depth]), list(LEVELS[: depth - 1])
         nodes = leaves.filter("cap > 0").groupBy(*own, F.col(f"w_{own[-1]}").alias("w")).agg(F.sum("cap").alias("cap"))
         nodes = nodes.withColumn("given", F.lit(root).cast("long")) if given is None else nodes.join(given, above)
-        rising = Window.partitionBy(*above).orderBy(F.col("cap") / F.col("w"), own[-1])
+        rising = Window.partitionBy(*above).orderBy(*(F.expr(x) for x in ratio("cap", "w")), own[-1])
         before = F.coalesce(F.sum("cap").over(rising.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         rest = F.sum("w").over(rising.rowsBetween(0, Window.unboundedFollowing))
-        nodes = nodes.withColumn("rate", (F.col("given") - before) / rest)
-        rate = F.max("rate").over(Window.partitionBy(*above))
-        nodes = nodes.withColumn("share", F.least(F.col("cap"), F.floor(F.greatest(rate, F.lit(0.0)) * F.col("w") + 1e-6)).cast("long"))
+        nodes = nodes.withColumn("num", F.col("given") - before).withColumn("den", rest)
+        rate = F.when(F.col("num") >= 0, F.struct(*(F.expr(x) for x in ratio("num", "den")), "num", "den"))
+        nodes = nodes.withColumn("rate", F.max(rate).over(Window.partitionBy(*above)))
+        nodes = nodes.withColumn("share", F.least("cap", F.expr("(rate.num div rate.den) * w + ((rate.num % rate.den) * w) div rate.den")))
         given = nodes.select(*own, F.col("share").alias("given"))
     return leaves.select(*LEVELS, "supply", "docs").join(given, list(LEVELS), "left").withColumn("budget", F.coalesce("given", F.lit(0))).drop("given")
 
@@ -86,7 +94,7 @@ def epoch_hash(seed: int, epoch: Column | str, id: str = "__mix_id") -> Column:
 def leaf_plan(slim: DataFrame, budget: int | None = None, max_epochs: int = MAX_EPOCHS, seed: int = SEED, weights: dict[str, str] | None = None) -> DataFrame:
     """For each leaf: the levels, supply, budget, epochs (whole ones) and last (documents whose hash of the next epoch is at most this are taken once more; null: none)."""
     keys = list(LEVELS)
-    leaves = leaf_budgets(slim, budget, max_epochs, weights).withColumn("epochs", F.floor(F.col("budget") / F.col("supply")).cast("long")).withColumn("rest", F.col("budget") - F.col("epochs") * F.col("supply"))
+    leaves = leaf_budgets(slim, budget, max_epochs, weights).withColumn("epochs", F.expr("budget div supply")).withColumn("rest", F.col("budget") - F.col("epochs") * F.col("supply"))
     leaves = written(leaves, "budgets")
     most = leaves.agg(F.coalesce(F.max("docs"), F.lit(1))).first()[0]
     digits = max(1, math.ceil(math.log(max(1, most), 16) / 2))
@@ -149,15 +157,16 @@ def oracle(table: str = "documents", domain: str | None = None, weights: dict[st
         join = f"JOIN g{depth - 1} USING ({above})" if above else ""
         cols = ", ".join(own)
         fill.append(f"""n{depth} AS (SELECT {cols}, w, n.cap, {given} AS given FROM (SELECT {cols}, w_{name} AS w, sum(cap)::BIGINT AS cap FROM leaves WHERE cap > 0 GROUP BY {cols}, w_{name}) n {join}),
-r{depth} AS (SELECT *, (given::DOUBLE - coalesce(sum(cap) OVER ({part} ORDER BY cap::DOUBLE / w, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE) / (sum(w) OVER ({part} ORDER BY cap::DOUBLE / w, {name} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS rate FROM n{depth}),
-g{depth} AS (SELECT {cols}, least(cap, floor(greatest(max(rate) OVER ({part}), 0.0) * w + 1e-6)::BIGINT) AS share FROM r{depth})""")
+o{depth} AS (SELECT *, given - coalesce(sum(cap) OVER ({part} ORDER BY cap // w, ((cap % w) * {RATIO}) // w, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS num, (sum(w) OVER ({part} ORDER BY cap // w, ((cap % w) * {RATIO}) // w, {name} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS den FROM n{depth}),
+r{depth} AS (SELECT *, max(CASE WHEN num >= 0 THEN [num // den, ((num % den) * {RATIO}) // den, num, den] END) OVER ({part}) AS rate FROM o{depth}),
+g{depth} AS (SELECT {cols}, least(cap, (rate[3] // rate[4]) * w + ((rate[3] % rate[4]) * w) // rate[4])::BIGINT AS share FROM r{depth})""")
     keys = ", ".join(weights)
     return f"""WITH d AS (SELECT doc_id, coalesce({domain}, 'unknown') AS domain, coalesce(lang, 'unknown') AS lang, coalesce(source, 'unknown') AS source,
  greatest(1, (coalesce(strlen(text), 0) + 3) // 4)::BIGINT AS n_tokens FROM {table}),
 l AS (SELECT {keys}, sum(n_tokens)::BIGINT AS supply FROM d GROUP BY {keys}),
 leaves AS (SELECT *, {", ".join(f"({w})::BIGINT AS w_{n}" for n, w in weights.items())}, supply * {max_epochs} AS cap FROM l),
 {", ".join(fill)},
-b AS (SELECT leaves.*, coalesce(share, 0) AS budget, floor(coalesce(share, 0)::DOUBLE / supply)::BIGINT AS epochs FROM leaves LEFT JOIN g3 USING ({keys})),
+b AS (SELECT leaves.*, coalesce(share, 0) AS budget, (coalesce(share, 0) // supply)::BIGINT AS epochs FROM leaves LEFT JOIN g3 USING ({keys})),
 h AS (SELECT d.*, supply, budget, epochs, md5(concat_ws(':', '{seed}', epochs::VARCHAR, coalesce(doc_id::VARCHAR, ''))) AS h FROM d JOIN b USING ({keys})),
 t AS (SELECT *, sum(n_tokens) OVER (PARTITION BY {keys} ORDER BY h) AS upto FROM h)
 SELECT doc_id, {keys}, n_tokens, supply AS leaf_supply, budget AS leaf_budget, epochs, epochs + (upto <= budget - epochs * supply)::BIGINT AS copies FROM t"""
