@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymesh.llm import decontam, jaccard, langid, mixing, tokenfile
+from waymesh.llm import decontam, jaccard, langid, mixing, simhash, tokenfile
 from waymesh.llm.common import scratch, table
 
 #: Parameters: a document is kept if a language is found with at least this posterior.
@@ -33,10 +33,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group the document with the smallest doc_id, once.
 
-    A group is what pairs of similarity 0.8 or more connect, on five-word shingles. Fingerprints within the two bits of
-    operator 7's contract miss most such pairs, so this stage finds them by the shingles themselves.
+    A group is what links of two kinds connect: those of operator 7, fingerprints that differ in two bits at most, and
+    pairs of similarity 0.8 or more on five-word shingles, most of which differ in more bits than that.
     """
-    return columns(jaccard.first_of_each(docs), docs)
+    near = simhash.near_duplicates(docs.select(F.xxhash64("text").alias("doc_id"), "text"))
+    groups = near.select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
+    return columns(jaccard.first_of_each(docs, also=groups), docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

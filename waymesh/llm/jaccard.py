@@ -341,8 +341,15 @@ def common_shingles(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     return token[order], (len(rows) - np.arange(len(rows)))[order]
 
 
-def components_of(docs: DataFrame, n: int = SHINGLE_WORDS, held: int = HELD, chain_bytes: int = CHAIN_BYTES) -> DataFrame:
-    """One row per row of ``docs``: doc_id, row (hash of the text), key (of its set of shingles), component (of keys)."""
+def group_links(marked: DataFrame, also: DataFrame) -> DataFrame:
+    """(src, dst): links from the smallest key of each group of ``also`` (row, group) to the others, by the keys of ``marked`` (row, key)."""
+    pairs = written(marked.select("row", "key").distinct().join(also.select("row", "group").distinct(), "row").select("group", "key").distinct(), "grouped")
+    least = pairs.groupBy("group").agg(F.min("key").alias("src"), F.count("*").alias("n")).filter("n > 1").select("group", "src")
+    return split_join(pairs, least, "group", "key").select("src", F.col("key").alias("dst"))
+
+
+def components_of(docs: DataFrame, n: int = SHINGLE_WORDS, held: int = HELD, chain_bytes: int = CHAIN_BYTES, also: DataFrame | None = None) -> DataFrame:
+    """One row per row of ``docs``: doc_id, row (hash of the text), key (of its set of shingles), component (of keys). Rows of one group of ``also`` (row, group) are linked too."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
     common, rank = common_shingles(docs, n)
@@ -376,7 +383,8 @@ def components_of(docs: DataFrame, n: int = SHINGLE_WORDS, held: int = HELD, cha
     reps = written(classes.join(found.select("key").distinct(), "key", "left_semi").select("row", F.col("doc_id").alias("__id")).distinct(), "reps")
     texts = docs.join(reps, (docs["row"] == reps["row"]) & docs["doc_id"].eqNullSafe(reps["__id"]), "left_semi").select("text")
     sets = texts.mapInArrow(sets_of, "key long, hashes binary").groupBy("key").agg(F.min("hashes").alias("hashes"))  # repeated rows of one id
-    linked = connected_components(chain_links(found, written(sets, "sets"), chain_bytes))
+    linked = chain_links(found, written(sets, "sets"), chain_bytes)
+    linked = connected_components(linked if also is None else linked.union(group_links(marked, also)))
     joined = written(classes.join(linked, classes.key == linked.node, "left").select("key", F.coalesce("component", "key").alias("component")), "components")
     return split_join(marked.select("doc_id", "row", "key"), joined, "key", "row").select("doc_id", "row", "key", "component")
 
@@ -388,9 +396,9 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE_WORDS, held: int = HELD, c
     return split_join(found, ids, "component", "row").select("doc_id", "key", "component_id")
 
 
-def first_of_each(docs: DataFrame, n: int = SHINGLE_WORDS) -> DataFrame:
+def first_of_each(docs: DataFrame, n: int = SHINGLE_WORDS, also: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs`` that stay when each component keeps one: that of the smallest doc_id (of none, where no row has one), once; of rows alike in doc_id and text the one that is smallest written as JSON."""
-    found = components_of(docs, n).groupBy("component", "doc_id", "row").agg(F.count("*").alias("n"))
+    found = components_of(docs, n, also=also).groupBy("component", "doc_id", "row").agg(F.count("*").alias("n"))
     first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "n")).alias("f"))
     id, row, times = (fresh(f"__{n}", docs.columns) for n in ("id", "row", "n"))
     kept = written(first.select(F.col("f.doc_id").alias(id), F.col("f.row").alias(row), F.col("f.n").alias(times)), "kept")
