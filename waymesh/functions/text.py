@@ -70,7 +70,8 @@ def call_url(c: Column | str) -> dict[str, Column]:
     host = F.lower(sub(F.regexp_extract(rest, "^([^/]*)", 1), r":\d+$"))
     path = F.when(absolute, sub(rest, "^[^/]*")).otherwise(u)
     path = sub(path, r"\?(?s:.)*$")
-    return {"host": F.when(absolute & ~host.rlike("[{}]"), host), "path": F.when(path == "", "").otherwise(normalise_path(path)), "dynamic": dynamic}
+    # most calls are relative, which a plain search tells
+    return {"host": F.when(col(c).contains("://") & absolute & ~host.rlike("[{}]"), host), "path": F.when(path == "", "").otherwise(normalise_path(path)), "dynamic": dynamic}
 
 
 def segments(c: Column | str) -> Column:

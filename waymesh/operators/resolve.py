@@ -8,9 +8,10 @@ on exploded keys. What the rules find is joined back to the calls once, and one
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -88,29 +89,53 @@ def required_literal(pattern: str) -> str:
     return max([*runs, run], key=len).lower()
 
 
-GRAM = 3
+#: Characters of a piece that tells where a pattern may begin, and of the longest piece that is looked up there.
+GRAM, PIECE = 3, 16
+#: A table of settings is sent to all executors up to so many characters; a larger one is joined by a shuffle.
+SENT_CHARS = 8_000_000
+
+
+def _sent(rows: list[tuple], spark: SparkSession, schema: str) -> DataFrame:
+    """A table of settings, which the driver holds anyway."""
+    table = spark.createDataFrame(rows, schema)
+    return F.broadcast(table) if sum(len(str(x)) for row in rows for x in row) <= SENT_CHARS else table
+
+
+def tried_targets(texts: DataFrame, plain: list[tuple[int, str]], sought: list[tuple[int, str, str]]) -> DataFrame:
+    """(text, t_ord, regex): each text with the plain keys (t_ord, lower case) that it is, where regex is null, and the patterns (t_ord, regex, required literal) whose literal it holds.
+
+    Only places where a literal's first characters stand are kept; what stands there is looked up by equality, in each
+    length that a literal has. So it doesn't count how many patterns begin alike. Texts are read once for all of this.
+    """
+    begins = sorted({literal[:GRAM] for *_, literal in sought})
+    lengths = sorted({len(literal[:PIECE]) for *_, literal in sought})
+    table = [(at, None, key, True) for at, key in plain] + [(at, regex, literal[:PIECE], False) for at, regex, literal in sought]
+    held = texts.select("text", F.lower("text").alias("low")).withColumn("whole", F.lit(True)).withColumn("piece", F.col("low"))
+    if sought:
+        last = F.greatest(F.length("low") - (GRAM - 1), F.lit(1))
+        places = F.filter(F.sequence(F.lit(1), last), lambda i: F.substring("low", i, F.lit(GRAM)).isin(*begins))
+        at = held.select("text", "low", F.explode(F.concat(F.array(F.lit(0)), places)).alias("at"))
+        there = F.array_distinct(F.array(*(F.substring("low", F.col("at"), F.lit(n)) for n in lengths)))
+        held = at.select("text", (F.col("at") == 0).alias("whole"), F.explode(F.when(F.col("at") == 0, F.array("low")).otherwise(there)).alias("piece"))
+    return held.join(_sent(table, texts.sparkSession, "t_ord int, regex string, piece string, whole boolean"), ["piece", "whole"]).select("text", "t_ord", "regex")
 
 
 def matched_targets(texts: DataFrame, config: Config) -> DataFrame:
     """(text, t_ord): for distinct ``text``, the place of the first target, in key order, that fits it; texts that none fits are left out.
 
     Keys are a table, not a chain of conditions. A plain key is joined by equality. A pattern is tried only on texts that
-    hold a piece of three characters of the longest text that the pattern requires, which is an equality join too; only
+    hold the longest text that the pattern requires (its first ``PIECE`` characters), which is an equality join too; only
     patterns that require none are tried on every text.
     """
-    spark, plain, sought, loose = texts.sparkSession, [], [], []
+    plain, sought, loose = [], [], []
     for at, key in enumerate(config.targets):
         if len(key) > 2 and key[0] == key[-1] == "/":
-            literal = required_literal(key[1:-1])
-            (sought if len(literal) >= GRAM else loose).append((at, "(?i)" + key[1:-1], literal[:GRAM]))
+            # beyond ASCII, lower case may depend on what stands beside a letter
+            literal = max(re.findall(r"[\x00-\x7f]+", required_literal(key[1:-1])), key=len, default="")
+            (sought if len(literal) >= GRAM else loose).append((at, "(?i)" + key[1:-1], literal))
         else:
             plain.append((at, key.lower()))
-    lower = texts.withColumn("low", F.lower("text"))
-    found = [lower.join(spark.createDataFrame(plain, "t_ord int, low string"), "low").select("text", "t_ord")]
-    if sought:
-        table = spark.createDataFrame(sought, "t_ord int, regex string, gram string")
-        grams = lower.withColumn("gram", F.explode(F.expr(f"array_distinct(transform(sequence(1, greatest(1, length(low) - {GRAM - 1})), i -> substring(low, i, {GRAM})))")))
-        found.append(grams.join(table, "gram").filter(F.expr("text rlike regex")).select("text", "t_ord"))
+    found = [tried_targets(texts, plain, sought).filter(F.col("regex").isNull() | F.expr("text rlike regex")).select("text", "t_ord")]
     if loose:
         held = F.array(*(F.struct(F.lit(at).alias("t_ord"), F.lit(regex).alias("regex")) for at, regex, _ in loose))
         hit = F.get(F.filter(held, lambda x: F.regexp_like("text", x["regex"])), F.lit(0))["t_ord"]
@@ -119,16 +144,19 @@ def matched_targets(texts: DataFrame, config: Config) -> DataFrame:
 
 
 def with_config_value(calls: DataFrame, config: Config) -> DataFrame:
-    """``calls`` (hint, host, url) with value: that of the first target that fits any of the three, in key order."""
+    """``calls`` (hint, host, url) with value: that of the first target that fits any of the three, in key order.
+
+    ``calls`` are read once for each of the three and once more, so they should be a table. Each of the three has a table
+    of its own: hints and hosts are few as a rule, and a small table joins without a shuffle.
+    """
     if not config.targets:
         return calls.withColumn("value", F.lit(None).cast("string"))
-    probes = ("hint", "host", "url")
-    texts = reduce(DataFrame.union, [calls.select(F.col(c).alias("text")) for c in probes]).filter("text <> ''").distinct()
-    found = cut(matched_targets(texts, config))
-    values = calls.sparkSession.createDataFrame(list(enumerate(config.targets.values())), "t_ord int, value string")
+    probes, first = ("hint", "host", "url"), calls
     for c in probes:
-        calls = calls.join(found.select(F.col("text").alias(c), F.col("t_ord").alias(f"__{c}")), c, "left")
-    first = calls.withColumn("t_ord", F.least(*(F.col(f"__{c}") for c in probes)))
+        found = cut(matched_targets(calls.select(F.col(c).alias("text")).filter("text <> ''").distinct(), config))
+        first = first.join(found.select(F.col("text").alias(c), F.col("t_ord").alias(f"__{c}")), c, "left")
+    values = _sent(list(enumerate(config.targets.values())), calls.sparkSession, "t_ord int, value string")
+    first = first.withColumn("t_ord", F.least(*(F.col(f"__{c}") for c in probes)))
     return first.join(values, "t_ord", "left").drop("t_ord", *(f"__{c}" for c in probes))
 
 

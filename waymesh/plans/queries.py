@@ -13,6 +13,7 @@ from ..operators.estate import Config, conform
 from ..sources import manifests as src
 from . import estate as est
 from . import twins as tw
+from .session import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -190,7 +191,7 @@ hit AS (SELECT x, min(i) AS i FROM (SELECT x, i FROM texts JOIN keys ON lower(x)
 
 @query("res_b_many_targets", f"WITH {tw.ESTATE}, c AS (SELECT *, {tw.call_parts('url')['host']} AS host FROM calls), {_MANY} SELECT service, id, i_ord, 'nation-' || (min(i) % 25) AS value FROM asked JOIN hit ON hit.x = asked.x GROUP BY service, id, i_ord")
 def res_b_many(spark, sf_dir):
-    calls = resolve.parsed_calls(est.estate(spark, sf_dir).calls)
+    calls = cut(resolve.parsed_calls(est.estate(spark, sf_dir).calls).select("service", "id", "i_ord", "hint", "host", "url"))
     found = resolve.with_config_value(calls, Config(many_targets()))
     return found.filter("value is not null").select("service", "id", "i_ord", "value")
 
