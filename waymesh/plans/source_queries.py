@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from ..operators import extract, flows
 from ..operators.estate import Estate
-from ..schema import MANIFEST
 from ..sources import manifests as src
 from ..sources import sinks
 from ..sources.parsing.facts import Facts, parse_sources
 from . import estate as est
 from . import twins as tw
 from .queries import fault_sql, faulty, query
+from .session import cut
 
 SOURCES = {
     "Orders$NController.cs": """using X.Y;
@@ -120,9 +120,8 @@ fact_query("asm_06_services", "'shop-' || n AS id, 'typescript' AS language, 'un
 # --- documents and dangling items of the estate
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The estate's manifests, written as documents and parsed again."""
-    docs = sinks.manifest_documents(est.estate(spark, sf_dir))
-    parsed = docs.select(F.from_json("json", MANIFEST).alias("m")).select("m.*")
+    """The estate's manifests, written as documents and parsed again, one row per part."""
+    parsed = src.parsed_documents(cut(sinks.manifest_documents(est.estate(spark, sf_dir))))
     return parsed.withColumn("m_ord", F.substring_index("service.id", "-", -1).cast("int"))
 
 
@@ -133,7 +132,8 @@ def src_01(spark, sf_dir):
 
 @query("snk_02_manifest_sizes", tw.over_estate("SELECT id, (SELECT count(*) FROM handlers h WHERE h.service = s.id) AS handlers, (SELECT count(*) FROM declared d WHERE d.service = s.id) AS declared FROM services s"))
 def snk_02(spark, sf_dir):
-    return documents(spark, sf_dir).select(F.col("service.id").alias("id"), F.size("handlers").cast("long").alias("handlers"), F.size("declaredDependencies").cast("long").alias("declared"))
+    parts = documents(spark, sf_dir).select(F.col("service.id").alias("id"), F.size("handlers").alias("handlers"), F.size("declaredDependencies").alias("declared"))
+    return parts.groupBy("id").agg(F.sum("handlers").alias("handlers"), F.sum("declared").alias("declared"))
 
 
 _lost = " UNION ALL ".join(f"SELECT service, '{n} item ' || id || ' refers to missing handler ' || {h} AS message FROM {fault_sql(n)} x WHERE NOT EXISTS (SELECT 1 FROM {fault_sql('handlers')} y WHERE y.service = x.service AND y.id = x.{h})" for n, h in (("endpoints", "handler"), ("consumers", "handler"), ("calls", "fromHandler"), ("publishes", "fromHandler")))
