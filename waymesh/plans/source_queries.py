@@ -121,8 +121,9 @@ fact_query("asm_06_services", "'shop-' || n AS id, 'typescript' AS language, 'un
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The estate's manifests, written as documents and parsed again, one row per part."""
-    parsed = src.parsed_documents(cut(sinks.manifest_documents(est.estate(spark, sf_dir))))
-    return parsed.withColumn("m_ord", F.substring_index("service.id", "-", -1).cast("int"))
+    e = est.estate(spark, sf_dir)
+    parsed = src.parsed_documents(cut(sinks.manifest_documents(e)))
+    return parsed.join(cut(e.services.select(F.col("id").alias("__id"), "m_ord")), F.col("service.id") == F.col("__id"), "left").drop("__id")
 
 
 @query("src_01_manifests", tw.over_estate("SELECT m_ord, CAST(row_number() OVER (PARTITION BY service ORDER BY i_ord) - 1 AS INT) AS i_ord, service, id, method, url, targetHint, fromHandler FROM calls"))
